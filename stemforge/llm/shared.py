@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,23 @@ def groups_of(batches: Iterable[pa.RecordBatch], name: str = "text", most_bytes:
             held += size
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash, kept for the words met most lately."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+@functools.lru_cache(1)
+def _word_hashes() -> WordHashes:
+    return WordHashes()
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """The 64-bit hashes of words, the same in every process."""
+    return np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
