@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemforge.llm import chat, html_text, media, mixing, near_dup, packing, quality, token_counts, topk, toxicity
+from stemforge.llm import chat, html_text, media, mixing, near_dup, oracles, packing, quality, token_counts, topk, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -75,4 +75,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dup, op2_mixing, op3_media, op4_token_counts, op5_toxicity, op6_topk, op7_chat, op8_html, op9_quality, op10_packing, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op6_topk": oracles.TOPK, "op7_chat": oracles.CHAT}
