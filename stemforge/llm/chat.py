@@ -38,33 +38,23 @@ def argument_errors(arguments: Column, properties: Column, required: Column) ->
     return F.when(properties.isNull(), F.array(F.lit("unknown tool"))).when(~is_object, F.array(F.lit("arguments are not an object"))).otherwise(found)
 
 
-def levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, call_id, level) of the calls with dependencies, one more than the highest level of those; null within or beyond a
-    circle. And (conv_id, call_id, unknown): the dependencies that are no calls. calls: one row per key, with depends_on.
+def leveled(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, circle) of the calls in edges (conv_id, call_id, dep): one more than the highest level of their
+    dependencies, where calls without dependencies have level 0; circle: within or beyond a circle, where level says nothing.
 
-    One round per level: edges to calls that have their level fall away, and a call without edges left gets the next level.
+    One round and one semi-join per level: an edge falls away when the call it leads to has no edges left.
     """
-    edges = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("dep")).where("dep is not null")
-    ids = calls.select("conv_id", F.col("call_id").alias("dep"))
-    unknown = edges.join(ids, ["conv_id", "dep"], "left_anti").groupBy(*KEY).agg(F.array_sort(F.collect_list("dep")).alias("unknown"))
-    left = written(edges.join(ids, ["conv_id", "dep"], "left_semi"), "edges")
-    waiting = written(left.select(*KEY).distinct(), "waiting")
-    done = ids.join(waiting.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti")
-    out, level = [], 0
-    while not waiting.isEmpty():
-        level += 1
-        left = written(left.join(done, ["conv_id", "dep"], "left_anti"), "edges")
-        still = written(left.select(*KEY).distinct(), "waiting")
-        ready = waiting.join(still, KEY, "left_anti")
-        if ready.isEmpty():
-            out.append(waiting.select(*KEY, F.lit(None).cast("int").alias("level")))
+    left = written(edges, "edges")
+    rounds, n = [], left.count()
+    while n:
+        rounds.append(left)
+        ahead = left.select("conv_id", F.col("call_id").alias("dep"))
+        left = written(left.join(ahead, ["conv_id", "dep"], "left_semi").select(*KEY, "dep"), "edges")
+        before, n = n, left.count()
+        if n == before:
             break
-        ready = written(ready, "ready")
-        out.append(ready.select(*KEY, F.lit(level).alias("level")))
-        done = ready.select("conv_id", F.col("call_id").alias("dep"))
-        waiting = still
-    none = waiting.limit(0).select(*KEY, F.lit(None).cast("int").alias("level"))
-    return reduce(DataFrame.unionByName, out, none), unknown
+    out = left.select(*KEY, F.lit(len(rounds)).alias("level"), F.lit(True).alias("circle"))
+    return reduce(DataFrame.unionByName, (r.select(*KEY, F.lit(i + 1).alias("level"), F.lit(False).alias("circle")) for i, r in enumerate(rounds)), out)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -74,29 +64,38 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     content; schemas as of tool_schemas. Calls of a conversation sorted by level, turn and call_id are in topological order; level
     is null in a circle. status is the first that holds of: orphan result, no id, duplicate (another call has the id and comes
     earlier by turn, name and arguments; equal rows are all first), circle, invalid, unanswered, ok. Of several results the first by
-    turn and content is linked and the line tells their number. A conversation or id that is null links nothing; dependencies that
-    aren't calls are told in the line and don't count. Repeated rows stay; empty tables are fine; other columns are not read.
+    turn and content is linked and the line tells their number. A conversation or id that is null links nothing. Calls that share an
+    id share their dependencies; dependencies that aren't calls are told in the line and don't count. Repeated rows stay; empty
+    tables are fine; other columns are not read.
     """
+    strings = F.array().cast("array<string>")
     c = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), F.col("turn").cast("long").alias("turn"), F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"), F.col("depends_on").cast("array<string>").alias("depends_on"))
-    order = F.struct("turn", "name", "arguments")
-    first = c.where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(F.min(F.struct(order.alias("o"), "depends_on")).alias("first"))
-    first = written(first.select(*KEY, F.col("first.o").alias("first"), "first.depends_on"), "first_calls")
-    level, unknown = levels(first.select(*KEY, F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")))
     r = results.select("conv_id", F.col("call_id").cast("string").alias("call_id"), F.col("turn").cast("long").alias("turn"), F.col("content").cast("string").alias("content"))
-    answers = r.where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("answer"), F.count(F.lit(1)).alias("n_results"))
-    circles = level.withColumn("has_edges", F.lit(True))
-    facts = first.select(*KEY, "first").join(answers, KEY, "left").join(circles, KEY, "left").join(unknown, KEY, "left")
+    whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    ids = c.where(whole).select("conv_id", F.col("call_id").alias("dep"))
+    edges = c.where(whole).select(*KEY, F.explode(F.array_distinct("depends_on")).alias("dep")).where("dep is not null")
+    order = F.struct("turn", "name", "arguments")
+    # all that is known of an id, gathered in one shuffle
+    facts = [
+        c.where(whole).select(*KEY, order.alias("call")),
+        r.where(whole).select(*KEY, F.struct("turn", "content").alias("answer")),
+        leveled(edges.join(ids, ["conv_id", "dep"], "left_semi").select(*KEY, "dep")),
+        edges.join(ids, ["conv_id", "dep"], "left_anti").select(*KEY, F.col("dep").alias("stray")),
+    ]
+    known = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts).groupBy(*KEY)
+    known = known.agg(F.min("call").alias("first"), F.min("answer").alias("answer"), F.count("answer").alias("n_results"), F.max("level").alias("level"), F.coalesce(F.max("circle"), F.lit(False)).alias("circle"), F.array_sort(F.collect_set("stray")).alias("unknown"))
+    known = written(known, "ids")
     tools = schemas.select("name", "properties", "required").dropDuplicates(["name"])
-    rows = c.join(facts, KEY, "left").join(tools, "name", "left").withColumn("v", F.try_parse_json("arguments"))
-    rows = rows.withColumn("errors", argument_errors(F.col("v"), F.col("properties"), F.coalesce("required", F.array().cast("array<string>"))))
+    rows = c.join(known, KEY, "left").join(tools, "name", "left").withColumn("v", F.try_parse_json("arguments"))
+    rows = rows.withColumn("errors", argument_errors(F.col("v"), F.col("properties"), F.coalesce("required", strings)))
     no_id = F.col("first").isNull()
-    status = F.when(no_id, "no id").when(~order.eqNullSafe(F.col("first")), "duplicate").when(F.col("has_edges") & F.col("level").isNull(), "circle").when(F.size("errors") > 0, "invalid").when(F.col("answer").isNull(), "unanswered").otherwise("ok")
-    found = rows.select("conv_id", "call_id", "turn", "name", F.when(no_id | (F.col("has_edges") & F.col("level").isNull()), F.lit(None).cast("int")).otherwise(F.coalesce("level", F.lit(0))).alias("level"), status.alias("status"), "errors", "v", F.when(F.col("v").isNull(), F.col("arguments")).alias("raw"), F.col("depends_on"), F.coalesce("unknown", F.array().cast("array<string>")).alias("unknown"), F.col("answer.content").alias("result"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"))
-    known = first.select(*KEY)
-    lost = r.join(known, KEY, "left_anti").select("conv_id", "call_id", "turn", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit("orphan result").alias("status"), F.array().cast("array<string>").alias("errors"), F.try_parse_json(F.lit(None).cast("string")).alias("v"), F.lit(None).cast("string").alias("raw"), F.array().cast("array<string>").alias("depends_on"), F.array().cast("array<string>").alias("unknown"), F.col("content").alias("result"), F.lit(1).cast("long").alias("n_results"))
-    both = found.unionByName(lost)
+    status = F.when(no_id, "no id").when(~order.eqNullSafe(F.col("first")), "duplicate").when(F.col("circle"), "circle").when(F.size("errors") > 0, "invalid").when(F.col("answer").isNull(), "unanswered").otherwise("ok")
+    level = F.when(~no_id & ~F.col("circle"), F.coalesce("level", F.lit(0)))
+    found = rows.select(*KEY, "turn", "name", level.alias("level"), status.alias("status"), "errors", "v", F.when(F.col("v").isNull(), F.col("arguments")).alias("raw"), "depends_on", F.coalesce("unknown", strings).alias("unknown"), F.col("answer.content").alias("result"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"))
+    null = lambda kind: F.lit(None).cast(kind)
+    lost = r.join(known.where("first is not null").select(*KEY), KEY, "left_anti").select(*KEY, "turn", null("string").alias("name"), null("int").alias("level"), F.lit("orphan result").alias("status"), strings.alias("errors"), F.try_parse_json(null("string")).alias("v"), null("string").alias("raw"), strings.alias("depends_on"), strings.alias("unknown"), F.col("content").alias("result"), F.lit(1).cast("long").alias("n_results"))
     fields = [F.col("v").alias("arguments"), "call_id", "conv_id", "depends_on", "errors", "level", "n_results", "name", "raw", "result", "status", "turn", "unknown"]
-    return both.select("conv_id", "call_id", "turn", "name", "level", "status", "errors", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("line"))
+    return found.unionByName(lost).select(*KEY, "turn", "name", "level", "status", "errors", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("line"))
 
 
 #: Tools as which a conversation's turns are read.
