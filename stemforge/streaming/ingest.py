@@ -12,11 +12,14 @@ from stemforge.bank import captures_of
 from stemforge.operators.parse import parse_papers
 from stemforge.sources.tables import Store
 
+#: The columns of Spark's binary files; a stream of text files would cut them into lines.
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def paper_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """(paper_id, text) of the text files that arrive in a folder, one paper each; paper_id is a hash of the file's path."""
-    files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
-    return files.select(F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(1 << 42)).alias("paper_id"), F.col("value").alias("text"))
+    """(paper_id, text) of the UTF-8 text files that arrive in a folder, one paper each; paper_id is a hash of the file's path."""
+    files = spark.readStream.schema(FILES).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return files.select(F.pmod(F.xxhash64("path"), F.lit(1 << 42)).alias("paper_id"), F.col("content").cast("string").alias("text"))
 
 
 def ingest(papers: DataFrame, store: Store, checkpoint: str, source: str = "stream", **trigger) -> StreamingQuery:
