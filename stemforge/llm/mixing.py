@@ -75,5 +75,5 @@ def mix(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5, t
     out = copies.withColumn(own["order"], order)
     if shuffle:
         out = out.repartitionByRange(own["order"]).sortWithinPartitions(own["order"])
-    extra = [F.col(own["copy"]).alias(copy_col)] * bool(copy_col) + [F.col(own["order"]).alias(order_col)] * bool(order_col)
+    extra = [F.col(own[c]).alias(name) for c, name in (("copy", copy_col), ("order", order_col)) if name]
     return out.select(*(F.col(f"`{c}`") for c in documents.columns), *extra)
