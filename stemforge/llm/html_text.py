@@ -46,7 +46,7 @@ OFF_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal newsletter "
     "subscribe subscription share sharing social related recommended recommendations comment comments reply replies respond disqus footer copyright widget toolbar pagination pager login signup search".split()
 )
-#: Off only outside an article.
+#: Off only outside an article, and not where they hold its heading alone.
 HEADERS = frozenset("header masthead topbar".split())
 
 
@@ -55,6 +55,7 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.off, self.parts = [-1], ["html"], [False], [[]]
+        self.headers: set[int] = set()
         self.read(source)
 
     def open(self, at: int, tag: str, attributes: str) -> int:
@@ -78,7 +79,9 @@ class Page:
         if tag not in ("html", "body", "article", "main"):
             self.off[node] |= not OFF_WORDS.isdisjoint(words)
             if tag == "header" or not HEADERS.isdisjoint(words):
-                self.off[node] |= not self.within(at, ("article", "main"))
+                if not self.off[node] and not self.within(at, ("article", "main")):
+                    self.off[node] = True
+                    self.headers.add(node)
         return node
 
     def within(self, node: int, tags: tuple[str, ...]) -> bool:
@@ -151,12 +154,13 @@ class Page:
     def taken_off(self) -> list[bool]:
         """The nodes that are off, but for one marked by its attributes alone that holds the page's article."""
         plain = self.sums([t in OFF_TAGS for t in self.tag])[0]
-        n = len(plain)
         holds = [t in ("article", "main", "h1") for t in self.tag]
-        for i in range(n - 1, 0, -1):
-            if holds[i]:
-                holds[self.parent[i]] = True
-        return [o and (self.tag[i] in OFF_TAGS or not holds[i] or 2 * plain[i] <= plain[0]) for i, o in enumerate(self.off)]
+        cluttered = [False] * len(plain)
+        for i in range(len(plain) - 1, 0, -1):
+            holds[self.parent[i]] |= holds[i]
+            cluttered[self.parent[i]] |= cluttered[i] or (self.off[i] and i not in self.headers)
+        headings = {i for i in self.headers if holds[i] and not cluttered[i] and self.tag[self.parent[i]] not in ("body", "html")}
+        return [o and i not in headings and (self.tag[i] in OFF_TAGS or i in self.headers or not holds[i] or 2 * plain[i] <= plain[0]) for i, o in enumerate(self.off)]
 
     def text(self) -> str:
         off = self.taken_off()
