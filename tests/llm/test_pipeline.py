@@ -1,0 +1,32 @@
+import corpus_pipeline
+from stemforge.llm import near_dup, quality, toxicity
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dup", "mixing", "packing"]
+    first = corpus_pipeline.without_toxic(spark, docs, DATA).cache()
+    machine = toxicity.fit(docs, labels)
+    kept = {r["doc_id"] for r in toxicity.score(docs, machine).where("predicted = 0").collect()}
+    assert {r["doc_id"] for r in first.collect()} == kept and first.columns == docs.columns
+    second = corpus_pipeline.of_quality(spark, first, DATA).cache()
+    model = quality.fit(first, labels)
+    kept = {r["doc_id"] for r in quality.score(first, model).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in second.collect()} == kept and second.columns == docs.columns
+    third = corpus_pipeline.one_of_each(spark, second, DATA).cache()
+    classes = near_dup.near_duplicate_classes(second)
+    assert {r["doc_id"] for r in third.collect()} == {r["class_id"] for r in classes.collect()} and third.columns == docs.columns
+    fourth = corpus_pipeline.mixed(spark, third, DATA).cache()
+    assert fourth.columns == docs.columns and 0 < fourth.count()
+    last = corpus_pipeline.packed(spark, fourth, DATA).collect()
+    assert sum(r["start"] == 0 for r in last) == fourth.count()
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+    assert docs.count() == 0

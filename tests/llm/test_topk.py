@@ -1,0 +1,57 @@
+import random
+
+import numpy as np
+
+from stemforge.llm import topk as K
+
+SCHEMA = "vec_id long, embedding array<double>, rank string"
+
+
+def brute(rows, k, every):
+    v = {}
+    for i, e, *_ in rows:
+        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
+            q = [int(np.floor(1024 * x)) for x in e]
+            v[i] = min(v.get(i, q), q)
+    out = []
+    for q in v:
+        if q % every == 0:
+            s = sorted((-min(max(sum(a * b for a, b in zip(v[q], v[c])), -(2**63)), 2**63 - 1), c) for c in v if c != q)[:k]
+            out += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s)]
+    return sorted(out)
+
+
+def found(spark, rows, k=10, every=10, **more):
+    return sorted(tuple(r) for r in K.search(spark.createDataFrame(rows, SCHEMA), k, every, **more).collect())
+
+
+def test_exact(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(K, "SEGMENT_BLOCKS", 3)
+    monkeypatch.setattr(K, "QUERY_ROWS", 7)
+    r = random.Random(1)
+    centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(5)]
+    rows = [(i, [x + r.gauss(0, 0.3) for x in r.choice(centres)], "x") for i in range(400)]
+    rows += [(1000 + i, rows[0][1], "x") for i in range(60)]  # ties
+    assert found(spark, rows) == brute(rows, 10, 10)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, -2.0], "x"), (10, [1.0, nan], "x"), (20, [inf, 1.0], "x"), (30, None, "x"), (40, [None, 1.0], "x"), (None, [1.0, 1.0], "x"), (1, [0.0, 0.0], "x"), (1, [0.0, 0.0], "x"), (2, [-0.0001, 3.0], None), (3, [], "x"), (50, [1.0], "x")]
+    got = found(spark, rows, 10, 10)
+    assert got == brute(rows, 10, 10)
+    assert found(spark, []) == [] and found(spark, [(1, [1.0], "x")]) == [] and found(spark, [(0, [1.0], "x")]) == []
+    assert found(spark, rows, 1, 10) == brute(rows, 1, 10)
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(0, [3e9, 1.0], "x"), (1, [2.5e4, -7e8], "x"), (2, [2.5e4, -7e8 + 1], "x")]
+    assert found(spark, rows, 2, 10) == brute(rows, 2, 10)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(4)
+    q, b = rng.integers(-500, 500, (20, 8)), rng.integers(-500, 500, (5, 30, 8))
+    top = K.bounds(q, b.max(1), b.min(1))
+    assert all(top[i, j] >= (b[j] @ q[i]).max() for i in range(20) for j in range(5))
