@@ -1,11 +1,10 @@
 """MinHash near-duplicate classes by improved consistent weighted sampling (ICWS) over TF-IDF shingles of five words.
 
 The nodes are distinct texts (by MD5), so exact copies cost one row each and never meet as pairs. Each node gets BANDS x ROWS
-weighted samples; nodes that share all samples of a band meet in its bucket. A bucket elects a leader, the leader is compared
-exactly (weighted Jaccard) with the bucket's members, the linked members leave, and those left elect another. Leaders are compared
-with every member of the bucket, also with those that have left, so stars that overlap are joined. What two rounds leave is
-compared pair by pair in buckets of a few rows. Larger ones hold texts that share a passage but aren't alike; they are dealt
-into buckets of two (then three) bands that agree at once. No large bucket is listed pair by pair, and none has a cap.
+weighted samples; nodes that share all samples of a band meet in its bucket. A bucket elects a leader, which is compared exactly
+(weighted Jaccard) with the bucket's members; in buckets that this doesn't connect, the first of those not connected to the leader
+is compared too. Then every pair of a bucket that links don't connect yet is settled: in buckets of a few rows by comparing it, in
+larger ones by comparing it if it shares one of both texts' rarest shingles, which a similar pair must. None has a cap.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +34,8 @@ DF_BITS, DF_BLOCKS = 20, 64
 #: A shingle in one document of RARE or fewer has the full weight 1 + IDF_GAIN, one in every document the weight 1. A larger
 #: gain would tear large groups of near copies apart: what they share is frequent through the copies themselves.
 RARE, IDF_GAIN = 1024, 0.25
-#: Rows of a bucket that are compared pair by pair; larger buckets are dealt anew by pairs of bands, LEVELS - 1 times at most.
-SMALL, LEVELS = 24, 3
+#: Rows of a bucket that are compared pair by pair; pairs of larger ones must share a rare shingle first (no loss).
+SMALL = 24
 POOL_BITS = 16
 FNV = np.uint64(0x100000001B3)
 
@@ -194,24 +193,37 @@ def verified(pairs: DataFrame, kept: DataFrame, codes, threshold: float) -> Data
     return both.select("leader", "node", "a", "b").mapInArrow(run, "leader binary, node binary")
 
 
-def refined(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (key, node) of buckets that two agreeing keys make, for nodes still in a bucket."""
-    bands = left.join(nodes.select("node", F.explode("bands").alias("other")), "node")
-    key = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-    return bands.where(F.col("key") != F.col("other")).select(key.alias("key"), "node").distinct()
+def prefixes(kept: DataFrame, codes, threshold: float, counts=None) -> DataFrame:
+    """Rows (node, total, token): a text's weight, and its rarest shingles, from each of which on it has threshold of that weight.
 
+    Two texts that are similar by threshold have threshold * the larger weight in common. The first shingle that they share, in an
+    order of all shingles, comes before all of that weight, so it's among these of either text. counts (broadcast) gives the order;
+    without it the weights do."""
 
-def links(rows: DataFrame, codes, threshold: float) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups_of(batches, "kept"):
+            at, totals, tokens = [], [], []
+            for i, k in enumerate(batch.column("kept").to_pylist()):
+                token, tf = np.unique(np.frombuffer(k, "<u4"), return_counts=True)
+                bucket = token >> np.uint32(32 - DF_BITS)
+                order = np.lexsort((token, -codes.value[bucket].astype(np.int64) if counts is None else counts.value[bucket]))
+                rest = np.cumsum((weights_of(token, codes.value) * tf)[order][::-1])[::-1]
+                chosen = token[order][rest >= threshold * rest[0] * (1 - 1e-9)]
+                at += [i] * len(chosen)
+                totals += [float(rest[0])] * len(chosen)
+                tokens += chosen.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at, pa.int32())), pa.array(totals, pa.float64()), pa.array(tokens, pa.int64())], ["node", "total", "token"])
+
+    return kept.select("node", "kept").mapInArrow(run, "node binary, total double, token long")
+
+
+def links(rows: DataFrame, codes, threshold: float, counts=None) -> DataFrame:
     """Pairs (leader, node) of distinct texts, similar by threshold or more, that connect every class the buckets show.
 
-    rows: as features() gives them, written."""
+    rows: as features() gives them, written; counts: see prefixes()."""
     nodes = written(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands")), "nodes")
-
-    def crowded(members: DataFrame) -> DataFrame:
-        many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return written(members.join(many, "key"), "buckets")
-
-    shared = crowded(nodes.select(F.explode("bands").alias("key"), "node"))
+    bands = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = written(bands.join(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "buckets")
     # leaders are the nodes that meet most others: the text that copies were made from, rather than any of the copies
     ranks = written(shared.groupBy("node").agg((-F.sum("n")).alias("rank")), "ranks")
     members = written(shared.select("key", "node").join(ranks, "node").select("key", "node", "rank"), "members")
@@ -219,46 +231,37 @@ def links(rows: DataFrame, codes, threshold: float) -> DataFrame:
     kept = written(rows.select("row", "kept").join(met, "row").select("node", "kept"), "kept")
     found: list[DataFrame] = []
 
-    def compare(pairs: DataFrame) -> DataFrame:
+    def compare(pairs: DataFrame) -> None:
         found.append(written(verified(pairs.select("leader", "node").where("leader <> node").distinct(), kept, codes, threshold), "links"))
-        return found[-1]
-
-    def led(left: DataFrame, compared: DataFrame, leaders: int) -> DataFrame:
-        """A round: compared, the rows of buckets, are compared with their buckets' first rows of left. Returns the rows of left that
-        aren't first, nor linked to a first one."""
-        place = F.row_number().over(Window.partitionBy("key").orderBy("rank", "node"))
-        if leaders == 1:  # an aggregation, as this bucket may hold many rows
-            first = F.min(F.struct("rank", "node"))
-            elected = left.groupBy("key").agg(first["node"].alias("leader"))
-        else:
-            elected = left.withColumn("place", place).where(F.col("place") <= leaders).select("key", F.col("node").alias("leader"))
-        elected = written(elected, "leaders")
-        links = compare(compared.join(elected, "key"))
-        met = left.join(elected, "key").join(links.withColumn("linked", F.lit(True)), ["leader", "node"], "left")
-        gone = F.max((F.col("leader") == F.col("node")) | F.coalesce("linked", F.lit(False)))
-        return written(met.groupBy("key", "node", "rank").agg(gone.alias("gone")).where("not gone").select("key", "node", "rank"), "left")
-
-    for level in range(LEVELS):
-        left = led(members, members, 1)
-        left = led(left, members, 1) if not left.isEmpty() else left
-        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = written(left.join(sizes, "key"), "sized")
-        small = sized.where(F.col("n") <= SMALL)
-        if not small.isEmpty():
-            compare(small.select("key", F.col("node").alias("leader")).join(small.select("key", "node"), "key").where("leader < node"))
-        left = sized.where(F.col("n") > SMALL).select("key", "node", "rank")
-        if left.isEmpty():
-            break
-        if level < LEVELS - 1:
-            members = crowded(refined(left.select("key", "node"), nodes)).select("key", "node").join(ranks, "node")
-            members = written(members, "members")
-        else:
-            while not left.isEmpty():
-                left = led(left, left, SMALL)
-    out = rows.sparkSession.createDataFrame([], "leader binary, node binary")
-    for f in found:
-        out = out.unionByName(f)
-    return out
+
+    def unconnected(members: DataFrame) -> DataFrame:
+        """Rows (key, node, rank, label, n) of all members of the buckets whose members aren't all connected by what is found."""
+        label = components(functools.reduce(DataFrame.unionByName, found))
+        labelled = written(members.select("key", "node", "rank").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        several = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+        return written(labelled.join(several.select("key", "n"), "key"), "unconnected")
+
+    compare(members.join(members.groupBy("key").agg(F.min(F.struct("rank", "node"))["node"].alias("leader")), "key"))
+    left = unconnected(members)
+    if not left.isEmpty():
+        best = F.min(F.struct("rank", "node", "label"))
+        others = left.join(left.groupBy("key").agg(best.alias("first")), "key").where(F.col("label") != F.col("first.label"))
+        second = others.groupBy("key").agg(best.alias("second"))
+        compare(left.join(second, "key").where(F.col("label") != F.col("second.label")).select(F.col("second.node").alias("leader"), "node"))
+        left = unconnected(left)
+    # every pair of a bucket that isn't connected by now, whatever its rows were compared with before
+    small, large = left.where(F.col("n") <= SMALL).select("key", "node", "label"), left.where(F.col("n") > SMALL).select("key", "node", "label")
+    if not small.isEmpty():
+        compare(small.select("key", F.col("node").alias("leader"), F.col("label").alias("other")).join(small, "key").where("leader < node and label <> other"))
+    if not large.isEmpty():
+        own = prefixes(kept.join(large.select("node").distinct(), "node"), codes, threshold, counts)
+        dealt = written(large.join(own, "node"), "prefixes")
+        several = dealt.groupBy("key", "token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", "token")
+        dealt = written(dealt.join(several, ["key", "token"]), "prefixes")
+        leaders = dealt.select("key", "token", F.col("node").alias("leader"), F.col("label").alias("other"), F.col("total").alias("weight"))
+        near = F.least("total", "weight") >= threshold * (1 - 1e-9) * F.greatest("total", "weight")
+        compare(leaders.join(dealt, ["key", "token"]).where("leader < node and label <> other").where(near))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -286,9 +289,10 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, i
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    codes = spark.sparkContext.broadcast(weight_codes(*document_frequencies(texts)))
+    frequencies, n = document_frequencies(texts)
+    codes, counts = spark.sparkContext.broadcast(weight_codes(frequencies, n)), spark.sparkContext.broadcast(frequencies)
     rows = written(features(texts, codes), "features")
-    label = components(links(rows, codes, threshold))
+    label = components(links(rows, codes, threshold, counts))
     labelled = written(rows.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("class_key")), "members")
     classes = labelled.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return labelled.join(classes, "class_key").select("doc_id", "class_id", "class_size", "node", "class_key")

@@ -126,3 +126,59 @@ def test_query_on_the_small_table(spark):
 @pytest.mark.parametrize("words", [0, 1, 4, 5, 6])
 def test_shingles_of_short_texts(words):
     assert len(N.shingles(" ".join(WORDS[:words]))) == (0 if not words else max(1, words - 4))
+
+
+def linked_groups(spark, texts, bands):
+    """The groups of names that links() connects among hand-made buckets."""
+    codes = spark.sparkContext.broadcast(np.full(2**N.DF_BITS, 255, np.uint8))
+    rows = [(i, bytes(k, "ascii"), N.stored(N.shingles(t)).tobytes(), bands[k]) for i, (k, t) in enumerate(texts.items())]
+    rows = N.written(spark.createDataFrame(rows, "row long, node binary, kept binary, bands array<long>"), "features")
+    label = {k: k for k in texts}
+    for a, b in ((bytes(r["leader"]).decode(), bytes(r["node"]).decode()) for r in N.links(rows, codes, 0.8).collect()):
+        assert jaccard(texts[a], texts[b]) >= 0.8
+        label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+    return {frozenset(k for k in label if label[k] == v) for v in label.values()} - {frozenset([k]) for k in label}
+
+
+def chain(length, seed):
+    """Texts alike to their neighbours only."""
+    words = doc(300 + 25 * length, seed).split()
+    return [" ".join(words[25 * i : 25 * i + 300]) for i in range(length)]
+
+
+def test_removed_members_are_compared_with_what_is_left(spark):
+    # leader and a leave first, c leads next, and b is left alone: only the chain over a joins it
+    first, a, b = chain(3, 50)
+    assert jaccard(first, a) > 0.8 < jaccard(a, b) and jaccard(first, b) < 0.75
+    texts = {"leader": first, "a": a, "b": b, "c": doc(300, 51), "x": doc(300, 52), "y": doc(300, 53)}
+    bands = {"leader": [1, 2, 3], "c": [1, 2], "a": [1], "b": [1], "x": [2, 3], "y": [3]}
+    assert linked_groups(spark, texts, bands) == {frozenset({"leader", "a", "b"})}
+
+
+def test_two_removed_members_of_different_leaders_are_compared(spark):
+    one, a, b, two = chain(4, 60)
+    texts = {"one": one, "a": a, "b": b, "two": two, "x": doc(300, 61), "y": doc(300, 62)}
+    bands = {"one": [1, 2, 3], "two": [1, 2], "a": [1], "b": [1], "x": [2, 3], "y": [3]}
+    assert linked_groups(spark, texts, bands) == {frozenset({"one", "a", "b", "two"})}
+
+
+@pytest.mark.parametrize("unlike", [5, 20, 60])
+def test_pairs_of_one_band_are_found_in_buckets_of_every_size(spark, unlike):
+    p, q, r = chain(3, 70)
+    texts = {"p": p, "q": q, "r": r} | {f"u{i}": doc(200, 7000 + i) + " " + doc(100, 71) for i in range(unlike)} | {"m": doc(300, 72)}
+    bands = {k: [1] for k in texts} | {"u0": [1, 2], "u1": [1, 2], "m": [2]}
+    assert linked_groups(spark, texts, bands) == {frozenset({"p", "q", "r"})}
+
+
+def test_prefixes_hold_the_first_shared_shingle_of_similar_texts(spark):
+    codes = spark.sparkContext.broadcast(np.random.default_rng(3).integers(0, 256, 2**N.DF_BITS).astype(np.uint8))
+    base = doc(120, 80)
+    texts = [edited(base, i % 12, 800 + i) + " " + " ".join(base.split()[: i % 7]) for i in range(40)]
+    kept = [N.stored(N.shingles(t)) for t in texts]
+    rows = spark.createDataFrame([(bytes([i]), k.tobytes()) for i, k in enumerate(kept)], "node binary, kept binary")
+    of = {}
+    for r in N.prefixes(rows, codes, 0.8).collect():
+        of.setdefault(r["node"][0], set()).add(r["token"])
+    alike = [(i, j) for i in range(40) for j in range(i) if N.weighted_jaccard(kept[i], kept[j], codes.value) >= 0.8]
+    assert len(alike) > 20 and all(of[i] & of[j] for i, j in alike)
+    assert sum(map(len, of.values())) < sum(map(len, kept)) / 2
