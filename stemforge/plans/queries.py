@@ -297,9 +297,9 @@ def find_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dupes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar lines of 20 to 60 characters (a condition on what counts as a stem here; all such lines take part)."""
+    """Pairs of similar lines, of all lines that aren't blank."""
     lines = document_lines(spark, sf_dir).select((F.shiftleft(F.col("doc_id"), 20) + F.col("line_no")).alias("id"), X.norm("line").alias("stem_norm"))
-    stems = lines.where(F.length("stem_norm").between(20, 60)).groupBy("stem_norm").agg(F.min("id").alias("id"))
+    stems = lines.groupBy("stem_norm").agg(F.min("id").alias("id"))
     none = F.lit(None).cast("array<string>")
     return report.duplicate_pairs(stems.select("id", "stem_norm", none.alias("options"), F.lit("A").alias("answer")), 0.75)
 

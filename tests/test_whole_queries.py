@@ -1,0 +1,23 @@
+"""Queries over whole tables, on small ones with long, short and many lines."""
+
+import difflib
+
+import pytest
+
+from stemforge.plans.queries import QUERIES
+
+LONG = "the committee met on a wet tuesday and after three hours of talk about drains bridges and the price of salt it chose to wait for another report from the north "
+LINES = ["tiny line", "tiny lines", LONG * 2 + "before winter", LONG * 2 + "before summer", "a line of middling length number one", "a line of middling length number two"]
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    spark.createDataFrame([(i, "source-1", x) for i, x in enumerate(LINES)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_lines_of_every_length_are_paired(spark, folder):
+    got = {(r["a_id"] >> 20, r["b_id"] >> 20) for r in QUERIES["dupes_pairs"](spark, folder).collect()}
+    norm = [x.strip().replace(" ", "") for x in LINES]
+    want = {(i, j) for j in range(6) for i in range(j) if difflib.SequenceMatcher(None, norm[i], norm[j]).ratio() >= 0.75}
+    assert {(0, 1), (2, 3), (4, 5)} <= want == got
