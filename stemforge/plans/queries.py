@@ -167,6 +167,17 @@ def parse_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(parse_papers(papers)).select("paper_id.conv_id", "paper_id.turn", "stem", "answer")
 
 
+@query()
+def parse_qa_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of parse_qa with all their lines, joined by blanks."""
+    joined = F.array_join(F.filter(F.transform(X.lines_of(F.coalesce("text", F.lit(""))), X.strip), lambda x: x != ""), " ")
+    turns = table(spark, sf_dir, "conversations").withColumn("whole", joined)
+    asked = turns.where("role = 'user'").select("conv_id", "turn", "whole")
+    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("whole").alias("reply"))
+    papers = asked.join(replies, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("paper_id"), F.concat(F.lit("问："), "whole", F.lit("\n答："), "reply").alias("text"))
+    return records(parse_papers(papers)).select("paper_id.conv_id", "paper_id.turn", "stem", "answer")
+
+
 @query(f"with {PART_SQL} select p_partkey, stem, array_to_string(options, '|') as options from p")
 def query_and_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")

@@ -21,3 +21,10 @@ def test_lines_of_every_length_are_paired(spark, folder):
     norm = [x.strip().replace(" ", "") for x in LINES]
     want = {(i, j) for j in range(6) for i in range(j) if difflib.SequenceMatcher(None, norm[i], norm[j]).ratio() >= 0.75}
     assert {(0, 1), (2, 3), (4, 5)} <= want == got
+
+
+def test_turns_are_parsed_with_all_their_lines(spark, tmp_path):
+    rows = [(1, 0, "user", "\nwhat is salt\nmade of"), (1, 1, "assistant", "sodium\n\nand chlorine"), (2, 0, "user", "who"), (2, 1, "assistant", "me")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["stem"], r["answer"]) for r in QUERIES["parse_qa_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "what is salt made of", "sodium and chlorine"), (2, "who", "me")}
