@@ -267,19 +267,41 @@ def lookup_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark)
     q = table(spark, sf_dir, "benchmark").select(F.substring(X.norm("text"), 1, FRAGMENT_CHARS).alias("s")).distinct()
     c = document_lines(spark, sf_dir).select(X.norm("line").alias("s")).where(F.length("s") < SHORT_LINE).distinct()
+    wide = containing(q, c, space)
+    return wide.withColumn("m", S.match_score("q", "c")).select("q", "c", "m.score", "m.kind").where(F.col("kind") == P.FRAGMENT)
+
+
+def containing(q: DataFrame, c: DataFrame, space: Workspace) -> DataFrame:
+    """(q, c) with every text c that contains a text q, and others; both: distinct normal forms s."""
     q, c = (space.table(x.withColumn("id", F.xxhash64("s")), "texts") for x in (q, c))
     pairs = S.containing_candidates(q, c, S.COVERED, space)
     wide = pairs.join(q.select(F.col("id").alias("small_id"), F.col("s").alias("q")), "small_id").join(c.select(F.col("id").alias("big_id"), F.col("s").alias("c")), "big_id")
-    return wide.withColumn("m", S.match_score("q", "c")).select("q", "c", "m.score", "m.kind").where(F.col("kind") == P.FRAGMENT)
+    return wide.select("q", "c")
+
+
+def benchmark_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, part_no, part: every benchmark text as a whole (number 0), then its sentences."""
+    sentences = F.filter(F.split("text", r"[.!?\n]+"), lambda x: X.strip(x) != "")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.concat(F.array("text"), sentences)).alias("part_no", "part"))
+
+
+@query()
+def lookup_contains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts and all their sentences that are part of a document line of any length."""
+    q = benchmark_parts(spark, sf_dir).select(X.norm("part").alias("s")).where("s <> ''").distinct()
+    c = document_lines(spark, sf_dir).select(X.norm("line").alias("s")).distinct()
+    # by plain containment: in texts of 200 characters or more difflib leaves frequent characters out, and misses fragments
+    found = containing(q, c, Workspace(spark)).where(F.col("c").contains(F.col("q")) & (F.length("q") < F.length("c")))
+    return found.select("q", "c", (F.lit(0.90) + (F.lit(0.10) * F.length("q")) / F.length("c")).alias("score"), F.lit(P.FRAGMENT).alias("kind"))
 
 
 @query()
 def lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of each benchmark passage without its second word, looked up among all first sentences."""
-    first = F.split_part(F.col("text"), F.lit("."), F.lit(1))
-    items = table(spark, sf_dir, "benchmark").select("item_id", first.alias("first"))
-    stored = items.select(F.col("item_id").alias("id"), X.norm("first").alias("stem_norm"))
-    queries = items.select(F.col("item_id").alias("query_id"), F.regexp_replace("first", "^(\\S+) \\S+ ", "$1 ").alias("query"))
+    """Every benchmark text and each of its sentences, without its second word, looked up among these and all document lines."""
+    parts = benchmark_parts(spark, sf_dir).select(F.struct(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.col("part_no").cast("long").alias("no")).alias("id"), F.ltrim("part").alias("part"))
+    lines = document_lines(spark, sf_dir).select(F.struct(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.col("line_no").cast("long").alias("no")).alias("id"), X.norm("line").alias("stem_norm"))
+    stored = parts.select("id", X.norm("part").alias("stem_norm")).unionByName(lines)
+    queries = parts.select(F.col("id").alias("query_id"), F.regexp_replace("part", "^(\\S+) \\S+ ", "$1 ").alias("query"))
     return look.lookup(queries, stored, top=5, min_score=0.5)
 
 
@@ -303,6 +325,16 @@ def find_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("item_id", "id", "score")
 
 
+@query()
+def find_top1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best line of lookup_contains_whole for each benchmark text."""
+    items = benchmark_parts(spark, sf_dir).select("item_id", X.norm("part").alias("q")).distinct()
+    lines = document_lines(spark, sf_dir).select((F.shiftleft(F.col("doc_id"), 20) + F.col("line_no")).alias("id"), X.norm("line").alias("c"))
+    hits = lookup_contains_whole(spark, sf_dir).join(items, "q").join(lines.groupBy("c").agg(F.min("id").alias("id")), "c")
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("item_id", "id", "score")
+
+
 # --- duplicates
 
 

@@ -28,3 +28,16 @@ def test_turns_are_parsed_with_all_their_lines(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r["conv_id"], r["stem"], r["answer"]) for r in QUERIES["parse_qa_whole"](spark, str(tmp_path)).collect()}
     assert got == {(1, "what is salt made of", "sodium and chlorine"), (2, "who", "me")}
+
+
+def test_whole_texts_are_searched_in_lines_of_every_length(spark, folder):
+    late = "it chose to wait for another report from the north the committee met"
+    rows = [(1, "an opening that no document holds at all and that is longer than forty. " + late), (2, "line of middling length number one")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    norm = lambda x: x.replace(" ", "").replace(".", "")
+    parts = {norm(p) for _, t in rows for p in (t, *t.split("."))}
+    want = {(q, norm(c)) for q in parts for c in LINES if q in norm(c) and q != norm(c)}
+    assert {(r["q"], r["c"]) for r in QUERIES["lookup_contains_whole"](spark, folder).collect()} == want and len(want) == 3
+    assert {(r["item_id"], r["id"] >> 20) for r in QUERIES["find_top1_whole"](spark, folder).collect()} == {(1, 2), (2, 4)}
+    fuzzy = QUERIES["lookup_fuzzy"](spark, folder).collect()
+    assert (2, "documents", 4) in {(r["query_id"]["id"], r["id"]["origin"], r["id"]["id"]) for r in fuzzy}
