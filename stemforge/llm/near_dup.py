@@ -1,10 +1,15 @@
 """MinHash near-duplicate classes by improved consistent weighted sampling (ICWS) over TF-IDF shingles of five words.
 
 The nodes are distinct texts (by MD5), so exact copies cost one row each and never meet as pairs. Each node gets BANDS x ROWS
-weighted samples; nodes that share all samples of a band meet in its bucket. A bucket elects a leader, which is compared exactly
-(weighted Jaccard) with the bucket's members; in buckets that this doesn't connect, the first of those not connected to the leader
-is compared too. Then every pair of a bucket that links don't connect yet is settled: in buckets of a few rows by comparing it, in
-larger ones by comparing it if it shares one of both texts' rarest shingles, which a similar pair must. None has a cap.
+weighted samples; nodes that share all samples of a band meet in its bucket, whose leader is the member that meets most others.
+Links are found in three rounds, and after each the linked nodes are contracted to one class:
+
+1. every node is compared exactly (weighted Jaccard) with the best leader of its buckets, which settles nearly all of a group;
+2. nodes whose class still differs from that of another leader of their buckets are compared with that one;
+3. the nodes of buckets that still hold several classes meet by a prefix filter: similar texts share one of both texts' rarest
+   shingles, at a place from which on either has weight enough, and have weights alike. Only pairs of different classes are made.
+
+No bucket and no group has a cap, and none is gathered in one task: a leader with many members is dealt over several groups.
 """
 
 from __future__ import annotations
@@ -18,11 +23,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemforge.llm.shared import groups_of, texts_of, word_hashes, written
+from stemforge.llm.shared import Scratch, groups_of, texts_of, word_hashes
 
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
@@ -31,13 +36,18 @@ BANDS, ROWS = 20, 4
 #: Document frequencies are counted in 2**DF_BITS buckets of shingles, by the share of documents; what a bucket holds by chance
 #: is a share too (distinct shingles of a mean document / buckets), so the weights are alike at every size of corpus.
 DF_BITS, DF_BLOCKS = 20, 64
-#: A shingle in one document of RARE or fewer has the full weight 1 + IDF_GAIN, one in every document the weight 1. A larger
-#: gain would tear large groups of near copies apart: what they share is frequent through the copies themselves.
-RARE, IDF_GAIN = 1024, 0.25
-#: Rows of a bucket that are compared pair by pair; pairs of larger ones must share a rare shingle first (no loss).
-SMALL = 24
+#: A shingle in one document of RARE or fewer has the full weight 1 + IDF_GAIN, one in every document the weight 1.
+RARE, IDF_GAIN, LEVELS = 1024, 1.0, 16
+#: Least hashes by which copies of one text are told, and the share of all documents from which a group of them counts as one.
+SKETCHES, FAMILY = 3, 4096
+FAMILY_UNIT = 1 << 16
+#: Members of one leader that are compared in one group.
+SPLIT = 256
+#: Steps of the texts' weights by which they are dealt in the prefix join.
+STEP = 1.04
 POOL_BITS = 16
 FNV = np.uint64(0x100000001B3)
+ROUNDING = 1e-9
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -61,226 +71,342 @@ def shingles(text: str) -> np.ndarray:
 
 
 def stored(h: np.ndarray) -> np.ndarray:
-    """The 32 bits of a shingle that are kept for comparing; their first DF_BITS choose its bucket of frequencies."""
+    """The 32 bits of a shingle that are kept, sorted; their first DF_BITS choose its bucket of frequencies."""
     return np.sort((h >> np.uint64(32)).astype("<u4"))
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by bucket of shingles, and documents that have shingles: counts over all documents, of a fixed size."""
+def buckets_of(tokens: np.ndarray) -> np.ndarray:
+    return tokens >> np.uint32(32 - DF_BITS)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(2**DF_BITS, "<u4"), 0
+
+def sketch(kept: np.ndarray) -> list[int]:
+    """The least of a text's shingles under each of SKETCHES hashes: what copies with a few changes nearly always share."""
+    return [k << 32 | int(((kept * np.uint32(m)) ^ (kept >> np.uint32(15))).min()) for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))] if len(kept) else []
+
+
+def shingled(texts: DataFrame) -> DataFrame:
+    """doc_id, row (a number), node (MD5 of the text), kept (the stored shingles) and sketch of every document."""
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("kept", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 33
         for batch in groups_of(batches):
+            nodes, kept, sketches = [], [], []
             for text in texts_of(batch):
-                if len(h := shingles(text)):
-                    n += 1
-                    seen[np.unique((h >> np.uint64(64 - DF_BITS)).astype(np.int64))] += 1
-        if n:
-            kind = next(k for k in ("<u1", "<u2", "<u4") if seen.max() <= np.iinfo(k).max)
-            blocks = [b.astype(kind).tobytes() for b in np.split(seen, DF_BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array([*range(DF_BLOCKS), -1], pa.int32()), pa.array([*blocks, np.array([n], "<i8").tobytes()], pa.binary())], ["block", "counts"])
+                k = stored(shingles(text))
+                nodes.append(hashlib.md5(text.encode(), usedforsecurity=False).digest())
+                kept.append(k.tobytes())
+                sketches.append(sketch(k))
+            numbers = pa.array(range(at, at + batch.num_rows), pa.int64())
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), numbers, pa.array(nodes, pa.binary()), pa.array(kept, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def families(rows: DataFrame, n: int) -> dict[int, int]:
+    """Sketch -> documents that have it, of those that 1 / FAMILY of all n documents have: SKETCHES * FAMILY at most."""
+    counts = rows.select(F.explode("sketch").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    return {r["s"]: r["n"] for r in counts.where(F.col("n") >= max(2, -(-n // FAMILY))).collect()}
+
+
+def document_frequencies(rows: DataFrame, large: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket of shingles, the documents that have one, and their number where the copies of one text (large: see families) count
+    as one document: counts over all documents, of a fixed size."""
+    known = rows.sparkSession.sparkContext.broadcast(large)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, copies, shares = (np.zeros(2**DF_BITS, k) for k in ("<u4", "<u4", "<u8"))
+        some = False
+        for batch in groups_of(batches, "kept"):
+            for k, sketches in zip(batch.column("kept").to_pylist(), batch.column("sketch").to_pylist()):
+                if not k:
+                    continue
+                some = True
+                at = np.unique(buckets_of(np.frombuffer(k, "<u4")))
+                # two of the sketches must say so: one alone may come from a passage that many texts hold
+                if (many := sorted(known.value.get(s, 0) for s in sketches)[-2:][0]) > 1:
+                    copies[at] += 1
+                    shares[at] += np.uint64(round(FAMILY_UNIT / many))
+                else:
+                    seen[at] += 1
+        if some:
+            out: list[tuple[int, int, bytes]] = []
+            for kind, counts in enumerate((seen, copies, shares)):
+                narrow = next(k for k in ("<u1", "<u2", "<u4", "<u8") if counts.max() <= np.iinfo(k).max)
+                out += [(kind, b, x.astype(narrow).tobytes()) for b, x in enumerate(np.split(counts, DF_BLOCKS)) if x.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "block", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, out = None, None
+        key, out = None, None
         for batch in batches:
-            for b, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                width = 8 if b < 0 else len(counts) * DF_BLOCKS >> DF_BITS
-                block, out = b, np.frombuffer(counts, f"<{'i' if width == 8 else 'u'}{width}").astype(np.int64) + (0 if out is None else out)
+            for kind, b, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "counts"))):
+                width = len(counts) * DF_BLOCKS >> DF_BITS
+                key, out = (kind, b), np.frombuffer(counts, f"<u{width}").astype(np.int64) + (0 if out is None else out)
         if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["kind", "block", "counts"])
 
-    schema = "block int, counts binary"
-    rows = texts.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema).collect()
-    found = {r["block"]: np.frombuffer(r["counts"], "<i8") for r in rows}
-    if not found:
-        return np.zeros(2**DF_BITS, np.int64), 0
-    return np.concatenate([found[b] for b in range(DF_BLOCKS)]), int(found[-1][0])
+    schema = "kind int, block int, counts binary"
+    found = rows.select("kept", "sketch").mapInArrow(count, schema).groupBy("kind", "block").applyInArrow(total, schema).collect()
+    seen, copies, shares = np.zeros((3, DF_BLOCKS, 2**DF_BITS // DF_BLOCKS), np.int64)
+    for r in found:
+        (seen, copies, shares)[r["kind"]][r["block"]] = np.frombuffer(r["counts"], "<i8")
+    return (seen + copies).reshape(-1), (seen + shares / FAMILY_UNIT).reshape(-1)
 
 
 def weight_codes(counts: np.ndarray, n: int) -> np.ndarray:
-    """The weight of each bucket of shingles as one byte, by the bucket's count beyond twice what it holds by chance."""
+    """The level of each bucket of shingles, by its share of n documents beyond twice what a bucket holds by chance."""
     excess = np.maximum(counts - 2 * counts.sum() / len(counts), 0) / max(n, 1)
     idf = -np.log(np.maximum(excess, 1 / RARE)) / np.log(RARE)
-    return np.rint(np.clip(idf, 0, 1) * 255).astype(np.uint8)
+    return np.rint(np.clip(idf, 0, 1) * (LEVELS - 1)).astype(np.uint8)
 
 
-def weights_of(kept: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return 1 + codes[kept >> np.uint32(32 - DF_BITS)] * (IDF_GAIN / 255)
+def level_weights() -> np.ndarray:
+    return 1 + np.arange(LEVELS) * (IDF_GAIN / (LEVELS - 1))
 
 
 @functools.lru_cache(1)
-def pool() -> tuple[np.ndarray, np.ndarray]:
-    """The random variates of ICWS: r, c ~ Gamma(2, 1) and beta ~ U(0, 1), as rows (1/r, r, beta, log c - r), and multipliers; a
-    sample of a shingle takes the row at a place that depends on both."""
+def pool() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The random variates of ICWS, r, c ~ Gamma(2, 1) and beta ~ U(0, 1), as rows (1/r, r, beta, log c - r), a sample's multipliers,
+    and for every level's weight and row the log a and t of a shingle that occurs once. A sample of a shingle takes the row at
+    a place that depends on both."""
     random = np.random.default_rng(20)
     r, c, beta = random.gamma(2, 1, 2**POOL_BITS), random.gamma(2, 1, 2**POOL_BITS), random.random(2**POOL_BITS)
-    multipliers = random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return np.stack([1 / r, r, beta, np.log(c) - r], 1).astype("f4"), multipliers
+    multipliers = random.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    variates = np.stack([1 / r, r, beta, np.log(c) - r]).astype("f4")
+    t = np.floor(variates[0] * np.log(level_weights())[:, None].astype("f4") + variates[2])
+    return variates, multipliers, (variates[3] - (t - variates[2]) * variates[1]).reshape(-1), t.astype(np.int16).reshape(-1)
 
 
-def samples(h: np.ndarray, weights: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """For each sample the shingle with the least log a, and its t."""
-    variates, multipliers = pool()
+def samples(tokens: np.ndarray, tf: np.ndarray, levels: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """For each sample the distinct token with the least log a, and its t; a token's weight is tf times that of its level."""
+    variates, multipliers, log_as, steps_of = pool()
     k = np.arange(len(multipliers))
     best, at, steps = np.full(len(k), np.inf, "f4"), np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-    log_weights = np.log(weights).astype("f4")
-    for start in range(0, len(h), chunk):
-        place = h[None, start : start + chunk] * multipliers[:, None]
-        place >>= np.uint64(64 - POOL_BITS)
-        drawn = variates.take(place.view(np.int64), axis=0, mode="clip")
-        t = drawn[..., 0] * log_weights[start : start + chunk]
-        t += drawn[..., 2]
-        np.floor(t, out=t)
-        log_a = t - drawn[..., 2]
-        log_a *= drawn[..., 1]
-        np.subtract(drawn[..., 3], log_a, out=log_a)
+
+    def take(log_a: np.ndarray, where: np.ndarray, t) -> None:
         j = log_a.argmin(1)
         better = log_a[k, j] < best
-        best, at, steps = np.where(better, log_a[k, j], best), np.where(better, j + start, at), np.where(better, t[k, j].astype(np.int64), steps)
-    return h[at], steps
-
-
-def band_keys(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    chosen, steps = samples(h, weights)
-    s = mixed(chosen + mixed(steps.astype(np.uint64))).reshape(BANDS, ROWS)
+        best[better], at[better], steps[better] = log_a[k, j][better], where[j][better], t(j)[better]
+
+    once, more = np.flatnonzero(tf == 1), np.flatnonzero(tf > 1)
+    for start in range(0, len(once), chunk):
+        some = once[start : start + chunk]
+        place = tokens[some] * multipliers[:, None]
+        place >>= np.uint32(32 - POOL_BITS)
+        place += levels[some].astype(np.uint32) << np.uint32(POOL_BITS)
+        take(log_as.take(place), some, lambda j: steps_of[place[k, j]])  # noqa: B023
+    for start in range(0, len(more), chunk):
+        some = more[start : start + chunk]
+        place = (tokens[some] * multipliers[:, None]) >> np.uint32(32 - POOL_BITS)
+        inverse, r, beta, rest = (v.take(place) for v in variates)
+        t = np.floor(inverse * np.log(tf[some] * level_weights()[levels[some]]).astype("f4") + beta)
+        take(rest - (t - beta) * r, some, lambda j: t[k, j])  # noqa: B023
+    return tokens[at], steps
+
+
+def band_keys(kept: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    tokens, tf = np.unique(kept, return_counts=True)
+    chosen, steps = samples(tokens, tf, codes[buckets_of(tokens)])
+    s = mixed(chosen.astype(np.uint64) + mixed(steps.astype(np.uint64))).reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = mixed(key * FNV + s[:, i])
     return key.view(np.int64)
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray, codes: np.ndarray) -> float:
-    """Sum of the least over sum of the largest weights, of two sorted arrays of stored shingles with repeats."""
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    both, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    common = float(weights_of(both, codes) @ np.minimum(ca[ia], cb[ib]))
-    union = float(weights_of(ua, codes) @ ca + weights_of(ub, codes) @ cb) - common
-    return common / union if union else 0.0
+def banded(rows: DataFrame, codes) -> DataFrame:
+    """row and bands of the documents that have shingles; a text that a task has met before gets no row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
+        for batch in groups_of(batches, "kept"):
+            at, bands = [], []
+            for row, node, k in zip(*(batch.column(c).to_pylist() for c in ("row", "node", "kept"))):
+                if k and node not in met:
+                    met.add(node)
+                    at.append(row)
+                    bands.append(band_keys(np.frombuffer(k, "<u4"), codes.value).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "bands"])
 
+    return rows.select("row", "node", "kept").mapInArrow(run, "row long, bands array<long>")
 
-def features(documents: DataFrame, codes) -> DataFrame:
-    """doc_id, row (a number), node (MD5 of the text), kept (the stored shingles) and bands of every document; codes: broadcast."""
-    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("row", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("kept", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
-        for batch in groups_of(batches):
-            rows = []
-            for text in texts_of(batch):
-                h = shingles(text)
-                distinct, tf = np.unique(h, return_counts=True)
-                bands = band_keys(distinct, tf * weights_of((distinct >> np.uint64(32)).astype("<u4"), codes.value)).tolist() if len(h) else []
-                rows.append((hashlib.md5(text.encode(), usedforsecurity=False).digest(), stored(h).tobytes(), bands))
-            numbers = pa.array(range(at, at + batch.num_rows), pa.int64())
-            at += batch.num_rows
-            columns = [batch.column("doc_id"), numbers, *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.binary(), pa.list_(pa.int64()))))]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+class Weighted:
+    """A text's distinct tokens and their weights."""
+
+    def __init__(self, kept: bytes, codes: np.ndarray):
+        self.tokens, tf = np.unique(np.frombuffer(kept, "<u4"), return_counts=True)
+        self.each = level_weights()[codes[buckets_of(self.tokens)]]
+        self.weights = self.each * tf
+        self.total = float(self.weights.sum())
+
+    def similarity(self, other: Weighted) -> float:
+        """Weighted Jaccard: sum of the least over sum of the largest weights."""
+        if not self.total:
+            return 0.0
+        place = np.minimum(np.searchsorted(self.tokens, other.tokens), len(self.tokens) - 1)
+        common = float(np.minimum(self.weights[place], other.weights)[self.tokens[place] == other.tokens].sum())
+        return common / (self.total + other.total - common)
+
+
+def weighted_jaccard(a: np.ndarray, b: np.ndarray, codes: np.ndarray) -> float:
+    return Weighted(a.tobytes(), codes).similarity(Weighted(b.tobytes(), codes))
+
 
-    return documents.mapInArrow(run, schema)
+def of_ids(kept: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the shingles of their ids. Always by a sort-merge join: ids grow with the documents and are never broadcast."""
+    return kept.join(rows.hint("merge"), "id")
 
 
-def verified(pairs: DataFrame, kept: DataFrame, codes, threshold: float) -> DataFrame:
-    """Those of the pairs (leader, node) whose weighted Jaccard similarity is at least threshold."""
+def verified(pairs: DataFrame, kept: DataFrame, codes, threshold: float, scratch: Scratch) -> DataFrame:
+    """Those of the distinct pairs (leader, id) whose weighted Jaccard similarity is at least threshold; kept: id and kept.
+
+    A leader's shingles are sent once for every SPLIT of its members, a member's once for each of its leaders."""
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("groups"))
+    dealt = scratch.table(pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("g"), "id", F.lit(1).alias("member")), "dealt")
+    heads = dealt.select("leader", "g", F.col("leader").alias("id"), F.lit(0).alias("member")).distinct()
+    grouped = of_ids(kept, dealt.unionByName(heads)).repartition("leader", "g").sortWithinPartitions("leader", "g", "member")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups_of(batches, "b"):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            good = [i for i in range(batch.num_rows) if weighted_jaccard(np.frombuffer(a[i], "<u4"), np.frombuffer(b[i], "<u4"), codes.value) >= threshold]
-            yield pa.RecordBatch.from_arrays([batch.column("leader").take(pa.array(good, pa.int32())), batch.column("node").take(pa.array(good, pa.int32()))], ["leader", "node"])
+        head = None
+        for batch in groups_of(batches, "kept"):
+            good = []
+            for i, (member, k) in enumerate(zip(batch.column("member").to_pylist(), batch.column("kept"))):
+                text = Weighted(k.as_py(), codes.value)
+                if not member:
+                    head = text
+                elif head.similarity(text) >= threshold:
+                    good.append(i)
+            chosen = pa.array(good, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("leader").take(chosen), batch.column("id").take(chosen)], ["a", "b"])
 
-    both = pairs.join(kept.select("node", F.col("kept").alias("b")), "node").join(kept.select(F.col("node").alias("leader"), F.col("kept").alias("a")), "leader")
-    return both.select("leader", "node", "a", "b").mapInArrow(run, "leader binary, node binary")
+    links = scratch.table(grouped.select("leader", "id", "member", "kept").mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(dealt)
+    return links
 
 
-def prefixes(kept: DataFrame, codes, threshold: float, counts=None) -> DataFrame:
-    """Rows (node, total, token): a text's weight, and its rarest shingles, from each of which on it has threshold of that weight.
+def prefixes(kept: DataFrame, codes, threshold: float, counts) -> DataFrame:
+    """Rows (id, total, token, rest): a text's weight, its rarest tokens, and the weight from each on, which is threshold of all or more.
 
-    Two texts that are similar by threshold have threshold * the larger weight in common. The first shingle that they share, in an
-    order of all shingles, comes before all of that weight, so it's among these of either text. counts (broadcast) gives the order;
-    without it the weights do."""
+    Two texts that are similar by threshold have threshold * the larger weight in common. The first token that they share, in an
+    order of all tokens, comes before all of that weight, so it's among these of either text. counts (broadcast) gives the order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of(batches, "kept"):
-            at, totals, tokens = [], [], []
+            at, totals, tokens, rests = [], [], [], []
             for i, k in enumerate(batch.column("kept").to_pylist()):
-                token, tf = np.unique(np.frombuffer(k, "<u4"), return_counts=True)
-                bucket = token >> np.uint32(32 - DF_BITS)
-                order = np.lexsort((token, -codes.value[bucket].astype(np.int64) if counts is None else counts.value[bucket]))
-                rest = np.cumsum((weights_of(token, codes.value) * tf)[order][::-1])[::-1]
-                chosen = token[order][rest >= threshold * rest[0] * (1 - 1e-9)]
-                at += [i] * len(chosen)
-                totals += [float(rest[0])] * len(chosen)
-                tokens += chosen.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at, pa.int32())), pa.array(totals, pa.float64()), pa.array(tokens, pa.int64())], ["node", "total", "token"])
-
-    return kept.select("node", "kept").mapInArrow(run, "node binary, total double, token long")
-
-
-def links(rows: DataFrame, codes, threshold: float, counts=None) -> DataFrame:
-    """Pairs (leader, node) of distinct texts, similar by threshold or more, that connect every class the buckets show.
-
-    rows: as features() gives them, written; counts: see prefixes()."""
-    nodes = written(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands")), "nodes")
-    bands = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = written(bands.join(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "buckets")
-    # leaders are the nodes that meet most others: the text that copies were made from, rather than any of the copies
-    ranks = written(shared.groupBy("node").agg((-F.sum("n")).alias("rank")), "ranks")
-    members = written(shared.select("key", "node").join(ranks, "node").select("key", "node", "rank"), "members")
-    met = nodes.join(ranks, "node").select("row", "node")
-    kept = written(rows.select("row", "kept").join(met, "row").select("node", "kept"), "kept")
-    found: list[DataFrame] = []
-
-    def compare(pairs: DataFrame) -> None:
-        found.append(written(verified(pairs.select("leader", "node").where("leader <> node").distinct(), kept, codes, threshold), "links"))
-
-    def unconnected(members: DataFrame) -> DataFrame:
-        """Rows (key, node, rank, label, n) of all members of the buckets whose members aren't all connected by what is found."""
-        label = components(functools.reduce(DataFrame.unionByName, found))
-        labelled = written(members.select("key", "node", "rank").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-        several = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
-        return written(labelled.join(several.select("key", "n"), "key"), "unconnected")
-
-    compare(members.join(members.groupBy("key").agg(F.min(F.struct("rank", "node"))["node"].alias("leader")), "key"))
-    left = unconnected(members)
-    if not left.isEmpty():
-        best = F.min(F.struct("rank", "node", "label"))
-        others = left.join(left.groupBy("key").agg(best.alias("first")), "key").where(F.col("label") != F.col("first.label"))
-        second = others.groupBy("key").agg(best.alias("second"))
-        compare(left.join(second, "key").where(F.col("label") != F.col("second.label")).select(F.col("second.node").alias("leader"), "node"))
-        left = unconnected(left)
-    # every pair of a bucket that isn't connected by now, whatever its rows were compared with before
-    small, large = left.where(F.col("n") <= SMALL).select("key", "node", "label"), left.where(F.col("n") > SMALL).select("key", "node", "label")
-    if not small.isEmpty():
-        compare(small.select("key", F.col("node").alias("leader"), F.col("label").alias("other")).join(small, "key").where("leader < node and label <> other"))
-    if not large.isEmpty():
-        own = prefixes(kept.join(large.select("node").distinct(), "node"), codes, threshold, counts)
-        dealt = written(large.join(own, "node"), "prefixes")
-        several = dealt.groupBy("key", "token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", "token")
-        dealt = written(dealt.join(several, ["key", "token"]), "prefixes")
-        leaders = dealt.select("key", "token", F.col("node").alias("leader"), F.col("label").alias("other"), F.col("total").alias("weight"))
-        near = F.least("total", "weight") >= threshold * (1 - 1e-9) * F.greatest("total", "weight")
-        compare(leaders.join(dealt, ["key", "token"]).where("leader < node and label <> other").where(near))
-    return functools.reduce(DataFrame.unionByName, found)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node -> label, equal for connected nodes: least label of the neighbours and a jump to the label's label, until none changes."""
-    both = written(edges.select(F.col("leader").alias("a"), F.col("node").alias("b")).union(edges.select(F.col("node").alias("a"), F.col("leader").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+                text = Weighted(k, codes.value)
+                order = np.lexsort((text.tokens, counts.value[buckets_of(text.tokens)]))
+                rest = np.cumsum(text.weights[order][::-1])[::-1]
+                chosen = rest >= threshold * text.total * (1 - ROUNDING)
+                at += [i] * int(chosen.sum())
+                totals += [text.total] * int(chosen.sum())
+                tokens += text.tokens[order][chosen].tolist()
+                rests += rest[chosen].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int32())), pa.array(totals, pa.float64()), pa.array(tokens, pa.int64()), pa.array(rests, pa.float64())], ["id", "total", "token", "rest"])
+
+    return kept.select("id", "kept").mapInArrow(run, "id long, total double, token long, rest double")
+
+
+def prefix_pairs(rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (leader, id) of rows (id, label, size of the label's class, total, token, rest) of different labels that may be similar.
+
+    What two texts have in common lies, for the first token that they share, in the rest of either; it must be threshold / (1 +
+    threshold) of both weights. So a row asks for texts of a range of weights only, and rows of a token's largest class ask for none:
+    of two classes one isn't the largest."""
+    several = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("size", "label"))["label"].alias("largest")).where("x <> y")
+    dealt = scratch.table(rows.join(several.select("token", "largest"), "token"), "prefixes")
+    step = lambda w: F.floor(F.log(w) / F.lit(float(np.log(STEP)))).cast("int")
+    share = threshold / (1 + threshold) * (1 - ROUNDING)
+    heaviest = F.col("rest") / F.lit(share) - F.col("total")
+    asked = F.explode(F.sequence(step(threshold * (1 - ROUNDING) * F.col("total")), step(heaviest)))
+    asks = dealt.where("label <> largest").select("token", asked.alias("step"), *(F.col(c).alias(f"own_{c}") for c in ("id", "label", "total", "rest")))
+    fits = F.least("rest", "own_rest") >= F.lit(share) * (F.col("total") + F.col("own_total"))
+    met = dealt.withColumn("step", step(F.col("total"))).join(asks, ["token", "step"]).where(fits & (F.col("label") != F.col("own_label")))
+    pairs = scratch.table(met.select(F.least("id", "own_id").alias("leader"), F.greatest("id", "own_id").alias("id")).distinct(), "pairs")
+    scratch.drop(dealt)
+    return pairs
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """id -> label, equal for connected ids of edges (a, b): least label of the neighbours and a jump to the label's label, until none
+    changes."""
+    both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = written(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("now")), "labels")
-        jump = step.select(F.col("node").alias("now"), F.col("now").alias("far"))
-        labels = written(step.join(jump, "now").select("node", F.least("now", "far").alias("label"), (F.least("now", "far") != F.col("was")).alias("moved")), "labels")
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = scratch.table(labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("now")), "labels")
+        jump = step.select(F.col("id").alias("now"), F.col("now").alias("far"))
+        done, labels = labels, scratch.table(step.join(jump, "now").select("id", F.least("now", "far").alias("label"), (F.least("now", "far") != F.col("was")).alias("moved")), "labels")
+        scratch.drop(done, step)
         if labels.where("moved").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+            scratch.drop(both)
+            return labels.select("id", "label")
+
+
+def label_of(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the label of a column's ids, which is the id itself for those that have none."""
+    return rows.join(labels.select(F.col("id").alias(column), F.col("label").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def contracted(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels (id, label of every node) after more edges: only the classes that these join are gone through again."""
+    between = label_of(label_of(edges, labels, "a", "x"), labels, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(between, scratch)
+    return scratch.table(label_of(labels.withColumnRenamed("label", "old"), joined, "old", "label").select("id", "label"), "labels")
+
+
+def linked(nodes: DataFrame, shingles: DataFrame, codes, counts, threshold: float, scratch: Scratch, *done: DataFrame) -> DataFrame:
+    """id -> label of the nodes (id, bands) that share a bucket with others: equal for those that links of threshold or more connect,
+    where links are all pairs of a bucket that are so similar. shingles: id and kept of all nodes, at least; done: tables of
+    scratch that nobody reads once these have been read."""
+    keys = nodes.select("id", F.explode("bands").alias("key"))
+    shared = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    shared = scratch.table(shared, "buckets")
+    # leaders are the nodes that meet most others: the text that copies were made from, rather than any of the copies
+    ranks = scratch.table(shared.groupBy("id").agg((-F.sum("n")).alias("rank")), "ranks")
+    members = scratch.table(shared.join(ranks, "id").select("key", "id", "rank"), "members")
+    scratch.drop(shared)
+    first = members.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("first"))
+    led = scratch.table(members.select("key", "id").join(first, "key").select("key", "id", "first"), "led")
+
+    kept = scratch.table(of_ids(shingles, ranks.select("id")).select("id", "kept"), "kept")
+    scratch.drop(*done)
+    best = led.groupBy("id").agg(F.min("first")["id"].alias("leader")).where("leader <> id")
+    tested = scratch.table(best.select("leader", "id"), "pairs")
+    own = ranks.select("id", F.col("id").alias("label"))
+    labels = contracted(own, verified(tested, kept, codes, threshold, scratch), scratch)
+
+    def by_bucket(labels: DataFrame) -> DataFrame:
+        """The rows (key, id, label, leader, leader's label) of buckets that hold several classes."""
+        rows = label_of(led.select("key", "id", F.col("first.id").alias("leader")), labels, "id", "label")
+        several = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        return scratch.table(rows.join(several, "key"), "several")
+
+    left = by_bucket(labels)
+    if left.isEmpty():
+        return labels
+    whole, kept = kept, scratch.table(of_ids(kept, left.select("id").union(left.select("leader")).distinct()).select("id", "kept"), "kept")
+    scratch.drop(whole)
+    others = label_of(left.select("leader", "id", "label").where("leader <> id").distinct(), labels, "leader", "led").where("label <> led")
+    again = scratch.table(others.select("leader", "id").join(tested, ["leader", "id"], "left_anti"), "pairs")
+    if not again.isEmpty():
+        labels = contracted(labels, verified(again, kept, codes, threshold, scratch), scratch)
+        left = by_bucket(labels)
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    rest = scratch.table(left.select("id", "label").distinct().join(sizes, "label"), "rest")
+    scratch.drop(led, members, left)
+    if not rest.isEmpty():
+        own_prefix = prefixes(of_ids(kept, rest.select("id")), codes, threshold, counts).join(rest, "id")
+        pairs = prefix_pairs(scratch.table(own_prefix, "prefixes"), threshold, scratch)
+        labels = contracted(labels, verified(pairs, kept, codes, threshold, scratch), scratch)
+    return labels
 
 
 def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size (documents), node (the text's MD5)
-    and class_key (a node of the class).
+    and class_key (a number of the class).
 
     Documents are in one class if their texts are equal or a chain of similar texts connects them. Words are compared without
     case; fewer than five words make one shingle. A null text counts as an empty one; texts without words are in a class only
@@ -288,14 +414,22 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, i
     gives no rows; other columns of the input, whatever their names, are not read.
     """
     spark = documents.sparkSession
+    scratch = Scratch(spark)
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    frequencies, n = document_frequencies(texts)
-    codes, counts = spark.sparkContext.broadcast(weight_codes(frequencies, n)), spark.sparkContext.broadcast(frequencies)
-    rows = written(features(texts, codes), "features")
-    label = components(links(rows, codes, threshold, counts))
-    labelled = written(rows.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("class_key")), "members")
-    classes = labelled.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(classes, "class_key").select("doc_id", "class_id", "class_size", "node", "class_key")
+    rows = scratch.table(shingled(texts), "shingles")
+    n = rows.where(F.size("sketch") > 0).count()
+    raw, families_once = document_frequencies(rows, families(rows, n))
+    codes, counts = spark.sparkContext.broadcast(weight_codes(families_once, n)), spark.sparkContext.broadcast(raw)
+    nodes = scratch.table(rows.groupBy("node").agg(F.min("row").alias("id")), "nodes")
+    bands = scratch.table(banded(rows, codes), "bands")
+    members = scratch.table(rows.select("doc_id", "node"), "documents")
+    own = bands.join(nodes.select(F.col("id").alias("row")), "row", "left_semi").withColumnRenamed("row", "id")
+    labels = linked(own, rows.select(F.col("row").alias("id"), "kept"), codes, counts, threshold, scratch, rows)
+    label = label_of(nodes, labels, "id", "class_key").select("node", "class_key")
+    found = scratch.table(members.join(label, "node"), "classes")
+    scratch.keep(found)
+    classes = found.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return found.join(classes, "class_key").select("doc_id", "class_id", "class_size", "node", "class_key")
 
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,11 +437,14 @@ def keep_one(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     Null ids come last; of rows with the same id and text one stays; null and empty texts are a class of their own.
     """
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node"))
+    own = f"pick_{uuid.uuid4().hex}"
+
+    def pick(node: Column, doc_id: Column) -> Column:
+        """One key of a text and an id, so that the join and the removal of repeated rows share a shuffle."""
+        return F.concat(node, F.lit("|"), F.coalesce(doc_id.cast("string"), F.lit("null"))).alias(own)
+
     classes = near_duplicate_classes(documents, threshold, id_col, text_col)
-    own_id, own_node = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "node"))
-    chosen = classes.groupBy("class_key").agg(best.alias("m")).select(F.col("m.doc_id").alias(own_id), F.col("m.node").alias(own_node))
-    node = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    rows = documents.withColumn(f"{own_node}_", node)
-    kept = rows.join(chosen, (rows[f"{own_node}_"] == chosen[own_node]) & F.col(id_col).eqNullSafe(chosen[own_id]), "left_semi")
-    return kept.dropDuplicates([id_col, f"{own_node}_"]).drop(f"{own_node}_")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node"))
+    chosen = classes.groupBy("class_key").agg(first.alias("m")).select(pick(F.lower(F.hex("m.node")), F.col("m.doc_id")))
+    rows = documents.withColumn(own, pick(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")), F.col(id_col)))
+    return rows.join(chosen, own, "left_semi").dropDuplicates([own]).drop(own)

@@ -41,6 +41,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in a folder of its own: dropped once later tables hold what they were for, so a run's disk stays bounded."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, new_dir(spark, "scratch"), {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table in the folder, read again."""
+        path = f"{self.root}/{len(self.paths):03d}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def _delete(self, paths: list[str]) -> None:
+        for p in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.paths[p] = None
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        self._delete([p for p, t in self.paths.items() if any(t is x for x in tables)])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all other tables."""
+        self._delete([p for p, t in self.paths.items() if t is not None and not any(t is x for x in tables)])
+
+
 def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id's decimal digits, modulo folds; a null id counts as the text 'null'."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % folds).cast("int")

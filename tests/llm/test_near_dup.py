@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stemforge.llm import near_dup as N
 
@@ -35,23 +36,26 @@ def test_icws_samples_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(1)
     agree, want = [], []
     for k in range(60):
-        h = N.mixed(rng.integers(0, 2**63, 400, dtype=np.uint64))
-        w = rng.choice([1.0, 1.1, 1.25, 2.5], 400)
+        h = rng.integers(0, 2**32, 400, dtype=np.uint32)
+        tf, levels = rng.choice([1, 1, 1, 2, 5], 400), rng.integers(0, N.LEVELS, 400).astype(np.uint8)
+        w = tf * N.level_weights()[levels]
         cut = 40 * (k % 5)
-        a, b = (h[: 400 - cut], w[: 400 - cut]), (h[cut:], w[cut:])
-        (sa, ta), (sb, tb) = N.samples(*a), N.samples(*b)
+        a, b = slice(0, 400 - cut), slice(cut, 400)
+        (sa, ta), (sb, tb) = N.samples(h[a], tf[a], levels[a]), N.samples(h[b], tf[b], levels[b])
         agree.append(float(((sa == sb) & (ta == tb)).mean()))
         common = w[cut : 400 - cut].sum()
-        want.append(common / (2 * w.sum() - w[:cut].sum() - w[400 - cut :].sum() - common))
+        want.append(common / (w[a].sum() + w[b].sum() - common))
     for d in range(5):
         assert abs(np.mean(agree[d::5]) - np.mean(want[d::5])) < 0.05
 
 
-def test_weighted_samples_respect_weights():
+@pytest.mark.parametrize("tf", [1, 3])
+def test_weighted_samples_respect_weights(tf):
     # of one shingle with different weights, the share of equal samples is min / max
     rng = np.random.default_rng(2)
-    hits = [np.mean(N.samples(h, np.array([1.0]))[1] == N.samples(h, np.array([2.0]))[1]) for h in rng.integers(0, 2**63, (200, 1), dtype=np.uint64)]
-    assert abs(np.mean(hits) - 0.5) < 0.05
+    one = lambda h, level: N.samples(h, np.array([tf]), np.array([level], np.uint8))[1]
+    hits = [np.mean(one(h, 0) == one(h, N.LEVELS - 1)) for h in rng.integers(0, 2**32, (200, 1), dtype=np.uint32)]
+    assert abs(np.mean(hits) - 1 / (1 + N.IDF_GAIN)) < 0.05
 
 
 def test_classes_are_those_of_brute_force(spark):
@@ -109,7 +113,54 @@ def test_idf_lowers_frequent_shingles_by_their_share():
     counts = np.full(2**N.DF_BITS, 0)
     counts[:3] = 1000, 100, 1
     codes = N.weight_codes(counts, 1000)
-    assert codes[0] == 0 and 0 < codes[1] < 255 and codes[2] > 250
+    assert codes[0] == 0 and 0 < codes[1] < N.LEVELS - 1 and codes[2] == N.LEVELS - 1
+
+
+def test_copies_of_a_text_count_as_one_document(spark):
+    base, passage = doc(150, 500), doc(60, 501)
+    copies = [edited(base, i % 5, 600 + i) for i in range(300)]
+    others = [doc(120, 5000 + i) + (" " + passage if i % 2 else "") for i in range(600)]
+    rows = N.Scratch(spark).table(N.shingled(spark.createDataFrame(list(enumerate(copies + others)), "doc_id long, text string")), "shingles")
+    raw, once = N.document_frequencies(rows, N.families(rows, 900))
+    at = lambda text: N.buckets_of(N.stored(N.shingles(text)))
+    assert np.median(raw[at(base)]) > 200 and np.median(once[at(base)]) < 30
+    assert np.median(raw[at(passage)]) >= 300 and np.median(once[at(passage)]) > 150
+    codes = N.weight_codes(once, 900)
+    assert np.median(codes[at(passage)]) < np.median(codes[at(base)]) <= N.LEVELS - 1
+
+
+def test_frequent_passages_weigh_less_than_what_is_a_texts_own(spark):
+    passage = doc(150, 502)
+    texts = [doc(30, 8000 + i) + " " + passage for i in range(200)]
+    assert min(jaccard(texts[0], t) for t in texts[1:]) > 0.65
+    rows = N.Scratch(spark).table(N.shingled(spark.createDataFrame(list(enumerate(texts + [doc(100, i) for i in range(100)])), "doc_id long, text string")), "shingles")
+    once = N.document_frequencies(rows, {})[1]
+    codes = N.weight_codes(once, 300)
+    a, b = (N.stored(N.shingles(t)) for t in texts[:2])
+    assert N.weighted_jaccard(a, b, codes) < jaccard(*texts[:2]) - 0.1
+    assert abs(N.weighted_jaccard(a, b, np.zeros_like(codes)) - jaccard(*texts[:2])) < 1e-9
+
+
+def test_near_copies_of_the_table_are_found_by_weighted_similarity(spark):
+    """Of all pairs of distinct texts with a weighted similarity of 0.8 or more, as brute force finds them, all are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = N.Scratch(spark).table(N.shingled(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "shingles")
+    n = rows.where(F.size("sketch") > 0).count()
+    codes = N.weight_codes(N.document_frequencies(rows, N.families(rows, n))[1], n)
+    got = rows.select("doc_id", "node", "kept").toPandas()
+    found = {r["doc_id"]: r["class_id"] for r in N.near_duplicate_classes(docs).collect()}
+    texts = [(d, N.Weighted(k, codes)) for d, k in zip(got.doc_id[~got.node.duplicated()], got.kept[~got.node.duplicated()]) if k]
+    postings, alike = {}, 0
+    for d, t in texts:
+        for token in t.tokens.tolist():
+            postings.setdefault(token, []).append(d)
+    by = dict(texts)
+    pairs = {(a, b) for ids in postings.values() for i, a in enumerate(ids) for b in ids[:i]}
+    for a, b in pairs:
+        if by[a].similarity(by[b]) >= 0.8:
+            alike += 1
+            assert found[a] == found[b]
+    assert alike >= 4
 
 
 def test_query_on_the_small_table(spark):
@@ -129,15 +180,15 @@ def test_shingles_of_short_texts(words):
 
 
 def linked_groups(spark, texts, bands):
-    """The groups of names that links() connects among hand-made buckets."""
-    codes = spark.sparkContext.broadcast(np.full(2**N.DF_BITS, 255, np.uint8))
-    rows = [(i, bytes(k, "ascii"), N.stored(N.shingles(t)).tobytes(), bands[k]) for i, (k, t) in enumerate(texts.items())]
-    rows = N.written(spark.createDataFrame(rows, "row long, node binary, kept binary, bands array<long>"), "features")
-    label = {k: k for k in texts}
-    for a, b in ((bytes(r["leader"]).decode(), bytes(r["node"]).decode()) for r in N.links(rows, codes, 0.8).collect()):
-        assert jaccard(texts[a], texts[b]) >= 0.8
-        label = {k: label[a] if v == label[b] else v for k, v in label.items()}
-    return {frozenset(k for k in label if label[k] == v) for v in label.values()} - {frozenset([k]) for k in label}
+    """The groups of names that linked() finds among hand-made buckets."""
+    codes = spark.sparkContext.broadcast(np.full(2**N.DF_BITS, N.LEVELS - 1, np.uint8))
+    counts = spark.sparkContext.broadcast(np.zeros(2**N.DF_BITS, np.int64))
+    scratch, names = N.Scratch(spark), list(texts)
+    rows = scratch.table(spark.createDataFrame([(i, N.stored(N.shingles(t)).tobytes(), bands[k]) for i, (k, t) in enumerate(texts.items())], "id long, kept binary, bands array<long>"), "features")
+    groups = {}
+    for r in N.linked(rows.select("id", "bands"), rows.select("id", "kept"), codes, counts, 0.8, scratch).collect():
+        groups.setdefault(r["label"], set()).add(names[r["id"]])
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
 
 
 def chain(length, seed):
@@ -170,15 +221,39 @@ def test_pairs_of_one_band_are_found_in_buckets_of_every_size(spark, unlike):
     assert linked_groups(spark, texts, bands) == {frozenset({"p", "q", "r"})}
 
 
-def test_prefixes_hold_the_first_shared_shingle_of_similar_texts(spark):
-    codes = spark.sparkContext.broadcast(np.random.default_rng(3).integers(0, 256, 2**N.DF_BITS).astype(np.uint8))
+def test_prefix_pairs_hold_every_similar_pair_of_different_classes(spark):
+    codes = spark.sparkContext.broadcast(np.random.default_rng(3).integers(0, N.LEVELS, 2**N.DF_BITS).astype(np.uint8))
+    counts = spark.sparkContext.broadcast(np.random.default_rng(4).integers(0, 50, 2**N.DF_BITS))
     base = doc(120, 80)
-    texts = [edited(base, i % 12, 800 + i) + " " + " ".join(base.split()[: i % 7]) for i in range(40)]
+    texts = [edited(base, i % 12, 800 + i) + " " + " ".join(base.split()[: 3 * (i % 7)]) for i in range(40)]
     kept = [N.stored(N.shingles(t)) for t in texts]
-    rows = spark.createDataFrame([(bytes([i]), k.tobytes()) for i, k in enumerate(kept)], "node binary, kept binary")
-    of = {}
-    for r in N.prefixes(rows, codes, 0.8).collect():
-        of.setdefault(r["node"][0], set()).add(r["token"])
-    alike = [(i, j) for i in range(40) for j in range(i) if N.weighted_jaccard(kept[i], kept[j], codes.value) >= 0.8]
-    assert len(alike) > 20 and all(of[i] & of[j] for i, j in alike)
-    assert sum(map(len, of.values())) < sum(map(len, kept)) / 2
+    scratch = N.Scratch(spark)
+    rows = N.prefixes(spark.createDataFrame([(i, k.tobytes()) for i, k in enumerate(kept)], "id long, kept binary"), codes, 0.8, counts)
+    alike = {(i, j) for j in range(40) for i in range(j) if N.weighted_jaccard(kept[i], kept[j], codes.value) >= 0.8}
+    assert len(alike) > 20
+    for classes_of in (lambda i: i, lambda i: i % 3, lambda i: 0 if i < 30 else i):
+        label = spark.createDataFrame([(i, classes_of(i), sum(classes_of(j) == classes_of(i) for j in range(40))) for i in range(40)], "id long, label long, size long")
+        got = {(r["leader"], r["id"]) for r in N.prefix_pairs(rows.join(label, "id"), 0.8, scratch).collect()}
+        assert {(i, j) for i, j in alike if classes_of(i) != classes_of(j)} <= got
+        assert all(classes_of(i) != classes_of(j) for i, j in got)
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark):
+    """Texts that are alike by their source only, but not enough: pairs grow with the group, not with its square."""
+    made = []
+
+    class Counted(N.Scratch):
+        def table(self, df, name):
+            out = super().table(df, name)
+            if name == "pairs":
+                made.append(out.count())
+            return out
+
+    texts = [edited(doc(150, 90), i % 13, 900 + i) for i in range(400)]
+    rows = N.shingled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    scratch = Counted(spark)
+    rows = scratch.table(rows, "shingles")
+    raw, once = N.document_frequencies(rows, N.families(rows, 400))
+    codes, counts = spark.sparkContext.broadcast(N.weight_codes(once, 400)), spark.sparkContext.broadcast(raw)
+    N.linked(N.banded(rows, codes).withColumnRenamed("row", "id"), rows.select(F.col("row").alias("id"), "kept"), codes, counts, 0.8, scratch).count()
+    assert sum(made) < 12 * 400
