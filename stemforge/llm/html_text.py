@@ -5,16 +5,20 @@ Every node of the page's tree gets the density
     C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + LCb / Cb * C + e))
 
 of its characters C, tags T, characters in links LC and link tags LT (LCb and Cb: those of the body; 0 counts as 1). The node whose
-children's densities sum to most holds the article; where it lies in an article or main element, that whole element is taken. The
-least density on the path from it to the body is the threshold that a part of the page beside this path must reach to belong to
-the article too (a first heading always does). Tags that only set the look of words don't count as tags. Parts that say themselves that they are not text of
-the article (navigation, forms, scripts, adverts, comments and the like) are taken off first.
+children's densities sum to most holds the article. The least density on the path from it to the body is the threshold that a part
+of the page beside this path must reach to belong to the article too; a first heading always does, and within an article or main
+element that holds the node all does that has a density at all, which links alone have not. Tags that only set the look of words
+don't count as tags.
+
+Parts that say themselves that they are not text of the article (navigation, forms, scripts, adverts, comments and the like) are
+taken off first. Names of classes that can mean several things only nominate a part: inside the chosen node its density decides.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from math import e, log
 
@@ -25,13 +29,17 @@ from pyspark.sql import types as T
 
 from stemforge.llm.shared import groups_of
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-WORD = re.compile(r"[a-z]+")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+GAP = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE_VALUE = re.compile(r"[^\s>]*")
+PART = re.compile(r"[a-z]+|[0-9]+")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content isn't markup.
-RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements whose content isn't markup, and their ends.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in "script style textarea title iframe noembed noframes xmp".split()}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements within a line, which don't count as tags.
 INLINE = frozenset("abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -39,101 +47,153 @@ INLINE = frozenset("abbr acronym b bdi bdo big br cite code del dfn em font i im
 ENDS_PARAGRAPH = BLOCKS - frozenset("body caption html legend tbody td tfoot th thead tr".split())
 #: An opening tag of the key ends an open element of the value, up to the listed scopes.
 ENDS_ITS_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = frozenset("ul ol dl table select menu body html".split())
+SCOPES = ("ul", "ol", "dl", "table", "select", "menu")
+PARAGRAPH_SCOPES = (*SCOPES, "td", "th", "button")
 OFF_TAGS = frozenset("nav footer aside form button select option datalist dialog menu script style textarea title head noscript template iframe noembed noframes svg canvas object audio video map".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tooltip".split())
-OFF_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal newsletter "
-    "subscribe subscription share sharing social related recommended recommendations comment comments reply replies respond disqus footer copyright widget toolbar pagination pager login signup search".split()
-)
+#: Names of classes and ids that mean a part beside the article wherever it lies.
+OFF_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing comment comments disqus replies respond footer copyright pagination pager login signup".split())
+#: Names that may mean one: inside the article they need a low density too.
+VAGUE_WORDS = frozenset("sponsor promo promotion banner notice notices alert social related recommended recommendations reply widget toolbar search".split())
+#: What a name may end in and mean the same.
+HOLDERS = frozenset("area articles bar block body bottom box button buttons container content feed footer form header icons inner item items left line link links list main message module outer panel posts region right row section sidebar slot stories text thread title top unit widget wrap wrapper zone".split())
+#: Beginnings that make a name tell of something else.
+TELLS = frozenset("has no with without is not".split())
 #: Off only outside an article, and not where they hold its heading alone.
 HEADERS = frozenset("header masthead topbar".split())
+KEPT_TAGS = ("html", "body", "article", "main")
+
+
+def names_one(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id is one of words, alone, at its end, or with names of holders and numbers behind it."""
+    parts = PART.findall(name)
+    if not parts or parts[0] in TELLS:
+        return False
+    while len(parts) > 1 and (parts[-1] in HOLDERS and parts[-1] not in words or parts[-1].isdigit()):
+        parts.pop()
+    return parts[-1] in words
 
 
 class Page:
-    """A page's tree: node 0 is the root; per node its parent, tag, mark as off, and pieces of text and child nodes in order."""
+    """A page's tree: node 0 is the root; per node its parent, tag, marks as off and as maybe off, and pieces of text and child nodes
+    in order. Built in one pass: open elements are a stack, with the places of each tag in it."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.off, self.parts = [-1], ["html"], [False], [[]]
+        self.parent, self.tag, self.off, self.vague, self.parts = [-1], ["html"], [False], [False], [[]]
         self.headers: set[int] = set()
+        self.stack, self.places = [0], defaultdict(list)
         self.read(source)
 
-    def open(self, at: int, tag: str, attributes: str) -> int:
+    def add(self, tag: str, attributes: dict[str, str]) -> int:
+        node, at = len(self.parent), self.stack[-1]
         self.parent.append(at)
         self.tag.append(tag)
-        self.off.append(tag in OFF_TAGS)
         self.parts.append([])
-        node = len(self.parent) - 1
         self.parts[at].append(node)
-        words: set[str] = set()
-        for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id"):
-                words.update(WORD.findall(value))
-            elif name == "role":
-                self.off[node] |= value in OFF_ROLES
-            elif name == "style":
-                self.off[node] |= "display:none" in value.replace(" ", "")
-            else:
-                self.off[node] |= name == "hidden" or value == "true"
-        if tag not in ("html", "body", "article", "main"):
-            self.off[node] |= not OFF_WORDS.isdisjoint(words)
-            if tag == "header" or not HEADERS.isdisjoint(words):
-                if not self.off[node] and not self.within(at, ("article", "main")):
-                    self.off[node] = True
-                    self.headers.add(node)
+        off = tag in OFF_TAGS or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+        off = off or attributes.get("role", "").lower().strip() in OFF_ROLES or bool(HIDING.search(attributes.get("style", "").lower()))
+        vague = False
+        if tag not in KEPT_TAGS and not off:
+            names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+            off = any(names_one(x, OFF_WORDS) for x in names)
+            vague = not off and any(names_one(x, VAGUE_WORDS) for x in names)
+            if not off and not self.places["article"] and not self.places["main"] and (tag == "header" or any(names_one(x, HEADERS) for x in names)):
+                off = True
+                self.headers.add(node)
+        self.off.append(off)
+        self.vague.append(vague)
         return node
 
-    def within(self, node: int, tags: tuple[str, ...]) -> bool:
-        while node >= 0:
-            if self.tag[node] in tags:
-                return True
-            node = self.parent[node]
-        return False
+    def push(self, node: int) -> None:
+        self.places[self.tag[node]].append(len(self.stack))
+        self.stack.append(node)
 
-    def nearest(self, at: int, tags: tuple[str, ...], scopes: frozenset[str]) -> int:
-        """The nearest open element of these tags, not beyond a scope; -1 if none."""
-        while at > 0:
-            if self.tag[at] in tags:
-                return at
-            if self.tag[at] in scopes:
-                return -1
-            at = self.parent[at]
-        return -1
+    def close(self, depth: int) -> None:
+        """Ends the open element at a place of the stack and all within it."""
+        while len(self.stack) > depth:
+            self.places[self.tag[self.stack.pop()]].pop()
+
+    def nearest(self, tags: tuple[str, ...], scopes: tuple[str, ...] = ()) -> int:
+        """The place of the innermost open element of these tags that lies within all open scopes; 0 if none."""
+        last = lambda names: max((self.places[t][-1] for t in names if self.places[t]), default=0)
+        found = last(tags)
+        return found if found > last(scopes) else 0
+
+    def attributes(self, source: str, place: int) -> tuple[dict[str, str], int, bool]:
+        """The attributes of a tag from here on, by the first of each name, the place behind the tag (-1: never ends) and
+        whether it ends itself."""
+        found: dict[str, str] = {}
+        while True:
+            gap = GAP.match(source, place)
+            place = gap.end()
+            if place >= len(source):
+                return found, -1, False
+            if source[place] == ">":
+                return found, place + 1, gap[0].endswith("/")
+            m = ATTRIBUTE.match(source, place)
+            name, value, place = m[0].lower(), "", m.end()
+            if equals := EQUALS.match(source, place):
+                place = equals.end()
+                quote = source[place : place + 1]
+                end = source.find(quote, place + 1) if quote in ('"', "'") and self.last[quote] > place else -1
+                if end >= 0:
+                    value, place = source[place + 1 : end], end + 1
+                else:
+                    m = BARE_VALUE.match(source, place)
+                    value, place = m[0], m.end()
+            found.setdefault(name, html.unescape(value) if "&" in value else value)
+
+    def text_of(self, source: str, start: int, end: int) -> None:
+        if end > start:
+            self.parts[self.stack[-1]].append(html.unescape(source[start:end]))
 
     def read(self, source: str) -> None:
-        at, place = 0, 0
-        while (m := TAG.search(source, place)) is not None:
-            if m.start() > place:
-                self.parts[at].append(html.unescape(source[place : m.start()]))
-            place = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
-                continue
-            if m[1]:
-                found = self.nearest(at, (tag,), frozenset())
-                if found > 0:
-                    at = self.parent[found]
-                elif tag == "p":
-                    self.open(at, "p", "")
-                continue
-            if tag in ENDS_PARAGRAPH and (p := self.nearest(at, ("p",), SCOPES | {"td", "th", "button"})) > 0:
-                at = self.parent[p]
-            if tag in ENDS_ITS_KIND and (p := self.nearest(at, ENDS_ITS_KIND[tag], SCOPES)) > 0:
-                at = self.parent[p]
-            node = self.open(at, tag, m[3])
-            if tag in RAW:
-                end = re.compile(f"</{tag}[^>]*>", re.I).search(source, place)
-                self.parts[node].append(source[place : end.start() if end else len(source)])
-                place = end.end() if end else len(source)
-            elif tag not in VOID and not m[3].endswith("/"):
-                at = node
-        if place < len(source):
-            # what begins like a tag at the end of a cut page isn't text
-            rest = re.sub(r"<[a-zA-Z/!][^>]*\Z", "", source[place:])
-            self.parts[at].append(html.unescape(rest))
-
-    def sums(self, off: list[bool]) -> tuple[list[float], ...]:
+        self.last = {q: source.rfind(q) for q in ('"', "'")}
+        place = start = 0
+        while (place := source.find("<", place)) >= 0:
+            following = source[place + 1 : place + 2]
+            if following in ("!", "?"):
+                self.text_of(source, start, place)
+                comment = source.startswith("<!--", place)
+                end = source.find("-->" if comment else ">", place + 2)
+                place = start = len(source) if end < 0 else end + (3 if comment else 1)
+            elif following == "/":
+                m = NAME.match(source, place + 2)
+                end = source.find(">", place + 2)
+                self.text_of(source, start, place)
+                if m and end >= 0:
+                    self.end_tag(m[0].lower())
+                place = start = len(source) if end < 0 else end + 1
+            elif m := NAME.match(source, place + 1):
+                self.text_of(source, start, place)
+                given, end, itself = self.attributes(source, m.end())
+                # what begins like a tag at the end of a cut page isn't text
+                place = start = len(source) if end < 0 else self.start_tag(m[0].lower(), given, itself, source, end)
+            else:
+                place += 1
+        self.text_of(source, start, len(source))
+
+    def end_tag(self, tag: str) -> None:
+        if depth := self.nearest((tag,)):
+            self.close(depth)
+        elif tag == "p":
+            self.add("p", {})
+
+    def start_tag(self, tag: str, given: dict[str, str], itself: bool, source: str, place: int) -> int:
+        if tag in ENDS_PARAGRAPH and (depth := self.nearest(("p",), PARAGRAPH_SCOPES)):
+            self.close(depth)
+        if tag in ENDS_ITS_KIND and (depth := self.nearest(ENDS_ITS_KIND[tag], SCOPES)):
+            self.close(depth)
+        node = self.add(tag, given)
+        if tag in RAW:
+            end = RAW[tag].search(source, place)
+            self.parts[node].append(source[place : end.start() if end else len(source)])
+            return end.end() if end else len(source)
+        if tag not in VOID and not itself:
+            self.push(node)
+        return place
+
+    def sums(self, off: list[bool]) -> tuple[list[int], ...]:
         """Characters, tags, characters in links and link tags of every node, without the parts that are off."""
         n = len(self.parent)
         chars, tags, link_chars, links = ([0] * n for _ in range(4))
@@ -158,41 +218,51 @@ class Page:
         cluttered = [False] * len(plain)
         for i in range(len(plain) - 1, 0, -1):
             holds[self.parent[i]] |= holds[i]
-            cluttered[self.parent[i]] |= cluttered[i] or (self.off[i] and i not in self.headers)
+            cluttered[self.parent[i]] |= cluttered[i] or ((self.off[i] or self.vague[i]) and i not in self.headers)
         headings = {i for i in self.headers if holds[i] and not cluttered[i] and self.tag[self.parent[i]] not in ("body", "html")}
         return [o and i not in headings and (self.tag[i] in OFF_TAGS or i in self.headers or not holds[i] or 2 * plain[i] <= plain[0]) for i, o in enumerate(self.off)]
 
+    def densities(self, off: list[bool], body: int, sums: tuple[list[int], ...]) -> list[float]:
+        chars, tags, link_chars, links = sums
+        density = [0.0] * len(chars)
+        for i, c in enumerate(chars):
+            if c:
+                lc, t, lt = link_chars[i] or 1, tags[i] or 1, links[i] or 1
+                inner = c / ((c - link_chars[i]) or 1) * lc + (link_chars[body] or 1) / (chars[body] or 1) * c + e
+                density[i] = c / t * log(max(c / lc * t / lt, 1.0)) / log(log(inner) + 1e-9) if inner > e else c / t
+        return density
+
     def text(self) -> str:
-        off = self.taken_off()
-        chars, tags, link_chars, links = self.sums(off)
-        n = len(chars)
-        body = next((i for i in range(n) if self.tag[i] == "body"), 0)
+        certain = self.taken_off()
+        off = [o or v for o, v in zip(certain, self.vague)]
+        sums = self.sums(off)
+        if not sums[0][0]:
+            off, sums = certain, self.sums(certain)
+        chars, n = sums[0], len(certain)
         if not chars[0]:
             return ""
+        body = next((i for i in range(n) if self.tag[i] == "body"), 0)
         if not chars[body]:
             body = 0
-        density = [0.0] * n
-        for i in range(n):
-            if c := chars[i]:
-                lc, t, lt = link_chars[i] or 1, tags[i] or 1, links[i] or 1
-                inner = c / ((c - link_chars[i]) or 1) * lc + (link_chars[body] or 1) / chars[body] * c + e
-                density[i] = c / t * log(max(c / lc * t / lt, 1.0)) / log(log(inner) + 1e-9) if inner > e else c / t
+        density = self.densities(off, body, sums)
         total = [0.0] * n
         for i in range(1, n):
             total[self.parent[i]] += density[i]
         inside = [False] * n
         for i in range(body, n):
             inside[i] = i == body or (self.parent[i] >= 0 and inside[self.parent[i]])
-        best = max((i for i in range(body, n) if inside[i] and chars[i] and self.tag[i] not in INLINE), key=lambda i: (total[i], -i), default=body)
-        at = best
-        while at > body:
-            if self.tag[at] in ("article", "main"):
-                best = at
-            at = self.parent[at]
+        best = max((i for i in range(body, n) if inside[i] and chars[i] and self.tag[i] not in INLINE), key=lambda i: (total[i], self.tag[i] in ("article", "main"), -i), default=body)
         path = [best]
         while path[-1] != body:
             path.append(self.parent[path[-1]])
         threshold = min(density[i] for i in path)
+        # within an article or main element on the path, whatever has a density belongs
+        least, holder = {}, False
+        for i in reversed(path):
+            holder = holder or self.tag[i] in ("article", "main")
+            least[i] = 0.0 if holder else threshold
+        off = self.decided(certain, best, density, body)
+        density = self.densities(off, body, self.sums(off))
         on_path = set(path[1:])
         blocks: list[str] = []
         current: list[str] = []
@@ -215,7 +285,7 @@ class Page:
                         current.append(part)
                 elif self.tag[part] == "br":
                     current.append(" ")
-                elif not off[part] and (whole or part in on_path or part == best or self.tag[part] == "h1" or density[part] >= threshold):
+                elif not off[part] and (whole or part in on_path or part == best or self.tag[part] == "h1" or (density[part] >= least[node] and density[part] > 0)):
                     stack.append((node, j + 1, whole))
                     stack.append((part, 0, part not in on_path))
                     break
@@ -225,6 +295,23 @@ class Page:
         flush()
         return "\n".join(blocks)
 
+    def decided(self, certain: list[bool], best: int, density: list[float], body: int) -> list[bool]:
+        """The nodes that are off once density has decided on those that their names only nominate: beside the best node they are;
+        inside it those below the mean density of the best node's other children are."""
+        plain = self.densities(certain, body, self.sums(certain))
+        children = [density[i] for i in self.parts[best] if not isinstance(i, str) and density[i] > 0]
+        mean = sum(children) / len(children) if children else 0.0
+        off, inside = list(certain), [False] * len(certain)
+        inside[best] = True
+        for i in range(best + 1, len(certain)):
+            inside[i] = inside[self.parent[i]]
+        for i, v in enumerate(self.vague):
+            if v:
+                off[i] = off[i] or not inside[i] or i == best or plain[i] < mean
+        if off[best]:
+            off[best] = False
+        return off
+
 
 def main_text(source: str | None) -> str:
     """The article's text: blocks in page order joined by line feeds; empty if there is none."""
