@@ -140,6 +140,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         m = train([texts[i] for i in order], [y[i] for i in order], prior)
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.margin.astype("<f4").tobytes()], pa.binary())], ["bias", "margin"])
 
+    # the sample is written first, so that one task reads no more than it
     got = rows.coalesce(1).mapInArrow(learn, "bias double, margin binary").collect()
     return Model(np.frombuffer(got[0]["margin"], "<f4"), got[0]["bias"]) if got else Model(np.zeros(1 << BITS, "f4"), 0.0)
 

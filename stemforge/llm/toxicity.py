@@ -29,8 +29,10 @@ KEPT_WORDS = 300_000
 EPOCHS = 6
 #: Terms of fewer training texts are not learned.
 LEAST_TEXTS = 4
-#: Nor terms whose shares among the texts of either label differ by fewer standard deviations.
-LEAST_GAP = 4.0
+#: Nor terms whose shares among the texts of either label differ by fewer standard deviations, unless they are part of a pair of
+#: words, at most NEAR words apart, whose shares differ by PAIR_GAP: words that mean nothing alone may do so together.
+LEAST_GAP, PAIR_GAP = 2.5, 8.0
+NEAR, PAIR_BITS = 4, 22
 #: Rates and penalties of the single weights (FTRL, which leaves what doesn't matter at 0) and of the factors (SGD).
 W_RATE, W_ONE, W_TWO = 0.1, 2.0, 1.0
 V_RATE, V_DECAY = 0.02, 1e-3
@@ -55,6 +57,24 @@ def term_ids(text: str, terms: Terms) -> np.ndarray:
     return np.fromiter(ids, np.int64, len(ids))
 
 
+def near_pairs(text: str, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and second term of each pair of different words that are at most NEAR words apart."""
+    ids = np.array([terms[w][0] for w in WORD.findall(text.lower())], np.int64)
+    a = np.concatenate([ids[:-k] for k in range(1, NEAR + 1)])
+    b = np.concatenate([ids[k:] for k in range(1, NEAR + 1)])
+    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64), a, b
+
+
+def gaps(by: list[np.ndarray], n: tuple[int, int]) -> np.ndarray:
+    """By how many standard deviations the shares of texts of either label that have something differ: 0 for what LEAST_TEXTS lack."""
+    met = by[0] + by[1]
+    both = met / (n[0] + n[1])
+    gap = np.abs(by[1] / n[1] - by[0] / n[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n[0] + 1 / n[1]))
+    return np.where(met >= LEAST_TEXTS, gap, 0.0)
+
+
 class Machine:
     """Weights, and the margin of a set of terms."""
 
@@ -68,7 +88,7 @@ class Machine:
 
 
 def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Machine:
-    """Logistic loss, labels weighed so that each counts alike (of one label only, the prior is all that is learned); terms of few texts, or alike under both labels, stay 0."""
+    """Logistic loss, labels weighed so that each counts alike (of one label only, the prior is all that is learned); terms of few texts, or alike under both labels alone and in pairs, stay 0."""
     w, v = np.zeros(1 << BITS, "f4"), np.zeros((1 << BITS, FACTORS), "f4")
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     shift = float(np.log(prior / (1 - prior)))
@@ -76,32 +96,36 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> M
         return Machine(shift, w, v)
     terms, y = Terms(), np.array(labels)
     rows = [term_ids(t, terms) for t in texts]
-    by = [np.bincount(np.concatenate([r for r, b in zip(rows, labels) if b == a]), minlength=1 << BITS) for a in (0, 1)]
-    met, (n0, n1) = by[0] + by[1], (sum(b == a for b in labels) for a in (0, 1))
-    both = met / (n0 + n1)
-    gap = np.abs(by[1] / n1 - by[0] / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n0 + 1 / n1))
-    learned = (met >= LEAST_TEXTS) & (gap >= LEAST_GAP)
+    n = tuple(labels.count(a) for a in (0, 1))
+    learned = gaps([np.bincount(np.concatenate([r for r, b in zip(rows, labels) if b == a]), minlength=1 << BITS) for a in (0, 1)], n) >= LEAST_GAP
+    pairs = [np.zeros(1 << PAIR_BITS, np.int32) for _ in (0, 1)]
+    for text, label in zip(texts, labels):
+        pairs[label][np.unique(near_pairs(text, terms)[0])] += 1
+    telling = gaps(pairs, n) >= PAIR_GAP
+    for text in texts:
+        h, first, second = near_pairs(text, terms)
+        learned[first[telling[h]]] = learned[second[telling[h]]] = True
     used = np.flatnonzero(learned)
     place = np.zeros(1 << BITS, np.int64)
     place[used] = np.arange(len(used))
     rows = [place[r[learned[r]]] for r in rows]
     random = np.random.default_rng(seed)
     lw, lv = np.zeros(len(used)), random.normal(0, 0.02, (len(used), FACTORS))
-    z, n = np.zeros(len(used)), np.zeros(len(used))
+    z, squares = np.zeros(len(used)), np.zeros(len(used))
     bias, share = 0.0, y.mean()
     for _ in range(EPOCHS):
         for i in random.permutation(len(rows)):
             ids = rows[i]
-            zi, ni, vi = z[ids], n[ids], lv[ids]
+            zi, ni, vi = z[ids], squares[ids], lv[ids]
             wi = np.where(np.abs(zi) <= W_ONE, 0, (np.sign(zi) * W_ONE - zi) / ((1 + np.sqrt(ni)) / W_RATE + W_TWO))
             s = vi.sum(0)
             margin = bias + wi.sum() + 0.5 * (s @ s - np.einsum("ij,ij->", vi, vi))
             g = float(1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[i]) * (0.5 / share if y[i] else 0.5 / (1 - share))
             bias -= 0.02 * g
             z[ids] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / W_RATE * wi
-            n[ids] = ni + g * g
+            squares[ids] = ni + g * g
             lv[ids] = vi - V_RATE * np.clip(g * (s - vi), -1, 1) - V_RATE * V_DECAY * vi
-    lw = np.where(np.abs(z) <= W_ONE, 0, (np.sign(z) * W_ONE - z) / ((1 + np.sqrt(n)) / W_RATE + W_TWO))
+    lw = np.where(np.abs(z) <= W_ONE, 0, (np.sign(z) * W_ONE - z) / ((1 + np.sqrt(squares)) / W_RATE + W_TWO))
     w[used], v[used] = lw, lv
     return Machine(bias, w, v)
 
@@ -120,6 +144,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
         used = np.flatnonzero((m.w != 0) | m.v.any(1)).astype("<i4")
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([used.tobytes()], pa.binary()), pa.array([m.w[used].tobytes()], pa.binary()), pa.array([m.v[used].tobytes()], pa.binary())], ["bias", "ids", "w", "v"])
 
+    # the sample is written first, so that one task reads no more than it
     got = rows.coalesce(1).mapInArrow(learn, "bias double, ids binary, w binary, v binary").collect()
     w, v = np.zeros(1 << BITS, "f4"), np.zeros((1 << BITS, FACTORS), "f4")
     bias = 0.0

@@ -42,6 +42,31 @@ def test_pairs_are_learned_beyond_single_terms():
     assert margin("fool people n1") > 0 > max(margin("fool n1"), margin("people n1"), margin("n1 n2"))
 
 
+def test_pairs_of_words_that_mean_nothing_alone_are_learned():
+    r = random.Random(4)
+    noise = [f"n{i}" for i in range(80)]
+    texts, y = [], []
+    for i in range(2000):
+        words, one, two = r.sample(noise, 8), i % 2 == 0, i % 4 < 2
+        words[r.randrange(6) : 0] = ["left"] * one + ["right"] * two
+        texts.append(" ".join(words))
+        y.append(int(one != two))
+    m = toxicity.train(texts, y, 0.5)
+    terms = toxicity.Terms()
+    margin = lambda t: m.margin(toxicity.term_ids(t, terms))
+    assert min(margin("left n1 n2"), margin("right n1 n2")) > 0 > max(margin("left right n1 n2"), margin("n1 n2"))
+
+
+def test_an_insult_of_few_texts_is_learned():
+    r = random.Random(5)
+    noise = [f"n{i}" for i in range(400)]
+    text = lambda i: " ".join(r.sample(noise, 20) + (["zounderkite"] if i < 8 else ["scum"] if i < 3000 else []))
+    m = toxicity.train([text(i) for i in range(6000)], [int(i < 3000) for i in range(6000)], 0.3)
+    terms = toxicity.Terms()
+    plain = m.margin(toxicity.term_ids("n1 n2", terms))
+    assert m.margin(toxicity.term_ids("n1 n2 zounderkite", terms)) > plain + 0.3
+
+
 def test_the_pairwise_sum_is_that_over_all_pairs():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(0.5, rng.normal(size=1 << toxicity.BITS), rng.normal(size=(1 << toxicity.BITS, toxicity.FACTORS)))
@@ -76,7 +101,7 @@ def test_odd_rows_and_tables(spark):
 def test_the_sample_leaves_out_held_out_rows_and_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(500)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(500)], "doc_id long, quality int, toxic int")
-    rows, prior = labelled.training_rows(docs, labels, "quality", 50)
+    rows, prior = labelled.training_rows(docs.union(docs), labels, "quality", 50)
     got = rows.collect()
     assert len(got) == 100 and sum(r["label"] for r in got) == 50 and 0.4 < prior < 0.6
     assert all(zlib.crc32(r["text"][1:].encode()) % 5 for r in got)
