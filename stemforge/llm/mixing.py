@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 
 from stemforge.llm.shared import hash_unit, written
 
-#: A mean above this is drawn as a fixed number of copies and a Poisson number of the rest.
+#: A mean above this is drawn as the sum of several Poisson numbers of equal means, each of this at most.
 LARGEST_MEAN = 32.0
+#: Bits of the hash that orders the copies, and bytes of text in a part of the shuffled result.
+ORDER_BITS, PART_BYTES = 60, 64 << 20
 
 
 def poisson_cdf(mean: Column) -> Column:
@@ -31,8 +33,8 @@ def poisson_cdf(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]
 
 
-def rates(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5, total: float | None = None, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """source, size (bytes), documents, weight (target share) and rate (mean copies of a document) for every source.
+def rates(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5, total: float | None = None, source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, float]:
+    """source, size (bytes), documents, weight (target share) and rate (mean copies of a document) for every source; and the mix's bytes.
 
     weights: target weights by source (None is the null source), normalised over the sources that are there; a source without
     a weight gets 0. Without weights they are size ** alpha. total: bytes of the mix, by default those of the input. A source
@@ -50,7 +52,7 @@ def rates(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5,
     sums = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("raw"), F.lit(0.0)).alias("raw")).first()
     share = F.col("raw") / F.lit(float(sums["raw"])) if sums["raw"] > 0 else F.lit(0.0)
     mix = float(sums["size"] if total is None else total)
-    return sizes.select("source", "size", "documents", share.alias("weight"), F.when(F.col("size") > 0, share * mix / F.col("size")).otherwise(1.0).alias("rate"))
+    return sizes.select("source", "size", "documents", share.alias("weight"), F.when(F.col("size") > 0, share * mix / F.col("size")).otherwise(1.0).alias("rate")), mix
 
 
 def mix(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5, total: float | None = None, seed: int = 0, shuffle: bool = True, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str | None = None, order_col: str | None = None) -> DataFrame:
@@ -61,19 +63,28 @@ def mix(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5, t
     empty; a null id counts as the text 'null'; repeated rows (same id and text) draw the same number of copies; an empty table
     gives no rows. Sources with weight 0 have no copies, which is what that weight means.
     """
-    own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("source", "u", "copies", "cdf", "whole", "copy", "order")}
-    rate = rates(documents, weights, alpha, total, source_col, text_col)
-    whole = F.greatest(F.lit(0.0), F.ceil(F.col("rate") - LARGEST_MEAN).cast("double"))
-    table = rate.select(F.col("source").alias(own["source"]), whole.cast("long").alias(own["whole"]), poisson_cdf(F.col("rate") - whole).alias(own["cdf"]))
-    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    u = hash_unit(F.col(id_col), digest, F.lit(f"copies{seed}"))
+    own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("source", "digest", "copies", "cdf", "draws", "copy", "order")}
+    rate, size = rates(documents, weights, alpha, total, source_col, text_col)
+    draws = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / LARGEST_MEAN).cast("double"))
+    table = rate.select(F.col("source").alias(own["source"]), draws.cast("int").alias(own["draws"]), poisson_cdf(F.col("rate") / draws).alias(own["cdf"]))
     joined = documents.join(table, F.col(source_col).eqNullSafe(F.col(own["source"])))
-    drawn = F.col(own["whole"]) + F.size(F.filter(F.col(own["cdf"]), lambda c: c <= F.col(own["u"])))
-    counted = joined.withColumn(own["u"], u).withColumn(own["copies"], drawn)
-    copies = counted.withColumn(own["copy"], F.explode(F.when(F.col(own["copies"]) > 0, F.sequence(F.lit(1).cast("long"), F.col(own["copies"]))).otherwise(F.array().cast(T.ArrayType(T.LongType())))))
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), digest, F.col(own["copy"]).cast("string"), F.lit(f"order{seed}"))), 1, 15), 16, 10).cast("long")
-    out = copies.withColumn(own["order"], order)
+    joined = joined.withColumn(own["digest"], F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    digest, cdf = F.col(own["digest"]), F.col(own["cdf"])
+
+    def drawn(label: Column) -> Column:
+        """A Poisson number from the uniform number that the id, the text and a label give."""
+        u = hash_unit(F.col(id_col), digest, label)
+        return F.size(F.filter(cdf, lambda c: c <= u)).cast("long")
+
+    first = drawn(F.lit(f"copies{seed}"))
+    several = F.aggregate(F.sequence(F.lit(1), F.col(own["draws"]) - 1), first, lambda n, j: n + drawn(F.concat(F.lit(f"copies{seed}:"), j.cast("string"))))
+    counted = joined.withColumn(own["copies"], F.when(F.col(own["draws"]) > 1, several).otherwise(first)).where(F.col(own["copies"]) > 0)
+    copies = counted.withColumn(own["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(own["copies"]))))
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), digest, F.col(own["copy"]).cast("string"), F.lit(f"order{seed}"))), 1, ORDER_BITS // 4), 16, 10).cast("long")
+    out = copies.withColumn(own["order"], order).drop(own["cdf"], own["digest"])
     if shuffle:
-        out = out.repartitionByRange(own["order"]).sortWithinPartitions(own["order"])
+        # the hash is uniform, so ranges of equal width need no sample of the rows
+        parts = max(int(size // PART_BYTES) + 1, documents.sparkSession.sparkContext.defaultParallelism)
+        out = out.repartitionById(parts, F.floor(F.col(own["order"]) / F.lit(2.0**ORDER_BITS / parts)).cast("int")).sortWithinPartitions(own["order"])
     extra = [F.col(own[c]).alias(name) for c, name in (("copy", copy_col), ("order", order_col)) if name]
     return out.select(*(F.col(f"`{c}`") for c in documents.columns), *extra)

@@ -4,13 +4,14 @@ MIXING = """
 with recursive sizes as (select source, sum(strlen(coalesce(text, ''))) as size, count(*) as documents from documents group by 1),
 raws as (select *, pow(size::double, 0.5) as raw from sizes),
 rates as (select source, case when size > 0 then raw / (select sum(raw) from raws) * (select sum(size) from raws)::double / size else 1.0 end as rate from raws),
-means as (select source, greatest(0, ceil(rate - 32))::bigint as whole, rate - greatest(0, ceil(rate - 32)) as mean from rates),
-cdf(source, whole, mean, k, p, cdf) as (
-  select source, whole, mean, 0, exp(-mean), exp(-mean) from means
-  union all select source, whole, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) from cdf where k < ceil(mean + 10 * sqrt(mean) + 12)),
+means as (select source, greatest(1, ceil(rate / 32))::bigint as draws, rate / greatest(1.0::double, ceil(rate / 32)) as mean from rates),
+cdf(source, mean, k, p, cdf) as (
+  select source, mean, 0, exp(-mean), exp(-mean) from means
+  union all select source, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) from cdf where k < ceil(mean + 10 * sqrt(mean) + 12)),
 docs as (select doc_id, source, coalesce(text, '') as text, text as raw_text, coalesce(doc_id::varchar, 'null') as id from documents),
-drawn as (select *, md5(text) as digest, (('0x' || substr(md5(id || '|' || md5(text) || '|copies0'), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from docs),
-counted as (select d.*, m.whole + (select count(*) from cdf c where c.source is not distinct from d.source and c.cdf <= d.u) as copies from drawn d join means m on m.source is not distinct from d.source),
+tried as (select d.*, md5(text) as digest, unnest(range(m.draws)) as j, d.row from (select *, row_number() over () as row from docs) d join means m on m.source is not distinct from d.source),
+drawn as (select *, (('0x' || substr(md5(id || '|' || digest || '|copies0' || case when j > 0 then ':' || j else '' end), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from tried),
+counted as (select doc_id, source, raw_text, id, digest, sum((select count(*) from cdf c where c.source is not distinct from d.source and c.cdf <= d.u))::bigint as copies from drawn d group by row, doc_id, source, raw_text, id, digest),
 copied as (select *, unnest(range(1, copies + 1)) as copy from counted)
 select doc_id, source, copy, ('0x' || substr(md5(id || '|' || digest || '|' || copy || '|order0'), 1, 15))::bigint as shuffle_key, length(raw_text) as n_chars, case when raw_text is not null then digest end as text_md5 from copied
 """

@@ -47,6 +47,12 @@ def test_large_rates_and_weightless_sources(spark):
     assert [r["source"] for r in got] == ["a"] and abs(got[0]["count"] / 200 - 100) < 3
 
 
+def test_large_means_have_the_variance_of_poisson(spark):
+    docs = spark.createDataFrame([(i, "abcd", "a", None) for i in range(600)], SCHEMA)
+    counts = M.mix(docs, {"a": 1}, total=600 * 4 * 200, shuffle=False).groupBy("doc_id").count().toPandas()["count"]
+    assert abs(counts.mean() - 200) < 3 and 150 < counts.var() < 260
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, "c"), (1, None, None, "c"), (None, "abc", "s", None), (2, "é" * 1000, "s", "c")], SCHEMA)
     got = M.mix(docs)
@@ -54,7 +60,7 @@ def test_odd_rows(spark):
     ones = [r for r in got.collect() if r["source"] is None]
     assert len(ones) % 2 == 0  # equal rows draw alike
     assert M.mix(spark.createDataFrame([], SCHEMA)).count() == 0
-    rates = {r["source"]: r["rate"] for r in M.rates(docs).collect()}
+    rates = {r["source"]: r["rate"] for r in M.rates(docs)[0].collect()}
     assert rates[None] == 1.0 and rates["s"] == pytest.approx(1.0)
 
 
@@ -71,3 +77,18 @@ def test_sql_gives_the_same(spark):
         got, want = QUERIES[name](spark, d).toPandas(), c.sql(ORACLE_SQL[name]).df()
         assert list(got.columns) == list(want.columns)
         assert sorted(map(str, got.astype(object).where(got.notna(), None).values.tolist())) == sorted(map(str, want[got.columns].astype(object).where(want.notna(), None).values.tolist())), name
+
+
+def test_sql_gives_the_same_for_large_means(spark, tmp_path):
+    import duckdb
+
+    from stemforge.llm.queries import ORACLE_SQL, QUERIES
+
+    rows = [(i, "x" * 3000, "big") for i in range(200)] + [(1000 + i, "y" * (i % 3), "small") for i in range(7)] + [(None, None, None), (5, "x" * 3000, "big")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = QUERIES["op2_mixing"](spark, str(tmp_path)).toPandas(), c.sql(ORACLE_SQL["op2_mixing"]).df()
+    assert got["copy"].max() > 40
+    keys = lambda frame: sorted((str(d) if d == d else "null", int(n), int(k)) for d, n, k in zip(frame.doc_id.astype(float), frame["copy"], frame.shuffle_key))
+    assert keys(got) == keys(want)
