@@ -25,24 +25,32 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 10
 """
 
 CHAT = """
-with recursive c as (select conv_id, turn, case role when 'system' then 'configure' else 'answer' end as name, text from conversations where role in ('system', 'user')),
+with recursive c as (select conv_id, turn, case role when 'system' then 'configure' else 'answer' end as name, text, role = 'system' and length(text) % 3 = 0 as waits from conversations where role in ('system', 'user')),
 a as (select conv_id, turn - 1 as turn, turn as own_turn, text from conversations where role not in ('system', 'user') or role is null),
-deps as (select c.conv_id, c.turn, d.turn as dep from c join c d on d.conv_id = c.conv_id and d.turn in (c.turn - 1, c.turn - 2)),
+named as (select conv_id, turn, unnest(case when waits then [turn - 1, turn - 2, turn + 1] else [turn - 1, turn - 2] end) as dep from c),
+deps as (select n.conv_id, n.turn, n.dep from named n semi join c on c.conv_id = n.conv_id and c.turn = n.dep),
+reach(conv_id, a, b) as (select conv_id, turn, dep from deps union select r.conv_id, r.a, d.dep from reach r join deps d on d.conv_id = r.conv_id and d.turn = r.b),
+blocked as (select distinct r.conv_id, r.a as turn from reach r semi join reach k on k.conv_id = r.conv_id and k.a = k.b and k.a in (r.a, r.b)),
 lv(conv_id, turn, level) as (
   select conv_id, turn, 0 from c anti join deps using (conv_id, turn)
-  union select d.conv_id, d.turn, lv.level + 1 from lv join deps d on d.conv_id = lv.conv_id and d.dep = lv.turn),
+  union select d.conv_id, d.turn, lv.level + 1 from lv join (select * from deps anti join blocked using (conv_id, turn)) d on d.conv_id = lv.conv_id and d.dep = lv.turn),
 levels as (select conv_id, turn, max(level)::int as level from lv group by all),
-backs as (select conv_id, turn, unnest([turn - 1, turn - 2]) as back from c),
-stray as (select b.conv_id, b.turn, list_sort(list(b.conv_id || ':' || b.back)) as unknown from backs b anti join c d on d.conv_id = b.conv_id and d.turn = b.back group by 1, 2),
+stray as (select n.conv_id, n.turn, list_sort(list(n.conv_id || ':' || n.dep)) as unknown from named n anti join c d on d.conv_id = n.conv_id and d.turn = n.dep group by 1, 2),
+checked as (select *, list_sort(list_concat(
+    case when name = 'answer' and length(text) > 200 then ['text is longer than 200'] when name = 'configure' and text = '' then ['text is shorter than 1'] else [] end,
+    list_transform(list_filter(range(len(words)), lambda i: length(words[i + 1]) > 20), lambda i: 'words[' || i || '] is longer than 20'))) as errors
+  from (select *, string_split(text, ' ') as words from c)),
 rows as (
-  select c.conv_id, c.turn, c.conv_id || ':' || c.turn as call_id, c.name, l.level, case when a.turn is null then 'unanswered' else 'ok' end as status,
-    {'text': c.text, 'turn': c.turn} as arguments, [c.conv_id || ':' || (c.turn - 1), c.conv_id || ':' || (c.turn - 2)] as depends_on,
+  select c.conv_id, c.turn, c.conv_id || ':' || c.turn as call_id, c.name, l.level,
+    case when b.turn is not null then 'circle' when len(c.errors) > 0 then 'invalid' when a.turn is null then 'unanswered' else 'ok' end as status,
+    {'text': c.text, 'turn': c.turn, 'words': c.words} as arguments,
+    list_transform(case when c.waits then [c.turn - 1, c.turn - 2, c.turn + 1] else [c.turn - 1, c.turn - 2] end, lambda x: c.conv_id || ':' || x) as depends_on, c.errors,
     (case when a.turn is null then 0 else 1 end)::bigint as n_results, a.text as result,
     coalesce(s.unknown, []) as unknown
-  from c join levels l using (conv_id, turn) left join stray s using (conv_id, turn) left join a on a.conv_id = c.conv_id and a.turn = c.turn
+  from checked c left join levels l using (conv_id, turn) left join blocked b using (conv_id, turn) left join stray s using (conv_id, turn) left join a on a.conv_id = c.conv_id and a.turn = c.turn
   union all
-  select a.conv_id, a.own_turn, a.conv_id || ':' || a.turn, null, null, 'orphan result', null, [], 1, a.text, [] from a anti join c using (conv_id, turn))
+  select a.conv_id, a.own_turn, a.conv_id || ':' || a.turn, null, null, 'orphan result', null, [], [], 1, a.text, [] from a anti join c using (conv_id, turn))
 select conv_id, call_id, turn, name, level, status,
-  to_json({'arguments': arguments, 'call_id': call_id, 'conv_id': conv_id, 'depends_on': depends_on, 'errors': []::varchar[], 'level': level, 'n_results': n_results,
+  to_json({'arguments': arguments, 'call_id': call_id, 'conv_id': conv_id, 'depends_on': depends_on, 'errors': errors, 'level': level, 'n_results': n_results,
     'name': name, 'raw': null, 'result': result, 'status': status, 'turn': turn, 'unknown': unknown})::varchar as line from rows
 """

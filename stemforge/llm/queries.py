@@ -51,7 +51,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.conversation_calls(table(spark, sf_dir, "conversations"))
-    linked = chat.link_tool_calls(calls, results, chat.tool_schemas(spark, chat.TURN_TOOLS))
+    linked = chat.link_tool_calls(calls, results, chat.TURN_TOOLS)
     return linked.select("conv_id", "call_id", "turn", "name", "level", "status", "line")
 
 

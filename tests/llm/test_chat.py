@@ -8,7 +8,7 @@ TOOLS = {"search": {"properties": {"q": "string", "n": "integer", "deep": "boole
 
 
 def linked(spark, calls, results=()):
-    rows = C.link_tool_calls(spark.createDataFrame([(*c, "z") for c in calls], CALLS), spark.createDataFrame(list(results), RESULTS), C.tool_schemas(spark, TOOLS))
+    rows = C.link_tool_calls(spark.createDataFrame([(*c, "z") for c in calls], CALLS), spark.createDataFrame(list(results), RESULTS), TOOLS)
     return sorted(rows.collect(), key=lambda r: (str(r["conv_id"]), str(r["call_id"]), r["turn"] or 0, r["line"]))
 
 
@@ -51,5 +51,55 @@ def test_circles_duplicates_and_nulls(spark):
 
 def test_no_python_runs(spark):
     calls, results = C.conversation_calls(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string"))
-    plan = C.link_tool_calls(calls, results, C.tool_schemas(spark, C.TURN_TOOLS))._jdf.queryExecution().executedPlan().toString()
+    plan = C.link_tool_calls(calls, results, C.TURN_TOOLS)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_nested_schemas(spark):
+    point = {"type": "object", "properties": {"x": "number", "y": {"type": "number", "minimum": 0, "exclusiveMaximum": 10}}, "required": ["x"]}
+    tools = {"draw": {"properties": {"at": point, "path": {"type": "array", "items": point, "minItems": 1, "maxItems": 3, "uniqueItems": True}, "mode": {"enum": ["fast", "slow", 3]}, "name": {"type": ["string", "null"], "pattern": "^[a-z]+$", "minLength": 2, "maxLength": 4}, "any": {"anyOf": ["string", {"type": "integer", "multipleOf": 5}]}, "tags": {"additionalProperties": "string"}}}}
+    cases = {
+        '{"at": {"x": 1, "y": 2.5}, "path": [{"x": 1}, {"x": 2}], "mode": "fast", "name": "abc", "any": 10, "tags": {"a": "b"}}': [],
+        '{"at": {"y": -1}}': ["at.y is less than 0", "missing at.x"],
+        '{"at": {"x": "1", "y": 10, "z": 0}}': ["at.x is not number", "at.y is not less than 10", "unexpected at.z"],
+        '{"path": []}': ["path has fewer than 1 items"],
+        '{"path": [{"x": 1}, 5, {"x": 1}, {}]}': ["missing path[3].x", "path has equal items", "path has more than 3 items", "path[1] is not object"],
+        '{"mode": 3, "name": null}': [],
+        '{"mode": "3", "name": "A"}': ["mode is not one of those allowed", "name does not match ^[a-z]+$", "name is shorter than 2"],
+        '{"any": 7, "name": "abcde"}': ["any fits none of the choices", "name is longer than 4"],
+        '{"tags": {"a": 1, "b": "x"}}': ["tags.a is not string"],
+    }
+    rows = [(1, str(i), i, "draw", a, [], "z") for i, a in enumerate(cases)]
+    got = C.link_tool_calls(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), tools).collect()
+    assert {int(r["call_id"]): r["errors"] for r in got} == dict(enumerate(cases.values()))
+
+
+def test_deep_chains_take_few_rounds(spark, monkeypatch):
+    made = []
+    table = C.Scratch.table
+    monkeypatch.setattr(C.Scratch, "table", lambda self, df, name: made.append(name) or table(self, df, name))
+    n = 5000
+    edges = [(1, f"c{i}", i, f"c{i - 1}") for i in range(1, n)]
+    backwards = [(2, f"c{i}", n - i, f"c{i - 1}") for i in range(1, 400)]
+    circle = [(3, "a", 1, "b"), (3, "b", 2, "a"), (3, "c", 3, "a"), (3, "d", None, "e"), (3, "e", 700, "f")]
+    got = C.leveled(spark.createDataFrame(edges + backwards + circle, "conv_id long, call_id string, turn long, dep string")).collect()
+    level = {(r["conv_id"], r["call_id"]): None if r["circle"] else r["level"] for r in got}
+    assert level == {(1, f"c{i}"): i for i in range(1, n)} | {(2, f"c{i}"): i for i in range(1, 400)} | {(3, "a"): None, (3, "b"): None, (3, "c"): None, (3, "d"): 2, (3, "e"): 1}
+    assert len(made) < 30
+
+
+def test_a_large_conversation_is_dealt_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_ROWS", 8)
+    edges = [(1, f"c{i}", i // 100, f"c{j}") for i in range(1, 120) for j in {i // 2, i // 3}]
+    want = {0: 0}
+    for i in range(1, 120):
+        want[i] = 1 + max(want[i // 2], want[i // 3])
+    got = C.leveled(spark.createDataFrame(edges, "conv_id long, call_id string, turn long, dep string")).collect()
+    assert {int(r["call_id"][1:]): r["level"] for r in got} == {i: x for i, x in want.items() if i}
+
+
+def test_the_query_meets_every_status(spark):
+    from stemforge.llm.queries import QUERIES
+
+    got = QUERIES["op7_chat"](spark, "/root/testdata/sf0.01").groupBy("status").count().collect()
+    assert {r["status"] for r in got} >= {"ok", "invalid", "circle", "unanswered"}
