@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command in ("ask", "find"):
         text = a.text if a.text is not None else sys.stdin.read()
         if a.command == "ask":
-            show(bank.ask(spark.createDataFrame([(0, text)], "query_id bigint, text string"), a.min))
+            print(bank.answers(spark.createDataFrame([(0, text)], "query_id bigint, text string"), a.min).first()["text"])
         else:
             show(bank.find(spark.createDataFrame([(0, text)], "query_id bigint, query string"), a.top, a.min))
     elif a.command == "dupes":

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,18 +56,27 @@ def plain(c: Column) -> Column:
     return c.rlike(PLAIN)
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clean_stem(c: Column | str) -> Column:
-    """A stem without captions, section headings, question numbers and score marks; null counts as empty."""
-    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), P.CHROME, "")
-    t = F.regexp_replace(F.regexp_replace(t, P.SECTION, " "), P.NUMBER_WITHIN, " ")
+    """A stem without captions, section headings, question numbers and score marks; null counts as empty. Texts that have none of
+    the characters without which nothing of that kind can be are only stripped line by line."""
 
     def line(x: Column) -> Column:
-        x = strip(x)
-        for _ in range(3):
-            x = strip(F.regexp_replace(F.regexp_replace(x, P.LEADING_NUMBER, ""), P.LEADING_SCORE, ""))
-        return x
+        once = lambda y, _: strip(F.regexp_replace(F.regexp_replace(y, P.LEADING_NUMBER, ""), P.LEADING_SCORE, ""))
+        return F.when(x.rlike(P.LEADING), F.aggregate(F.sequence(F.lit(1), F.lit(3)), x, once)).otherwise(x)
+
+    def lined(t: Column, f) -> Column:
+        return strip(F.array_join(F.transform(lines_of(t), lambda x: f(strip(x))), "\n"))
 
-    return strip(F.array_join(F.transform(lines_of(t), line), "\n"))
+    def cleaned(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, P.CHROME, ""), P.SECTION, " "), P.NUMBER_WITHIN, " ")
+        return F.when(t.rlike(P.MAYBE_NOISE), lined(bare, line)).when(t.rlike(P.LINE_BREAK), lined(t, lambda x: x)).otherwise(strip(t))
+
+    return bound(F.coalesce(col(c), F.lit("")), cleaned)
 
 
 def bare_native(c: Column) -> Column:
@@ -75,17 +84,33 @@ def bare_native(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), DROPPED, "")
 
 
+def _parted(c: Column | str) -> Column:
+    """A struct of the normal form of a plain text, or else the clean text that NFKC must see; the other of both is null."""
+    return bound(clean_stem(c), lambda x: F.struct(F.when(plain(x), bare_native(x)).alias("native"), F.when(~plain(x), x).alias("wide")))
+
+
 def norm(c: Column | str) -> Column:
-    """The form under which stems are compared: clean, NFKC, lower case, without punctuation and separators."""
-    t = clean_stem(c)
-    return F.coalesce(_bare_udf(F.when(~plain(t), t)), bare_native(t))
+    """The form under which stems are compared: clean, NFKC, lower case, without punctuation and separators. An expression computes
+    it twice; over many rows use with_norm."""
+    s = _parted(c)
+    return F.coalesce(s["native"], _bare_udf(s["wide"]))
+
+
+def with_norm(rows: DataFrame, name: str, source: Column | str) -> DataFrame:
+    """rows with the normal form of a text as a further column, computed once."""
+    own = f"_{name}_parts"
+    return rows.withColumn(own, _parted(source)).withColumn(name, F.coalesce(f"{own}.native", _bare_udf(f"{own}.wide"))).drop(own)
 
 
 def norm_array(c: Column | str) -> Column:
     """norm of every element; a null array counts as empty, a null element as the empty string."""
-    ts = F.transform(F.coalesce(col(c), F.array().cast("array<string>")), clean_stem)
-    wide = F.exists(ts, lambda x: ~plain(x))
-    return F.coalesce(_bare_array_udf(F.when(wide, ts)), F.transform(ts, bare_native))
+
+    def parted(ts: Column) -> Column:
+        wide = F.exists(ts, lambda x: ~plain(x))
+        return F.struct(F.when(~wide, F.transform(ts, bare_native)).alias("native"), F.when(wide, ts).alias("wide"))
+
+    s = bound(F.transform(F.coalesce(col(c), F.array().cast("array<string>")), clean_stem), parted)
+    return F.coalesce(s["native"], _bare_array_udf(s["wide"]))
 
 
 def norm_answer(c: Column | str) -> Column:

@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemforge.functions import patterns as P
 from stemforge.functions import text as X
 from stemforge.sources.tables import Workspace
 
-#: Captures of one question in a chunk, at most.
+#: Captures of one question in a chunk: so many on average, twice as many at most.
 CHUNK = 500
 STATE = "struct<answer:string,options:array<string>,text:string>"
 CHUNK_KEY = ["fold_key", "batch_id", "part"]
@@ -29,28 +30,34 @@ def prepared(captures: DataFrame) -> DataFrame:
     stem_key and answer_text; kept false for those without a stem or an answer, which a fold skips. (batch_id, seq) is the order
     and must be unique. Null options count as none."""
     c = captures.select("batch_id", "seq", "source", X.clean_stem("stem").alias("stem"), F.coalesce("options", F.array().cast("array<string>")).alias("options"), X.norm_answer("answer").alias("answer"), F.coalesce(F.nullif("qtype", F.lit("")), F.lit("single")).alias("qtype"), F.nullif("explanation", F.lit("")).alias("explanation"), "seen_at")
-    c = c.withColumn("stem_norm", X.norm("stem")).withColumn("kept", (F.col("stem") != "") & (F.col("answer") != ""))
+    c = X.with_norm(c, "stem_norm", "stem").withColumn("kept", (F.col("stem") != "") & (F.col("answer") != ""))
     generic = X.is_generic(F.col("stem_norm"))
     c = c.withColumn("stem_key", X.stem_key(F.col("stem_norm"), X.norm_array(F.when(generic, F.col("options")))))
     return c.withColumn("answer_text", F.when(F.size("options") > 0, X.answer_text(F.col("answer"), F.col("options"))))
 
 
-def same_answer(state: Column, x: Column) -> Column:
+def same_answer(state: Column, x: Column, strict: bool = False) -> Column:
+    """Whether the letters are equal or the texts that they name. strict: by the texts in any order where both are known, so that equal
+    letters of other texts differ, and several texts in another order do not."""
+    letters = state["answer"] == x["answer"]
+    if strict:
+        texts = lambda t: F.array_sort(F.split(t, P.ANSWER_JOIN))
+        return F.when(state["text"].isNotNull() & x["answer_text"].isNotNull(), texts(state["text"]) == texts(x["answer_text"])).otherwise(letters)
     stored = F.when(F.size(state["options"]) > 0, X.answer_text(state["answer"], state["options"]))
-    return (state["answer"] == x["answer"]) | F.coalesce(stored == x["answer_text"], F.lit(False))
+    return letters | F.coalesce(stored == x["answer_text"], F.lit(False))
 
 
 def _accepted(x: Column, options: Column) -> Column:
     return F.struct(x["answer"].alias("answer"), options.alias("options"), x["answer_text"].alias("text")).cast(STATE)
 
 
-def fold_chunk(rows: Column, assumed: Column) -> Column:
+def fold_chunk(rows: Column, assumed: Column, strict: bool = False) -> Column:
     """(state, outcomes) of a chunk's sorted rows from an assumed state, null before a question's first capture."""
     start = F.struct(assumed.cast(STATE).alias("state"), F.array().cast("array<struct<seq:bigint,outcome:string,old_answer:string>>").alias("outcomes"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["state"]
-        same = same_answer(s, x)
+        same = same_answer(s, x, strict)
         state = F.when(s.isNull(), _accepted(x, x["options"])).when(same, _accepted(x, F.when(F.size(x["options"]) > 0, x["options"]).otherwise(s["options"]))).otherwise(s)
         outcome = F.when(s.isNull(), "insert").when(same, "update").otherwise("conflict")
         entry = F.struct(x["seq"].cast("bigint").alias("seq"), outcome.alias("outcome"), s["answer"].alias("old_answer"))
@@ -69,35 +76,49 @@ def with_epochs(captures: DataFrame, tombstones: DataFrame | None) -> DataFrame:
     return both.withColumn("fold_key", F.concat_ws("#", "stem_key", epoch)).withColumn("live", epoch == F.size("marks")).drop("marks")
 
 
-def folded_chunks(kept: DataFrame, space: Workspace) -> DataFrame:
+def chunked(kept: DataFrame) -> DataFrame:
+    """kept with part: (range, piece) of a capture among those of its question and batch, in order. A question with few captures in a
+    batch is one chunk; the others' sequence numbers are cut into as many ranges as give CHUNK captures on average, and a
+    range that still has twice as many into pieces of CHUNK numbers."""
+    owner = ["fold_key", "batch_id"]
+    many = kept.groupBy(*owner).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).where(F.col("n") > CHUNK)
+    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / CHUNK))).cast("bigint")
+    ranged = kept.join(many.select(*owner, "low", width.alias("width")), owner, "left")
+    ranged = ranged.withColumn("range", F.coalesce(F.floor((F.col("seq") - F.col("low")) / F.col("width")), F.lit(0)).cast("bigint"))
+    crowded = ranged.where("width is not null").groupBy(*owner, "range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * CHUNK).select(*owner, "range", F.lit(True).alias("crowded"))
+    piece = F.when(F.col("crowded"), F.floor(F.col("seq") / CHUNK)).otherwise(0).cast("bigint")
+    return ranged.join(crowded, [*owner, "range"], "left").withColumn("part", F.struct("range", piece.alias("piece"))).drop("low", "width", "range", "crowded")
+
+
+def folded_chunks(kept: DataFrame, space: Workspace, strict: bool = False) -> DataFrame:
     """fold_key, batch_id, part, state (at the chunk's end) and outcomes."""
     fields = F.struct(F.col("seq"), F.col("answer"), F.col("options"), F.col("answer_text"))
-    parts = kept.withColumn("part", F.floor(F.col("seq") / CHUNK))
+    parts = chunked(kept)
     chunks = parts.groupBy(*CHUNK_KEY).agg(F.array_sort(F.collect_list(fields)).alias("rows"))
     chunks = space.table(chunks, "chunks")
     order = Window.partitionBy("fold_key").orderBy("batch_id", "part")
     heads = chunks.select(*CHUNK_KEY, F.lag("batch_id").over(order).isNotNull().alias("later"))
     later = space.table(heads.where("later").select(*CHUNK_KEY), "later")
     if later.isEmpty():
-        done = chunks.withColumn("fold", fold_chunk(F.col("rows"), F.lit(None).cast(STATE)))
+        done = chunks.withColumn("fold", fold_chunk(F.col("rows"), F.lit(None).cast(STATE), strict))
         return done.select(*CHUNK_KEY, "fold.state", "fold.outcomes")
     first = kept.groupBy("fold_key").agg(F.min(F.struct("batch_id", "seq", "answer", "options", "answer_text")).alias("x"))
     guess = first.select("fold_key", F.struct(F.col("x.answer").alias("answer"), F.col("x.options").alias("options"), F.col("x.answer_text").alias("text")).cast(STATE).alias("guess"))
     guesses = later.join(guess, "fold_key").select(*CHUNK_KEY, F.col("guess").alias("assumed"))
     todo = chunks.join(guesses, CHUNK_KEY, "left")
-    results = space.table(_run(todo), "folded")
+    results = space.table(_run(todo, strict), "folded")
     while True:
         before = results.withColumn("actual", F.lag("state").over(order))
         wrong = before.where(~F.col("actual").eqNullSafe(F.col("assumed"))).select(*CHUNK_KEY, F.col("actual").alias("assumed"))
         wrong = space.table(wrong, "wrong")
         if wrong.isEmpty():
             return results.select(*CHUNK_KEY, "state", "outcomes")
-        again = _run(chunks.join(wrong, CHUNK_KEY))
+        again = _run(chunks.join(wrong, CHUNK_KEY), strict)
         results = space.table(results.join(wrong.select(*CHUNK_KEY), CHUNK_KEY, "left_anti").unionByName(again), "folded")
 
 
-def _run(todo: DataFrame) -> DataFrame:
-    done = todo.withColumn("fold", fold_chunk(F.col("rows"), F.col("assumed")))
+def _run(todo: DataFrame, strict: bool) -> DataFrame:
+    done = todo.withColumn("fold", fold_chunk(F.col("rows"), F.col("assumed"), strict))
     return done.select(*CHUNK_KEY, "assumed", "fold.state", "fold.outcomes")
 
 
@@ -105,13 +126,14 @@ class Fold:
     """The outcome of folding captures: questions, conflicts, outcomes (one row per capture), tally and repeats per batch.
 
     tombstones (stem_key, batch_id) end a question's life: captures of later batches insert it anew. Conflicts outlive it.
+    strict: see same_answer.
     """
 
-    def __init__(self, captures: DataFrame, tombstones: DataFrame | None = None, space: Workspace | None = None):
+    def __init__(self, captures: DataFrame, tombstones: DataFrame | None = None, space: Workspace | None = None, strict: bool = False):
         space = space or Workspace(captures.sparkSession)
         self.captures = space.table(with_epochs(prepared(captures), tombstones), "captures")
         self.kept = self.captures.where("kept")
-        self.chunks = space.table(folded_chunks(self.kept, space), "chunk_states")
+        self.chunks = space.table(folded_chunks(self.kept, space, strict), "chunk_states")
 
     @property
     def outcomes(self) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemforge.functions import patterns as P
 from stemforge.functions import text as X
 from stemforge.operators import similarity as S
+from stemforge.operators.lookup import text_id
 from stemforge.sources.tables import Workspace
 
 SAME, OTHER = "同", "异"
@@ -27,7 +29,7 @@ def duplicate_pairs(questions: DataFrame, min_ratio: float = 0.75, space: Worksp
     """
     space = space or Workspace(questions.sparkSession)
     q = space.table(questions.select("id", "stem_norm", "options", "answer").where("stem_norm <> ''"), "questions")
-    stems = space.table(q.select("stem_norm").distinct().select(F.xxhash64("stem_norm").alias("id"), F.col("stem_norm").alias("s")), "stems")
+    stems = space.table(q.select("stem_norm").distinct().select(text_id("stem_norm").alias("id"), F.col("stem_norm").alias("s")), "stems")
     found = S.ratio_candidates(stems, stems, min_ratio, space).where("a_id < b_id")
     text = lambda x: stems.select(F.col("id").alias(f"{x}_id"), F.col("s").alias(x))
     wide = found.join(text("a"), "a_id").join(text("b"), "b_id").select("a", "b")
@@ -79,3 +81,20 @@ def grade(answers: DataFrame, questions: DataFrame) -> DataFrame:
     given = answers.where(X.strip(F.coalesce("given", F.lit(""))) != "")
     both = given.join(questions.select("id", "stem_key", "answer"), "id")
     return both.select("attempt_id", "id", "stem_key", "given", (X.norm_answer(X.strip(F.col("given"))) == X.norm_answer("answer")).alias("ok"))
+
+
+def session_score(graded: DataFrame, session: str | None = None) -> DataFrame:
+    """Right and wrong answers of graded rows (ok), and the line that says so, for each value of the column session or over all."""
+    keys = [session] if session else []
+    counts = graded.groupBy(*keys).agg(F.count_if("ok").alias("right"), F.count_if(~F.col("ok")).alias("wrong"))
+    before, between = P.SESSION.split("{}")[:2]
+    return counts.withColumn("text", F.concat(F.lit(before), F.col("right").cast("string"), F.lit(between), F.col("wrong").cast("string")))
+
+
+def shown_pairs(pairs: DataFrame, questions: DataFrame) -> DataFrame:
+    """pairs (of duplicate_pairs) with the stems and answer texts of both questions, cut to the widths of a list."""
+
+    def side(x: str) -> DataFrame:
+        return questions.select(F.col("id").alias(f"{x}_id"), F.substring("stem_raw", 1, P.STEM_SHOWN).alias(f"{x}_stem"), F.substring("answer_text", 1, P.TEXT_SHOWN).alias(f"{x}_text"))
+
+    return pairs.join(side("a"), "a_id").join(side("b"), "b_id")

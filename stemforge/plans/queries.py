@@ -18,7 +18,7 @@ from stemforge.operators import maintenance, report
 from stemforge.operators import similarity as S
 from stemforge.operators.capture import Fold, numbered
 from stemforge.operators.parse import failures, parse_papers, records
-from stemforge.sources.tables import Workspace, export_rows
+from stemforge.sources.tables import Workspace, export_rows, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,8 +51,15 @@ def letter(c: Column) -> Column:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, line_no, line of every line that isn't blank."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(X.lines_of(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-    return rows.where(X.strip(F.col("line")) != "")
+    documents = table(spark, sf_dir, "documents")
+    rows = documents.select("doc_id", "source", F.posexplode(X.lines_of(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
+    # what is done with lines costs much more than dealing them anew where the table is in few files
+    return spread(rows.where(X.strip(F.col("line")) != ""), documents, "doc_id", "line_no")
+
+
+def normal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_lines with stem_norm."""
+    return X.with_norm(document_lines(spark, sf_dir), "stem_norm", "line")
 
 
 def line_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +122,7 @@ TURNED_SQL = "list_concat(options[(p_partkey % 4 + 1):4], options[1:(p_partkey %
 
 @query(f"with {NORMED_SQL} select stem_norm, count(*) as n from normed group by 1")
 def norm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_lines(spark, sf_dir).groupBy(X.norm("line").alias("stem_norm")).agg(F.count(F.lit(1)).alias("n"))
+    return normal_lines(spark, sf_dir).groupBy("stem_norm").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -158,18 +165,10 @@ def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failures(parsed).select("paper_id", F.col("block_no").cast("bigint").alias("block_no"), "block")
 
 
-@query("select u.conv_id, u.turn, trim(split_part(u.text, chr(10), 1)) as stem, trim(split_part(a.text, chr(10), 1)) as answer from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant' and trim(split_part(u.text, chr(10), 1)) <> '' and trim(split_part(a.text, chr(10), 1)) <> ''")
+@query("""with w as (select conv_id, turn, role, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') as whole from conversations)
+select u.conv_id, u.turn, u.whole as stem, a.whole as answer from w u join w a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant' and u.whole <> '' and a.whole <> ''""")
 def parse_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("first", F.split_part("text", F.lit("\n"), F.lit(1)))
-    asked = turns.where("role = 'user'").select("conv_id", "turn", "first")
-    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("first").alias("reply"))
-    papers = asked.join(replies, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("paper_id"), F.concat(F.lit("问："), "first", F.lit("\n答："), "reply").alias("text"))
-    return records(parse_papers(papers)).select("paper_id.conv_id", "paper_id.turn", "stem", "answer")
-
-
-@query()
-def parse_qa_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of parse_qa with all their lines, joined by blanks."""
+    """User turns as questions and the assistant's next turns as answers, each with all its lines, joined by blanks."""
     joined = F.array_join(F.filter(F.transform(X.lines_of(F.coalesce("text", F.lit(""))), X.strip), lambda x: x != ""), " ")
     turns = table(spark, sf_dir, "conversations").withColumn("whole", joined)
     asked = turns.where("role = 'user'").select("conv_id", "turn", "whole")
@@ -178,6 +177,32 @@ def parse_qa_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(parse_papers(papers)).select("paper_id.conv_id", "paper_id.turn", "stem", "answer")
 
 
+@query(f"with {PART_SQL} select p_partkey, stem, p_brand || '|' || p_type || '|size ' || p_size as options, substr('ABC', cast(p_partkey % 3 + 1 as int), 1) as answer from p")
+def parse_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose options are in one line, lettered in lower case within the stem."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("第"), (k % 1000).cast("string"), F.lit("、（2分）\n"), part_stem(), F.lit("\nA. "), "p_brand", F.lit("  B、"), "p_type", F.lit(" C) size "), F.col("p_size").cast("string"), F.lit("\n参考答案: "), F.substring(F.lit("ABC"), (k % 3 + 1).cast("int"), F.lit(1)))
+    papers = table(spark, sf_dir, "part").select(k.alias("paper_id"), text.alias("text"))
+    return records(parse_papers(papers)).select(F.col("paper_id").alias("p_partkey"), "stem", F.array_join("options", "|").alias("options"), "answer")
+
+
+@query(f"with {PART_SQL} select p_partkey, stem || ' a. ' || p_brand || ' b. ' || p_type as stem, 'ab|ba' as options, substr('AB', cast(p_partkey % 2 + 1 as int), 1) as answer from p")
+def parse_sub_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose stem has parts lettered in lower case, and options in upper case."""
+    k = F.col("p_partkey")
+    text = F.concat(part_stem(), F.lit("\na. "), "p_brand", F.lit("\nb. "), "p_type", F.lit("\nA. ab\nB. ba\n正确答案："), F.substring(F.lit("AB"), (k % 2 + 1).cast("int"), F.lit(1)))
+    papers = table(spark, sf_dir, "part").select(k.alias("paper_id"), text.alias("text"))
+    return records(parse_papers(papers)).select(F.col("paper_id").alias("p_partkey"), "stem", F.array_join("options", "|").alias("options"), "answer")
+
+
+@query(f"with {PART_SQL} select p_partkey, stem as clean, lower(replace(stem, ' ', '')) as stem_norm from p")
+def clean_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems with captions, a section heading and a question number before them."""
+    k = F.col("p_partkey")
+    noisy = F.concat(F.lit("查看试卷 冲！随机选择 二、多选题 "), (k % 100 + 1).cast("string"), F.lit("、[1分] "), part_stem(), F.lit(" 下一题"))
+    return X.with_norm(table(spark, sf_dir, "part").select("p_partkey", noisy.alias("noisy")), "stem_norm", "noisy").select("p_partkey", X.clean_stem("noisy").alias("clean"), "stem_norm")
+
+
 @query(f"with {PART_SQL} select p_partkey, stem, array_to_string(options, '|') as options from p")
 def query_and_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
@@ -218,6 +243,20 @@ def conflict_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.questions.join(wrong, "stem_key", "left").select("stem_raw", "times_seen", "answer", "answer_text", F.coalesce("conflicts", F.lit(0)).cast("int").alias("conflicts"))
 
 
+@query(f"with k as (select floor(p_partkey / 1000)::bigint as batch_id, p_partkey, case when p_partkey % 11 = 0 then '' else {LETTER.format('p_partkey')} end as answer, lower(replace(p_name, ' ', '')) as stem from part), f as (select *, arg_min(answer, p_partkey) filter (answer <> '') over (partition by stem) as first_answer, min(p_partkey) filter (answer <> '') over (partition by stem) as first_key from k), o as (select *, case when answer = '' then 'skip' when p_partkey = first_key then 'insert' when answer = first_answer then 'update' else 'conflict' end as outcome from f) select batch_id, count_if(outcome = 'insert')::bigint as \"insert\", count_if(outcome = 'update')::bigint as \"update\", count_if(outcome = 'skip')::bigint as skip, count_if(outcome = 'conflict')::bigint as conflict from o group by 1")
+def batch_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return Fold(part_captures(spark, sf_dir, F.array(*map(F.lit, FIXED_OPTIONS)), F.when(k % 11 == 0, "").otherwise(letter(k)))).tally
+
+
+@query(f"with k as (select p_partkey, p_name, p_partkey % 2 as turned, min(p_partkey) over (partition by lower(replace(p_name, ' ', ''))) % 2 as first_turned from part) select p_partkey, p_name as stem_raw, 'A' as old_answer, 'A' as new_answer from k where turned <> first_turned")
+def conflict_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures with the same letter whose options are the other way round: conflicts only by their texts."""
+    options = F.array(*map(F.lit, FIXED_OPTIONS))
+    fold = Fold(part_captures(spark, sf_dir, F.when(F.col("p_partkey") % 2 == 0, options).otherwise(F.reverse(options)), F.lit("A")), strict=True)
+    return fold.conflicts.select(F.col("seq").alias("p_partkey"), "stem_raw", "old_answer", "new_answer")
+
+
 def part_fold(spark: SparkSession, sf_dir: str) -> Fold:
     return Fold(part_captures(spark, sf_dir, part_options(), letter(F.col("p_partkey"))))
 
@@ -229,6 +268,15 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.stats(report.with_attempts(fold.questions, attempts), fold.conflicts)
 
 
+@query(f"with q as (select lower(replace(p_name, ' ', '')) as stem, count(*) as n, count_if(p_partkey % 16 = 0 and p_partkey % 32 <> 0) as wrong, count_if(p_partkey % 32 = 0) as good from part group by 1), c as (select first_value({LETTER.format('p_partkey')}) over (partition by lower(replace(p_name, ' ', '')) order by p_partkey) <> {LETTER.format('p_partkey')} as wrong from part) select count(*) as questions, sum(n)::bigint as sightings, count_if(n = 1)::bigint as once, count_if(n >= 3)::bigint as hot, count_if(wrong > 0)::bigint as shaky, count_if(wrong > 0 and good = 0)::bigint as bad, (select count_if(wrong) from c)::bigint as conflicts from q")
+def stats_practised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a bank with conflicts and a log of attempts: every sixteenth part is one, and half of these are right."""
+    k = F.col("p_partkey")
+    fold = Fold(part_captures(spark, sf_dir, F.array(*map(F.lit, FIXED_OPTIONS)), letter(k)))
+    attempts = fold.captures.where("seq % 16 = 0").select("stem_key", (F.col("seq") % 32 == 0).alias("ok"))
+    return report.stats(report.with_attempts(fold.questions, attempts), fold.conflicts)
+
+
 @query(f"with {CAPTURED_SQL}, f as (select arg_min(source, (batch, doc_id, line_no)) as source from captured group by stem_norm) select source, count(*) as questions from f group by 1 order by 2 desc, 1 limit 10")
 def sources_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.by_source(Fold(line_captures(spark, sf_dir)).questions, 10)
@@ -251,32 +299,25 @@ def remap_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look.with_remap(rows).select("p_partkey", "letters", F.array_join("texts", " / ").alias("texts"), "why")
 
 
-@query(f"with {NORMED_SQL}, b as (select item_id, {NORM_SQL.replace('line', 'part')} as stem_norm from (select item_id, unnest(string_split(text, chr(10))) as part from benchmark) where trim(part) <> '') select distinct b.item_id, n.doc_id, n.line_no from b join normed n using (stem_norm) where stem_norm <> ''")
-def lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.lines_of(F.col("text"))).alias("line")).select("item_id", X.norm("line").alias("stem_norm"))
-    lines = document_lines(spark, sf_dir).select("doc_id", "line_no", X.norm("line").alias("stem_norm"))
-    found = items.where("stem_norm <> ''").join(lines, "stem_norm")
-    return found.select("item_id", "doc_id", F.col("line_no").cast("bigint").alias("line_no")).distinct()
-
-
-FRAGMENT_CHARS, SHORT_LINE = 40, 200
+TIERS = ["exactly {}", " exactly {} ", "Exactly, {}!", "the words exactly {} in a longer one"]
 
 
-@query(f"with {NORMED_SQL}, q as (select distinct substr(regexp_replace(lower(text), '[\\p{{P}}\\p{{Z}}]', '', 'g'), 1, {FRAGMENT_CHARS}) as q from benchmark), c as (select distinct stem_norm as c from normed where length(stem_norm) < {SHORT_LINE}) select q, c, 0.90::double + (0.10::double * length(q)) / length(c) as score, '{P.FRAGMENT}' as kind from q, c where contains(c, q) and length(q) < length(c)")
-def lookup_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = Workspace(spark)
-    q = table(spark, sf_dir, "benchmark").select(F.substring(X.norm("text"), 1, FRAGMENT_CHARS).alias("s")).distinct()
-    c = document_lines(spark, sf_dir).select(X.norm("line").alias("s")).where(F.length("s") < SHORT_LINE).distinct()
-    wide = containing(q, c, space)
-    return wide.withColumn("m", S.match_score("q", "c")).select("q", "c", "m.score", "m.kind").where(F.col("kind") == P.FRAGMENT)
+@query(f"with {PART_SQL} select p_partkey, {LETTER.format('(p_partkey + 1)')} as letters, 'exactly ' || p_name as texts, '' as why from p")
+def find_option_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right option among those shown, as it is, with blanks, with other punctuation, and within a longer one."""
+    k = F.col("p_partkey")
+    forms = F.array(*(F.concat(F.lit(t.split("{}")[0]), "p_name", F.lit(t.split("{}")[1])) for t in TIERS))
+    shown = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == (k + 1) % 4, F.element_at(forms, (k % 4 + 1).cast("int"))).otherwise(F.concat(F.lit("option "), i.cast("string"))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit("other"), F.concat(F.lit("exactly "), "p_name")).alias("options"), shown.alias("given"), F.lit("B").alias("answer"))
+    return look.with_remap(rows).select("p_partkey", "letters", F.array_join("texts", " / ").alias("texts"), "why")
 
 
-def containing(q: DataFrame, c: DataFrame, space: Workspace) -> DataFrame:
-    """(q, c) with every text c that contains a text q, and others; both: distinct normal forms s."""
-    q, c = (space.table(x.withColumn("id", F.xxhash64("s")), "texts") for x in (q, c))
-    pairs = S.containing_candidates(q, c, S.COVERED, space)
-    wide = pairs.join(q.select(F.col("id").alias("small_id"), F.col("s").alias("q")), "small_id").join(c.select(F.col("id").alias("big_id"), F.col("s").alias("c")), "big_id")
-    return wide.select("q", "c")
+@query(f"with {NORMED_SQL}, b as (select item_id, {NORM_SQL.replace('line', 'part')} as stem_norm from (select item_id, unnest(string_split(text, chr(10))) as part from benchmark) where trim(part) <> '') select distinct b.item_id, n.doc_id, n.line_no from b join normed n using (stem_norm) where stem_norm <> ''")
+def lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.lines_of(F.col("text"))).alias("line"))
+    queries = X.with_norm(items, "q", "line").select(F.col("item_id").alias("query_id"), "q")
+    stored = normal_lines(spark, sf_dir).select(F.struct("doc_id", F.col("line_no").cast("bigint").alias("line_no")).alias("id"), "stem_norm")
+    return look.exact_hits(queries, stored).select(F.col("query_id").alias("item_id"), "id.doc_id", "id.line_no").distinct()
 
 
 def benchmark_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,24 +326,60 @@ def benchmark_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.concat(F.array("text"), sentences)).alias("part_no", "part"))
 
 
-@query()
-def lookup_contains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+PARTS_SQL = f"parts as (select item_id, {NORM_SQL.replace('line', 'part')} as q from (select item_id, unnest(list_prepend(text, regexp_split_to_array(text, '[.!?\n]+'))) as part from benchmark) where trim(part) <> '')"
+HELD_SQL = f"{NORMED_SQL}, {PARTS_SQL}, c as (select stem_norm as c, min(doc_id * 1048576 + line_no) as id from normed group by 1), held as (select q, c, id, 0.90::double + (0.10::double * length(q)) / length(c) as score from (select distinct q from parts where q <> ''), c where contains(c, q) and length(q) < length(c))"
+
+
+@query(f"with {HELD_SQL} select q, c, score, '{P.FRAGMENT}' as kind from held")
+def lookup_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole benchmark texts and all their sentences that are part of a document line of any length."""
-    q = benchmark_parts(spark, sf_dir).select(X.norm("part").alias("s")).where("s <> ''").distinct()
-    c = document_lines(spark, sf_dir).select(X.norm("line").alias("s")).distinct()
-    # by plain containment: in texts of 200 characters or more difflib leaves frequent characters out, and misses fragments
-    found = containing(q, c, Workspace(spark)).where(F.col("c").contains(F.col("q")) & (F.length("q") < F.length("c")))
-    return found.select("q", "c", (F.lit(0.90) + (F.lit(0.10) * F.length("q")) / F.length("c")).alias("score"), F.lit(P.FRAGMENT).alias("kind"))
+    q = X.with_norm(benchmark_parts(spark, sf_dir), "s", "part").select("s").where("s <> ''").distinct()
+    return look.containing(q, normal_lines(spark, sf_dir).select(F.col("stem_norm").alias("s")).distinct())
+
+
+@query(f"with {HELD_SQL} select p.item_id, arg_min(id, (-score, id)) as id, max(score) as score from held join (select distinct item_id, q from parts) p using (q) group by 1")
+def find_top1_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best line of lookup_contains for each benchmark text."""
+    items = X.with_norm(benchmark_parts(spark, sf_dir), "q", "part").select("item_id", "q").distinct()
+    lines = normal_lines(spark, sf_dir).select((F.shiftleft(F.col("doc_id"), 20) + F.col("line_no")).alias("id"), F.col("stem_norm").alias("c"))
+    hits = lookup_contains(spark, sf_dir).join(items, "q").join(lines.groupBy("c").agg(F.min("id").alias("id")), "c")
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("item_id", "id", "score")
+
+
+@query(f"with {PART_SQL}, n as (select p_partkey, p_brand, p_type, p_size, stem, letter, options, lower(replace(stem, ' ', '')) as c, lower(replace(p_name || ' number ' || p_partkey, ' ', '')) as q from p) select p_partkey as query_id, p_partkey as id, 0.90::double + (0.10::double * length(q)) / length(c) as score, '{P.FRAGMENT}' as kind, '[{P.FRAGMENT} ' || printf('%.2f', 0.90::double + (0.10::double * length(q)) / length(c)) || '] #' || p_partkey || '  ' || stem || chr(10) || '    A. ' || p_brand || chr(10) || '    B. ' || p_type || chr(10) || '    C. size ' || p_size || chr(10) || '    D. none of these' || chr(10) || '  答案: ' || letter || '  → ' || options[ascii(letter) - 64] as shown from n")
+def find_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's question found by the end of its stem, as a person reads it. Other stems that hold the query are longer."""
+    k = F.col("p_partkey")
+    x = letter(k)
+    stored = table(spark, sf_dir, "part").select(k.alias("id"), part_stem().alias("stem_raw"), X.norm(part_stem()).alias("stem_norm"), part_options().alias("options"), x.alias("answer"), X.answer_text(x, part_options()).alias("answer_text"), F.lit(None).cast("string").alias("explanation"))
+    queries = table(spark, sf_dir, "part").select(k.alias("query_id"), F.concat("p_name", F.lit(" number "), k.cast("string")).alias("query"))
+    return look.shown(look.find(queries, stored, 1, 0.95)).select("query_id", "id", "score", "kind", "shown")
+
+
+def stored_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of a bank: all benchmark texts whole, and the names of all parts; id: (origin, id)."""
+    items = table(spark, sf_dir, "benchmark").select(F.struct(F.lit("benchmark").alias("origin"), F.col("item_id").cast("bigint").alias("id")).alias("id"), F.col("text").alias("stem"))
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("stem")).agg(F.struct(F.lit("part").alias("origin"), F.min("p_partkey").cast("bigint").alias("id")).alias("id"))
+    return X.with_norm(items.unionByName(names), "stem_norm", "stem")
 
 
 @query()
 def lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text and each of its sentences, without its second word, looked up among these and all document lines."""
-    parts = benchmark_parts(spark, sf_dir).select(F.struct(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.col("part_no").cast("long").alias("no")).alias("id"), F.ltrim("part").alias("part"))
-    lines = document_lines(spark, sf_dir).select(F.struct(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.col("line_no").cast("long").alias("no")).alias("id"), X.norm("line").alias("stem_norm"))
-    stored = parts.select("id", X.norm("part").alias("stem_norm")).unionByName(lines)
-    queries = parts.select(F.col("id").alias("query_id"), F.regexp_replace("part", "^(\\S+) \\S+ ", "$1 ").alias("query"))
-    return look.lookup(queries, stored, top=5, min_score=0.5)
+    """All stored stems, without their second word, looked up among all of them."""
+    stored = stored_stems(spark, sf_dir)
+    queries = stored.select(F.col("id").alias("query_id"), F.regexp_replace(F.ltrim("stem"), "^(\\S+) \\S+", "$1").alias("query"))
+    return look.lookup(queries, stored.select("id", "stem_norm"), top=5, min_score=0.5)
+
+
+@query(f"with {PART_SQL} select p_partkey as query_id, '答案: ' || {LETTER.format('(4 + ascii(letter) - 65 - p_partkey % 4)')} || '  → ' || options[ascii(letter) - 64] || case when p_partkey % 4 = 0 then '' else '   （题库里存的是 ' || letter || '，说明这次选项顺序不同，已按你看到的顺序重算）' end || chr(10) || '      [完全相同 1.00] ' || stem as text from p")
+def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a person reads when a pasted question has its options in another order."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    stored = part.select(k.alias("id"), part_stem().alias("stem_raw"), X.norm(part_stem()).alias("stem_norm"), part_options().alias("options"), letter(k).alias("answer"))
+    pasted = F.concat(part_stem(), F.lit("\n"), option_lines(turned(part_options(), k % 4)))
+    return look.resolved(look.ask(part.select(k.alias("query_id"), pasted.alias("text")), stored))
 
 
 @query(f"with {PART_SQL} select p_partkey, true as found, {LETTER.format('(4 + ascii(letter) - 65 - p_partkey % 4)')} as letters, options[ascii(letter) - 64] as texts, letter as stored_answer, stem from p")
@@ -315,36 +392,18 @@ def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(F.col("query_id").alias("p_partkey"), "found", "best.letters", F.array_join("best.texts", " / ").alias("texts"), "best.stored_answer", "best.stem")
 
 
-@query(f"with {NORMED_SQL}, q as (select item_id, substr(regexp_replace(lower(text), '[\\p{{P}}\\p{{Z}}]', '', 'g'), 1, {FRAGMENT_CHARS}) as q from benchmark), c as (select stem_norm as c, min(doc_id * 1048576 + line_no) as id from normed where length(stem_norm) < {SHORT_LINE} group by 1), s as (select item_id, id, 0.90::double + (0.10::double * length(q)) / length(c) as score from q, c where contains(c, q) and length(q) < length(c)) select item_id, arg_min(id, (-score, id)) as id, max(score) as score from s group by 1")
-def find_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(X.norm("text"), 1, FRAGMENT_CHARS).alias("q"))
-    lines = document_lines(spark, sf_dir).select((F.shiftleft(F.col("doc_id"), 20) + F.col("line_no")).alias("id"), X.norm("line").alias("c"))
-    ids = lines.where(F.length("c") < SHORT_LINE).groupBy("c").agg(F.min("id").alias("id"))
-    hits = lookup_contains(spark, sf_dir).join(items, "q").join(ids, "c")
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("item_id", "id", "score")
-
-
-@query()
-def find_top1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best line of lookup_contains_whole for each benchmark text."""
-    items = benchmark_parts(spark, sf_dir).select("item_id", X.norm("part").alias("q")).distinct()
-    lines = document_lines(spark, sf_dir).select((F.shiftleft(F.col("doc_id"), 20) + F.col("line_no")).alias("id"), X.norm("line").alias("c"))
-    hits = lookup_contains_whole(spark, sf_dir).join(items, "q").join(lines.groupBy("c").agg(F.min("id").alias("id")), "c")
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("item_id", "id", "score")
-
-
 # --- duplicates
 
 
 @query()
 def dupes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar lines, of all lines that aren't blank."""
-    lines = document_lines(spark, sf_dir).select((F.shiftleft(F.col("doc_id"), 20) + F.col("line_no")).alias("id"), X.norm("line").alias("stem_norm"))
-    stems = lines.groupBy("stem_norm").agg(F.min("id").alias("id"))
+    """Pairs of similar stems among all stored ones and all sentences of the benchmark."""
+    parts = X.with_norm(benchmark_parts(spark, sf_dir).where("part_no > 0"), "stem_norm", "part")
+    sentences = parts.groupBy("stem_norm").agg(F.min(F.struct(F.lit("sentence").alias("origin"), (F.col("item_id") * 1000 + F.col("part_no")).cast("bigint").alias("id"))).alias("id"))
     none = F.lit(None).cast("array<string>")
-    return report.duplicate_pairs(stems.select("id", "stem_norm", none.alias("options"), F.lit("A").alias("answer")), 0.75)
+    stems = stored_stems(spark, sf_dir).select("id", "stem_norm").unionByName(sentences.select("id", "stem_norm"))
+    found = report.duplicate_pairs(stems.select("id", "stem_norm", none.alias("options"), F.lit("A").alias("answer")), 0.75)
+    return found.select(*(F.concat_ws(":", f"{x}_id.origin", F.col(f"{x}_id.id").cast("string")).alias(f"{x}_id") for x in "ab"), "ratio", "length_ratio", "overlap", "answers")
 
 
 @query(f"with {PART_SQL}, n as (select p_partkey as a_id, options as a, lead(p_partkey) over w as b_id, lead(options) over w as b from p window w as (partition by p_name order by p_partkey)) select a_id, b_id, len(list_intersect(a, b))::double / greatest(len(list_distinct(a)), len(list_distinct(b))) as overlap from n where b_id is not null")
@@ -385,3 +444,9 @@ def grade_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = part.select(F.col("p_partkey").alias("id"), F.posexplode(given).alias("variant", "given")).select((F.col("id") * 4 + F.col("variant")).alias("attempt_id"), "id", "given")
     stored = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("stem_key"), x.alias("answer"))
     return report.grade(answers, stored).select("id", (F.col("attempt_id") % 4).cast("int").alias("variant"), "ok")
+
+
+@query(f"with {PART_SQL}, g as (select p_partkey % 10 as session, u.i = 0 or u.i = 1 or letter = 'A' as ok from p, unnest([0, 1, 2]) as u(i)), c as (select session, count_if(ok)::bigint as right, count_if(not ok)::bigint as wrong from g group by 1) select *, '本轮 对 ' || right || ' / 错 ' || wrong as text from c".replace(" as right", ' as "right"').replace("|| right ||", '|| "right" ||'))
+def session_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right and wrong answers of ten sessions."""
+    return report.session_score(grade_attempts(spark, sf_dir).withColumn("session", F.col("id") % 10), "session")

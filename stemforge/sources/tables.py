@@ -33,31 +33,75 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt anew by keys where the scan they come from has fewer parts than the cluster has cores; on many files as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores, *keys) if source.rdd.getNumPartitions() < cores else rows
+
+
 class Store:
     """Append-only tables in a folder: captures, attempts and tombstones. What is stored is never changed in place; questions are
-    derived from it, so every state that was ever visible can be derived again."""
+    derived from it, so every state that was ever visible can be derived again.
+
+    Captures lie in one folder per batch. Batches of all writers share one order: claim() gives a writer's batch its number, and the
+    same number when the writer comes again with it, so writing a batch again after a failure leaves one copy and no writer meets
+    another's folder. A number is taken by creating a file of that name, which one writer only can do (on file systems that create
+    files atomically)."""
 
     TABLES = {"captures": CAPTURES, "attempts": ATTEMPTS, "tombstones": TOMBSTONES}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, *names: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *names)))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *names: str) -> list[str]:
+        path, fs = self._path(*names)
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def last_batch(self) -> int:
+        """The largest number of a batch; -1 if there is none."""
+        numbers = [int(n) for n in self._names("batches", "numbers")] + [int(n[6:]) for n in self._names("captures") if n.startswith("batch=")]
+        return max(numbers, default=-1)
+
+    def claim(self, writer: str, batch: int | str) -> int:
+        """The number of a writer's batch among the batches of all writers."""
+        for name in self._names("batches", "writers", writer):
+            if name.rpartition("@")[0] == str(batch):
+                return int(name.rpartition("@")[2])
+        number = self.last_batch() + 1
+        while True:
+            path, fs = self._path("batches", "numbers", str(number))
+            if fs.createNewFile(path):
+                break
+            number += 1
+        path, fs = self._path("batches", "writers", writer, f"{batch}@{number}")
+        fs.createNewFile(path)
+        return number
+
+    def _stored(self, name: str, rows: DataFrame) -> DataFrame:
+        fields = [f.split(" ")[0] for f in self.TABLES[name].split(", ")]
+        return rows.select(*(F.col(f) for f in fields)).to(self.spark.createDataFrame([], self.TABLES[name]).schema)
+
     def read(self, name: str) -> DataFrame:
         """A table's rows; an absent one is empty."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        path, fs = self._path(name)
+        if not fs.exists(path):
             return self.spark.createDataFrame([], self.TABLES[name])
         fields = [f.split(" ")[0] for f in self.TABLES[name].split(", ")]
         return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.root}/{name}").select(*fields)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        fields = [f.split(" ")[0] for f in self.TABLES[name].split(", ")]
-        rows.select(*(F.col(f) for f in fields)).to(self.spark.createDataFrame([], self.TABLES[name]).schema).write.mode("append").parquet(f"{self.root}/{name}")
-
-    def replace_batch(self, name: str, batch_id: int, rows: DataFrame) -> None:
-        """The rows of one batch, in a folder of its own: writing it again after a failure leaves one copy."""
-        fields = [f.split(" ")[0] for f in self.TABLES[name].split(", ")]
-        rows.select(*(F.col(f) for f in fields)).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+        """Adds rows to attempts or tombstones; captures are stored by batch."""
+        if name == "captures":
+            raise ValueError("captures are stored by batch: use claim and replace_batch")
+        self._stored(name, rows).write.mode("append").parquet(f"{self.root}/{name}")
+
+    def replace_batch(self, batch_id: int, rows: DataFrame) -> None:
+        """The captures of the batch with a claimed number, in a folder of its own."""
+        self._stored("captures", rows).write.mode("overwrite").parquet(f"{self.root}/captures/batch={batch_id}")
 
     def snapshot(self, questions: DataFrame, stamp: str) -> str:
         """A copy of questions under a new name, as a backup before a deletion."""

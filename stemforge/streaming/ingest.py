@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,13 @@ def paper_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -
 
 
 def ingest(papers: DataFrame, store: Store, checkpoint: str, source: str = "stream", **trigger) -> StreamingQuery:
-    """Appends the questions of each micro-batch to the store's captures. A batch that runs again after a failure replaces what it
-    had written, so each paper is learned once."""
+    """Appends the questions of each micro-batch to the store's captures. The checkpoint names the writer: a batch that runs again after
+    a failure replaces what it had written, so each paper is learned once, and streams with other checkpoints, and papers learned
+    otherwise, keep their own batches."""
+    writer = f"stream-{hashlib.md5(checkpoint.rstrip('/').encode(), usedforsecurity=False).hexdigest()}"
 
     def learn(batch: DataFrame, batch_id: int) -> None:
-        store.replace_batch("captures", batch_id, captures_of(parse_papers(batch), batch_id, source, datetime.now().replace(microsecond=0)))
+        number = store.claim(writer, batch_id)
+        store.replace_batch(number, captures_of(parse_papers(batch), number, source, datetime.now().replace(microsecond=0)))
 
     return papers.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -5,6 +5,7 @@ import pytest
 
 from stemforge.bank import Bank
 from stemforge.operators import maintenance, report
+from stemforge.operators.capture import Fold
 from stemforge.sources.tables import Store
 from stemforge.streaming import ingest
 
@@ -84,3 +85,48 @@ def test_stream_of_papers(spark, folder):
     run()
     assert store.read("captures").count() == 4
     assert Bank(spark, f"{folder}/store").questions().count() == 3
+
+
+def test_learning_and_streams_share_an_order(spark, folder):
+    import pathlib
+
+    bank = Bank(spark, f"{folder}/store")
+    bank.learn(papers(spark, PAPER), "甲")
+    inbox = pathlib.Path(folder, "inbox")
+    inbox.mkdir()
+    (inbox / "a.txt").write_text(PAPER.replace("借书", "还书"), encoding="utf-8")
+    for name in ("one", "two", "one"):
+        ingest.ingest(ingest.paper_stream(spark, str(inbox)), bank.store, f"{folder}/{name}").awaitTermination()
+    assert sorted((r["batch_id"], r["source"]) for r in bank.store.read("captures").collect()) == [(0, "甲")] * 2 + [(1, "stream")] * 2 + [(2, "stream")] * 2
+    assert bank.learn(papers(spark, PAPER), "乙")["tally"].first()["batch_id"] == 3
+    assert [(r["stem_raw"][:2], r["times_seen"]) for r in bank.questions().orderBy("id").collect()] == [("学生", 4), ("借书", 2), ("还书", 2)]
+
+
+def test_a_batch_that_comes_again_replaces_itself(spark, folder):
+    store = Store(spark, folder)
+    assert [store.claim("a", 0), store.claim("b", 0), store.claim("a", 1), store.claim("a", 0), store.claim("b", 0)] == [0, 1, 2, 0, 1]
+    bank = Bank(spark, folder)
+    for _ in range(2):
+        bank.learn(papers(spark, PAPER), "x", batch_id=7)
+    assert store.read("captures").count() == 2 and store.last_batch() == 3
+    with pytest.raises(ValueError):
+        store.append("captures", store.read("captures"))
+
+
+def test_strict_conflicts(spark):
+    from tests.test_capture import SCHEMA, STEM
+
+    rows = lambda xs: spark.createDataFrame([(0, i, "s", STEM, o, a, None, None, None) for i, (o, a) in enumerate(xs)], SCHEMA)
+    count = lambda xs, strict: Fold(rows(xs), strict=strict).conflicts.count()
+    changed, shuffled = [(["x", "y"], "A"), (["y", "x"], "A")], [(["x", "y", "z"], "AB"), (["z", "y", "x"], "BC")]
+    assert [count(changed, False), count(changed, True), count(shuffled, False), count(shuffled, True)] == [0, 1, 1, 0]
+    assert count([([], "A"), (["x"], "A"), (["x"], "B")], True) == 1
+
+
+def test_session_score_and_pairs_as_shown(spark):
+    graded = spark.createDataFrame([(1, True), (1, False), (1, True), (2, False)], "session long, ok boolean")
+    assert sorted(tuple(r) for r in report.session_score(graded, "session").collect()) == [(1, 2, 1, "本轮 对 2 / 错 1"), (2, 0, 1, "本轮 对 0 / 错 1")]
+    pairs = spark.createDataFrame([(1, 2, 0.9)], "a_id long, b_id long, ratio double")
+    questions = spark.createDataFrame([(1, "x" * 70, "y" * 60), (2, "z", None)], "id long, stem_raw string, answer_text string")
+    r = report.shown_pairs(pairs, questions).first()
+    assert (r["a_stem"], r["a_text"], r["b_stem"], r["b_text"]) == ("x" * 66, "y" * 58, "z", None)

@@ -63,6 +63,15 @@ def test_chunks_agree_with_a_loop(spark, monkeypatch):
     assert {r["stem_raw"]: (r["answer"], r["options"] or [], r["answer_text"]) for r in f.questions.collect()} == state
 
 
+def test_chunks_are_bounded_and_few(spark, monkeypatch):
+    monkeypatch.setattr(capture, "CHUNK", 4)
+    rows = [(0, i << 20, STEM, ["x"], "A") for i in range(40)] + [(0, (i << 20) + 1, STEM + "二", ["x"], "A") for i in range(3)] + [(1, i if i < 60 else 10**9 + i, STEM, ["x"], "A") for i in range(64)]
+    f = fold(spark, rows)
+    sizes = {(r["fold_key"], r["batch_id"], r["part"]): len(r["outcomes"]) for r in f.chunks.collect()}
+    assert max(sizes.values()) <= 8 and len([k for k in sizes if k[1] == 0]) == 11 and sum(sizes.values()) == len(rows)
+    assert f.questions.where("times_seen = 104").count() == 1
+
+
 def test_repeats_and_ids(spark):
     rows = [(0, 0, STEM, [], "A"), (0, 1, STEM + "二", [], ""), (0, 2, STEM, [], "A"), (1, 0, STEM, [], "A"), (1, 1, STEM + "二", [], "A"), (1, 2, STEM, [], "A"), (2, 0, STEM + "二", [], "A")]
     f = fold(spark, rows)

@@ -1,11 +1,16 @@
-"""Queries over whole tables, on small ones with long, short and many lines."""
+"""Queries over whole tables that SQL can't state, against brute force; and retrieval in lines of every length."""
 
 import difflib
+import re
 
 import pytest
 
-from stemforge.plans.queries import QUERIES
+from stemforge.functions import text as X
+from stemforge.operators import lookup, report
+from stemforge.plans import queries as Q
+from tests.test_retrieval import reference_match
 
+DATA = "/root/testdata/sf0.001"
 LONG = "the committee met on a wet tuesday and after three hours of talk about drains bridges and the price of salt it chose to wait for another report from the north "
 LINES = ["tiny line", "tiny lines", LONG * 2 + "before winter", LONG * 2 + "before summer", "a line of middling length number one", "a line of middling length number two"]
 
@@ -16,9 +21,10 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
-def test_lines_of_every_length_are_paired(spark, folder):
-    got = {(r["a_id"] >> 20, r["b_id"] >> 20) for r in QUERIES["dupes_pairs"](spark, folder).collect()}
+def test_lines_of_every_length_are_paired(spark):
     norm = [x.strip().replace(" ", "") for x in LINES]
+    rows = spark.createDataFrame([(i, x, ["x"], "A") for i, x in enumerate(norm)], "id long, stem_norm string, options array<string>, answer string")
+    got = {(r["a_id"], r["b_id"]) for r in report.duplicate_pairs(rows, 0.75).collect()}
     want = {(i, j) for j in range(6) for i in range(j) if difflib.SequenceMatcher(None, norm[i], norm[j]).ratio() >= 0.75}
     assert {(0, 1), (2, 3), (4, 5)} <= want == got
 
@@ -26,7 +32,7 @@ def test_lines_of_every_length_are_paired(spark, folder):
 def test_turns_are_parsed_with_all_their_lines(spark, tmp_path):
     rows = [(1, 0, "user", "\nwhat is salt\nmade of"), (1, 1, "assistant", "sodium\n\nand chlorine"), (2, 0, "user", "who"), (2, 1, "assistant", "me")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r["conv_id"], r["stem"], r["answer"]) for r in QUERIES["parse_qa_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["conv_id"], r["stem"], r["answer"]) for r in Q.QUERIES["parse_qa"](spark, str(tmp_path)).collect()}
     assert got == {(1, "what is salt made of", "sodium and chlorine"), (2, "who", "me")}
 
 
@@ -37,7 +43,77 @@ def test_whole_texts_are_searched_in_lines_of_every_length(spark, folder):
     norm = lambda x: x.replace(" ", "").replace(".", "")
     parts = {norm(p) for _, t in rows for p in (t, *t.split("."))}
     want = {(q, norm(c)) for q in parts for c in LINES if q in norm(c) and q != norm(c)}
-    assert {(r["q"], r["c"]) for r in QUERIES["lookup_contains_whole"](spark, folder).collect()} == want and len(want) == 3
-    assert {(r["item_id"], r["id"] >> 20) for r in QUERIES["find_top1_whole"](spark, folder).collect()} == {(1, 2), (2, 4)}
-    fuzzy = QUERIES["lookup_fuzzy"](spark, folder).collect()
-    assert (2, "documents", 4) in {(r["query_id"]["id"], r["id"]["origin"], r["id"]["id"]) for r in fuzzy}
+    assert {(r["q"], r["c"]) for r in Q.QUERIES["lookup_contains"](spark, folder).collect()} == want and len(want) == 3
+    assert {(r["item_id"], r["id"] >> 20) for r in Q.QUERIES["find_top1_line"](spark, folder).collect()} == {(1, 2), (2, 4)}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.56, 0.9, 1.0])
+def test_containing_candidates_lose_no_pair(spark, share):
+    import random
+
+    from stemforge.operators import similarity as S
+    from stemforge.sources.tables import Workspace
+
+    r = random.Random(6)
+    big = ["".join(r.choices("abcde", k=r.randint(1, 90))) for _ in range(40)]
+    small = [b[(k := r.randrange(len(b))) : k + r.randint(1, 40)] or "a" for b in big] + ["e", "ab", ""]
+    small = [s + "".join(r.choices("abcde", k=len(s) // 4)) for s in small]
+    rows = lambda xs: spark.createDataFrame(list(enumerate(xs)), "id long, s string")
+    got = {(x["small_id"], x["big_id"]) for x in S.containing_candidates(rows(small), rows(big), share, Workspace(spark)).collect()}
+    longest = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
+    assert {(i, j) for i, a in enumerate(small) if a for j, b in enumerate(big) if longest(a, b) >= share * len(a)} <= got
+
+
+def test_fuzzy_lookup_of_the_whole_tables_is_that_of_brute_force(spark):
+    stored = [(tuple(r["id"]), r["stem_norm"], r["stem"]) for r in Q.stored_stems(spark, DATA).collect()]
+    got = {}
+    for r in Q.QUERIES["lookup_fuzzy"](spark, DATA).collect():
+        got.setdefault(tuple(r["query_id"]), []).append((r["rank"], tuple(r["id"]), round(r["score"], 12)))
+    assert len(stored) > 60
+    for key, _, stem in stored:
+        q = X._bare(re.sub(r"^(\S+) \S+", r"\1", stem.lstrip(" ")))
+        scored = sorted(((reference_match(q, s), i) for i, s, _ in stored), key=lambda x: (-x[0], x[1]))
+        want = [(s, i) for s, i in scored if s == 1.0] or [(s, i) for s, i in scored if s >= 0.5][:5]
+        assert [(s, i) for _, i, s in sorted(got.get(key, []))] == [(round(s, 12), i) for s, i in want], stem
+
+
+def test_duplicates_of_the_whole_tables_are_those_of_brute_force(spark):
+    got = {(r["a_id"], r["b_id"]): round(r["ratio"], 12) for r in Q.QUERIES["dupes_pairs"](spark, DATA).collect()}
+    stems = {(r["id"]["origin"], r["id"]["id"]): r["stem_norm"] for r in Q.stored_stems(spark, DATA).collect()}
+    for r in X.with_norm(Q.benchmark_parts(spark, DATA).where("part_no > 0"), "n", "part").orderBy("item_id", "part_no").collect():
+        if ("sentence", r["n"]) not in stems.values():
+            key = ("sentence", r["item_id"] * 1000 + r["part_no"])
+            if r["n"] not in {n for k, n in stems.items() if k[0] == "sentence"}:
+                stems[key] = r["n"]
+    keys = sorted(stems)
+    want = {}
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            x, y = stems[a], stems[b]
+            if x and y and min(len(x), len(y)) >= 0.6 * max(len(x), len(y)) and (ratio := difflib.SequenceMatcher(None, x, y).ratio()) >= 0.75:
+                want[f"{a[0]}:{a[1]}", f"{b[0]}:{b[1]}"] = round(ratio, 12)
+    assert got == want and len(want) > 10
+
+
+def test_display_forms(spark):
+    stored = spark.createDataFrame([(1, "大学学制一般是几年时间", "大学学制一般是几年时间", ["一年", "两年"], "B", "两年", "因为")], "id long, stem_raw string, stem_norm string, options array<string>, answer string, answer_text string, explanation string")
+    asked = spark.createDataFrame([(1, "大学学制一般是几年时间\nA. 两年\nB. 一年"), (2, "大学学制一般是几年时间"), (3, "完全无关的另外一道题目内容")], "query_id long, text string")
+    got = {r["query_id"]: r["text"] for r in lookup.resolved(lookup.ask(asked, stored)).collect()}
+    head, tail = "      [完全相同 1.00] 大学学制一般是几年时间", "\n      题干过短，可能是通用题干，核对选项是否一致: 一年 | 两年"
+    assert got[1] == "答案: A  → 两年   （题库里存的是 B，说明这次选项顺序不同，已按你看到的顺序重算）\n" + head + tail
+    assert got[2] == "选项原文: 两年\n" + head + "\n      !! 无法确定字母：你只给了题干没给选项，无法校对顺序——请按上面的选项原文作答" + tail
+    assert got[3] == "题库无此题"
+    hits = lookup.shown(lookup.find(asked.select("query_id", F_text()).where("query_id = 2"), stored)).first()
+    assert hits["shown"] == "[完全相同 1.00] #1  大学学制一般是几年时间\n    A. 一年\n    B. 两年\n  答案: B  → 两年\n  解析: 因为"
+
+
+def F_text():
+    from pyspark.sql import functions as F
+
+    return F.col("text").alias("query")
+
+
+def test_normal_forms_are_computed_once(spark):
+    rows = spark.createDataFrame([("1、[1分] x",)], "t string")
+    plan = X.with_norm(rows, "n", "t").select("n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("题库") == 0 and plan.count("查看试卷") == 1
