@@ -419,7 +419,7 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, i
     rows = scratch.table(shingled(texts), "shingles")
     n = rows.where(F.size("sketch") > 0).count()
     raw, families_once = document_frequencies(rows, families(rows, n))
-    codes, counts = spark.sparkContext.broadcast(weight_codes(families_once, n)), spark.sparkContext.broadcast(raw)
+    codes, counts = spark.sparkContext.broadcast(weight_codes(families_once, n)), spark.sparkContext.broadcast(np.minimum(raw, 2**32 - 1).astype(np.uint32))
     nodes = scratch.table(rows.groupBy("node").agg(F.min("row").alias("id")), "nodes")
     bands = scratch.table(banded(rows, codes), "bands")
     members = scratch.table(rows.select("doc_id", "node"), "documents")

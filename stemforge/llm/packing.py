@@ -42,7 +42,7 @@ LONGEST_STRETCH = 128
 #: Windows that are planned together.
 PLANNED = 128
 #: Characters of words kept in each of a task's two tables, with 8 more for each word.
-KEPT_CHARACTERS = 5_000_000
+KEPT_CHARACTERS = 1_500_000
 
 
 class WordIds:

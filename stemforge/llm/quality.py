@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemforge.llm.labelled import SAMPLE, held_out, training_rows
-from stemforge.llm.shared import groups_of, texts_of, word_hashes
+from stemforge.llm.shared import Chunks, groups_of, texts_of, word_hashes
 
 BITS, DIMENSIONS = 18, 8
 N_GRAMS = (2, 3, 4)
@@ -101,16 +101,20 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> M
     layer = random.normal(0, 0.5, (DIMENSIONS, 2)).astype("f4")
     y = np.array(labels)
     share = y.mean()
-    pieces = []
+    found, times, owner = Chunks("i4"), Chunks("u2"), []
     for i, t in enumerate(texts):
         words = TOKEN.findall(t)
         for a in range(0, len(words), STEP_WORDS):
-            found, times = np.unique(features(words[a : a + STEP_WORDS]), return_counts=True)
-            pieces.append((found.astype(np.int32), (times / times.sum()).astype("f4"), i))
-    steps, done = EPOCHS * len(pieces), 0
+            rows, n = np.unique(features(words[a : a + STEP_WORDS]), return_counts=True)
+            found.add(rows)
+            times.add(np.minimum(n, 2**16 - 1))
+            owner.append(i)
+    steps, done = EPOCHS * len(owner), 0
     for _ in range(EPOCHS):
-        for k in random.permutation(len(pieces)):
-            rows, part, i = pieces[k]
+        for k in random.permutation(len(owner)):
+            rows, i = found[k], owner[k]
+            part = times[k].astype("f4")
+            part /= part.sum()
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = part @ vectors[rows]

@@ -99,11 +99,37 @@ def groups_of(batches: Iterable[pa.RecordBatch], name: str = "text", most_bytes:
             yield batch.slice(start)
 
 
+#: Words whose hashes a worker keeps: workers outlive stages, and what they keep adds up.
+KEPT_WORDS = 100_000
+
+
+class Chunks:
+    """Arrays of one type one after the other in large pieces of memory, which go back to the system when they are done with."""
+
+    def __init__(self, kind: str, size: int = 1 << 20):
+        self.all, self.ends = np.empty(size, kind), [0]
+
+    def add(self, part: np.ndarray) -> None:
+        end = self.ends[-1] + len(part)
+        if end > len(self.all):
+            grown = np.empty(max(end, 2 * len(self.all)), self.all.dtype)
+            grown[: self.ends[-1]] = self.all[: self.ends[-1]]
+            self.all = grown
+        self.all[self.ends[-1] : end] = part
+        self.ends.append(end)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.all[self.ends[i] : self.ends[i + 1]]
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the words met most lately."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -18,21 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemforge.llm.labelled import SAMPLE, held_out, training_rows
-from stemforge.llm.shared import groups_of, texts_of
+from stemforge.llm.shared import Chunks, groups_of, texts_of
 
 WORD = re.compile(r"\w+")
 BITS, FACTORS = 20, 4
 #: Lengths of the beginnings that are terms of their own.
 BEGINNINGS = (4, 5)
 #: Words whose terms a task keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000
 EPOCHS = 6
 #: Terms of fewer training texts are not learned.
 LEAST_TEXTS = 4
 #: Nor terms whose shares among the texts of either label differ by fewer standard deviations, unless they are part of a pair of
 #: words, at most NEAR words apart, whose shares differ by PAIR_GAP: words that mean nothing alone may do so together.
 LEAST_GAP, PAIR_GAP = 2.5, 8.0
-NEAR, PAIR_BITS = 4, 22
+NEAR, PAIR_BITS = 4, 20
 #: Rates and penalties of the single weights (FTRL, which leaves what doesn't matter at 0) and of the factors (SGD).
 W_RATE, W_ONE, W_TWO = 0.1, 2.0, 1.0
 V_RATE, V_DECAY = 0.02, 1e-3
@@ -76,28 +76,38 @@ def gaps(by: list[np.ndarray], n: tuple[int, int]) -> np.ndarray:
 
 
 class Machine:
-    """Weights, and the margin of a set of terms."""
+    """Weights and factors of the terms that have any (ids, rising), and the margin of a set of terms."""
 
-    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray):
-        self.bias, self.w, self.v = bias, w, v
+    def __init__(self, bias: float, ids: np.ndarray, w: np.ndarray, v: np.ndarray):
+        self.bias, self.ids, self.w, self.v = bias, ids.astype(np.int64), w, v
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """The rows of those of the terms that have any."""
+        at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
+        return at[self.ids[at] == ids] if len(self.ids) else at[:0]
 
     def margin(self, ids: np.ndarray) -> float:
-        v = self.v[ids]
+        at = self.rows(ids)
+        v = self.v[at]
         s = v.sum(0)
-        return float(self.bias + self.w[ids].sum() + 0.5 * (s @ s - np.einsum("ij,ij->", v, v)))
+        return float(self.bias + self.w[at].sum() + 0.5 * (s @ s - np.einsum("ij,ij->", v, v)))
 
 
 def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Machine:
     """Logistic loss, labels weighed so that each counts alike (of one label only, the prior is all that is learned); terms of few texts, or alike under both labels alone and in pairs, stay 0."""
-    w, v = np.zeros(1 << BITS, "f4"), np.zeros((1 << BITS, FACTORS), "f4")
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     shift = float(np.log(prior / (1 - prior)))
     if len(set(labels)) < 2:
-        return Machine(shift, w, v)
+        return Machine(shift, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     terms, y = Terms(), np.array(labels)
-    rows = [term_ids(t, terms) for t in texts]
+    rows = Chunks("i4")
+    for t in texts:
+        rows.add(term_ids(t, terms))
     n = tuple(labels.count(a) for a in (0, 1))
-    learned = gaps([np.bincount(np.concatenate([r for r, b in zip(rows, labels) if b == a]), minlength=1 << BITS) for a in (0, 1)], n) >= LEAST_GAP
+    met = [np.zeros(1 << BITS, np.int32) for _ in (0, 1)]
+    for r, label in zip(rows, labels):
+        met[label][r] += 1
+    learned = gaps(met, n) >= LEAST_GAP
     pairs = [np.zeros(1 << PAIR_BITS, np.int32) for _ in (0, 1)]
     for text, label in zip(texts, labels):
         pairs[label][np.unique(near_pairs(text, terms)[0])] += 1
@@ -108,7 +118,10 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> M
     used = np.flatnonzero(learned)
     place = np.zeros(1 << BITS, np.int64)
     place[used] = np.arange(len(used))
-    rows = [place[r[learned[r]]] for r in rows]
+    kept = Chunks("i4")
+    for r in rows:
+        kept.add(place[r[learned[r]]])
+    rows = kept
     random = np.random.default_rng(seed)
     lw, lv = np.zeros(len(used)), random.normal(0, 0.02, (len(used), FACTORS))
     z, squares = np.zeros(len(used)), np.zeros(len(used))
@@ -126,12 +139,11 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> M
             squares[ids] = ni + g * g
             lv[ids] = vi - V_RATE * np.clip(g * (s - vi), -1, 1) - V_RATE * V_DECAY * vi
     lw = np.where(np.abs(z) <= W_ONE, 0, (np.sign(z) * W_ONE - z) / ((1 + np.sqrt(squares)) / W_RATE + W_TWO))
-    w[used], v[used] = lw, lv
-    return Machine(bias, w, v)
+    return Machine(bias, used, lw.astype("f4"), lv.astype("f4"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """A machine learned from at most 2 * sample labelled rows, in one task; the driver gets the non-zero weights only."""
+    """A machine learned from at most 2 * sample labelled rows, in one task; the driver gets the weights of the terms that have any."""
     rows, prior = training_rows(documents, labels, "toxic", sample)
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,18 +153,13 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
             y += batch.column("label").to_pylist()
         order = sorted(range(len(texts)), key=lambda i: xxhash.xxh64_intdigest(texts[i]))
         m = train([texts[i] for i in order], [y[i] for i in order], prior)
-        used = np.flatnonzero((m.w != 0) | m.v.any(1)).astype("<i4")
-        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([used.tobytes()], pa.binary()), pa.array([m.w[used].tobytes()], pa.binary()), pa.array([m.v[used].tobytes()], pa.binary())], ["bias", "ids", "w", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.ids.astype("<i4").tobytes()], pa.binary()), pa.array([m.w.astype("<f4").tobytes()], pa.binary()), pa.array([m.v.astype("<f4").tobytes()], pa.binary())], ["bias", "ids", "w", "v"])
 
     # the sample is written first, so that one task reads no more than it
     got = rows.coalesce(1).mapInArrow(learn, "bias double, ids binary, w binary, v binary").collect()
-    w, v = np.zeros(1 << BITS, "f4"), np.zeros((1 << BITS, FACTORS), "f4")
-    bias = 0.0
-    if got:
-        ids = np.frombuffer(got[0]["ids"], "<i4")
-        w[ids], v[ids] = np.frombuffer(got[0]["w"], "f4"), np.frombuffer(got[0]["v"], "f4").reshape(-1, FACTORS)
-        bias = got[0]["bias"]
-    return Machine(bias, w, v)
+    if not got:
+        return Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+    return Machine(got[0]["bias"], np.frombuffer(got[0]["ids"], "<i4"), np.frombuffer(got[0]["w"], "<f4"), np.frombuffer(got[0]["v"], "<f4").reshape(-1, FACTORS))
 
 
 def score(documents: DataFrame, machine: Machine, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

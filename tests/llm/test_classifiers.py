@@ -36,7 +36,7 @@ def test_pairs_are_learned_beyond_single_terms():
         y.append(int(insult and group))
     m = toxicity.train(texts, y, 0.25)
     a, b = (toxicity.xxhash.xxh64_intdigest(w, 1) & ((1 << toxicity.BITS) - 1) for w in ("fool", "people"))
-    assert float(m.v[a] @ m.v[b]) > 0.05
+    assert float(m.v[m.rows(np.array([a]))[0]] @ m.v[m.rows(np.array([b]))[0]]) > 0.05
     terms = toxicity.Terms()
     margin = lambda t: m.margin(toxicity.term_ids(t, terms))
     assert margin("fool people n1") > 0 > max(margin("fool n1"), margin("people n1"), margin("n1 n2"))
@@ -69,10 +69,10 @@ def test_an_insult_of_few_texts_is_learned():
 
 def test_the_pairwise_sum_is_that_over_all_pairs():
     rng = np.random.default_rng(0)
-    m = toxicity.Machine(0.5, rng.normal(size=1 << toxicity.BITS), rng.normal(size=(1 << toxicity.BITS, toxicity.FACTORS)))
-    ids = np.array([3, 70, 900, 12345])
-    want = 0.5 + m.w[ids].sum() + sum(m.v[i] @ m.v[j] for k, i in enumerate(ids) for j in ids[:k])
-    assert abs(m.margin(ids) - want) < 1e-9
+    m = toxicity.Machine(0.5, np.array([3, 5, 70, 900, 12345]), rng.normal(size=5), rng.normal(size=(5, toxicity.FACTORS)))
+    at = [0, 2, 3, 4]
+    want = 0.5 + m.w[at].sum() + sum(m.v[i] @ m.v[j] for k, i in enumerate(at) for j in at[:k])
+    assert abs(m.margin(np.array([3, 4, 70, 900, 12345, 99999])) - want) < 1e-9
 
 
 def test_whole_texts_count():
