@@ -8,18 +8,28 @@ from stemforge.llm import mixing, near_dup, packing, quality, toxicity
 from stemforge.llm.queries import TOKEN_LIMIT, table, tokenizer_file
 from stemforge.llm.shared import written
 
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts pass through Python in batches of so many bytes at most: the stages share workers, whose memory is little."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.scored_like(docs, machine, threshold=0.5) == 0)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.scored_like(docs, model, threshold=0.3) == 1)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dup.keep_one(docs)
 
 
@@ -28,6 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
