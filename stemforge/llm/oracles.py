@@ -17,10 +17,10 @@ select doc_id, source, copy, ('0x' || substr(md5(id || '|' || digest || '|' || c
 """
 
 TOPK = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+with v as (select row_number() over () as number, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
   where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+s as (select q.number, q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.number <> c.number where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by number order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 10
 """
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -8,16 +9,15 @@ SCHEMA = "vec_id long, embedding array<double>, rank string"
 
 
 def brute(rows, k, every):
-    v = {}
+    v = []
     for i, e, *_ in rows:
         if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            q = [int(np.floor(1024 * x)) for x in e]
-            v[i] = min(v.get(i, q), q)
+            v.append((i, [math.floor(1024 * x) for x in e]))
     out = []
-    for q in v:
-        if q % every == 0:
-            s = sorted((-min(max(sum(a * b for a, b in zip(v[q], v[c])), -(2**63)), 2**63 - 1), c) for c in v if c != q)[:k]
-            out += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s)]
+    for n, (i, q) in enumerate(v):
+        if i % every == 0:
+            s = sorted((-min(max(sum(a * b for a, b in zip(q, w)), -(2**63)), 2**63 - 1), c) for m, (c, w) in enumerate(v) if m != n)[:k]
+            out += [(i, r + 1, c, -x) for r, (x, c) in enumerate(s)]
     return sorted(out)
 
 
@@ -29,6 +29,7 @@ def test_exact(spark, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_ROWS", 16)
     monkeypatch.setattr(K, "SEGMENT_BLOCKS", 3)
     monkeypatch.setattr(K, "QUERY_ROWS", 7)
+    monkeypatch.setattr(K, "BOUNDED_SEGMENTS", 2)
     r = random.Random(1)
     centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(5)]
     rows = [(i, [x + r.gauss(0, 0.3) for x in r.choice(centres)], "x") for i in range(400)]
@@ -47,9 +48,27 @@ def test_odd_rows(spark):
 
 def test_large_components_stay_exact(spark):
     rows = [(0, [3e9, 1.0], "x"), (1, [2.5e4, -7e8], "x"), (2, [2.5e4, -7e8 + 1], "x")]
+    rows += [(10, [1e30, 1.0, -4e200], "x"), (3, [0.0, 5.0], "x"), (10, [2.0, 1.0], "x")]
     assert found(spark, rows, 2, 10) == brute(rows, 2, 10)
 
 
+def test_rows_that_repeat_an_id_are_queries_and_candidates(spark):
+    rows = [(i % 30, [float(i % 7), float(i % 11)], "x") for i in range(90)]
+    assert found(spark, rows, 5, 10) == brute(rows, 5, 10)
+
+
+def test_segments_below_the_floor_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(K, "SEGMENT_BLOCKS", 2)
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 0.1) + (9 if j == i % 4 else -9 if j == (i + 1) % 4 else 0) for j in range(4)], "x") for i in range(600)]
+    kept = []
+    scored = K.scored
+    monkeypatch.setattr(K, "scored", lambda pairs, *a: kept.append(pairs.count()) or scored(pairs, *a))
+    assert found(spark, rows, 3, 10) == brute(rows, 3, 10)
+    assert kept[0] == 60 and sum(kept) < 60 * 600 / 16 / 2
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     q, b = rng.integers(-500, 500, (20, 8)), rng.integers(-500, 500, (5, 30, 8))
