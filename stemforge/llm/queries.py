@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemforge.llm import chat, html_text, media, mixing, near_dup, oracles, packing, quality, token_counts, topk, toxicity
+from stemforge.llm.shared import written
 
 TOKEN_LIMIT = 4096
 
@@ -36,7 +37,9 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.token_index(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), TOKEN_LIMIT, keep_index=False)
+    index = written(token_counts.token_index(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), TOKEN_LIMIT), "prefix-index")
+    whole = token_counts.prefix_tokens("prefix_index", F.lit(2**40))
+    counted = index.select("doc_id", "n_bytes", whole.alias("n_tokens"), token_counts.prefix_within("prefix_index", F.lit(TOKEN_LIMIT)).alias("within_budget"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "within_budget")
 
 

@@ -125,12 +125,15 @@ def counter(model_path: str) -> PrefixCounter:
 
 
 def pack_index(counts: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(counts).astype(np.int16 if np.abs(np.diff(counts)).max(initial=0) < 2**15 else np.int32).tobytes(), 1) + bytes([2 if np.abs(np.diff(counts)).max(initial=0) < 2**15 else 4])
+    """The steps of a text's counts in as few bytes each as they need, compressed, and that number of bytes."""
+    steps = np.diff(counts)
+    most = int(np.abs(steps).max(initial=0))
+    width = 1 if most < 2**7 else 2 if most < 2**15 else 4
+    return zlib.compress(steps.astype(f"<i{width}").tobytes(), 1) + bytes([width])
 
 
 def open_index(index: bytes) -> np.ndarray:
-    steps = np.frombuffer(zlib.decompress(index[:-1]), np.int16 if index[-1] == 2 else np.int32)
-    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    return np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(index[:-1]), f"<i{index[-1]}"), dtype=np.int64)])
 
 
 def longest_within(counts: np.ndarray, budget: int) -> int:
