@@ -1,5 +1,15 @@
+import hashlib
+import math
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from stemforge.llm import near_dup, quality, toxicity
+from stemforge.llm.queries import tokenizer_file
+from stemforge.llm.shared import written
 
 DATA = "/root/testdata/sf0.001"
 
@@ -30,3 +40,74 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def poisson(mean, u):
+    k, p, total = 0, math.exp(-mean), math.exp(-mean)
+    while total <= u and k < mean + 10 * math.sqrt(mean) + 12:
+        k += 1
+        p *= mean / k
+        total += p
+    return k
+
+
+def one_of_each(rows):
+    """The rows of the least id of each class by weighted similarity over all pairs."""
+    kept = [near_dup.stored(near_dup.shingles(r["text"] or "")) for r in rows]
+    sketches = [near_dup.sketch(k) for k in kept]
+    n = sum(len(k) > 0 for k in kept)
+    met = Counter(s for x in sketches for s in x)
+    counts = np.zeros(2**near_dup.DF_BITS)
+    for k, x in zip(kept, sketches):
+        if len(k):
+            copies = sorted(met[s] if met[s] >= max(2, -(-n // near_dup.FAMILY)) else 0 for s in x)[-2]
+            counts[np.unique(near_dup.buckets_of(k))] += 1 / max(copies, 1)
+    codes = near_dup.weight_codes(counts, n)
+    texts = [near_dup.Weighted(k.tobytes(), codes) for k in kept]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i]["text"] == rows[j]["text"] or (texts[i].total and texts[i].similarity(texts[j]) >= 0.8):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    best = {}
+    for x, r in zip(label, rows):
+        best[x] = min(best.get(x, r["doc_id"]), r["doc_id"])
+    return [r for x, r in zip(label, rows) if r["doc_id"] == best[x]]
+
+
+def test_the_query_is_that_of_brute_force(spark):
+    """All stages over the whole small table: rows kept, copies of each and token counts by plain loops over the same models."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    machine = toxicity.fit(docs, labels)
+    terms = toxicity.Terms()
+    rows = [r for r in docs.collect() if machine.margin(toxicity.term_ids(r["text"] or "", terms)) < 0]
+    model = quality.fit(docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows])), labels)
+    rows = one_of_each([r for r in rows if quality.chances([r["text"] or ""], model)[0] >= 0.3])
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += len((r["text"] or "").encode())
+    total, raw = sum(sizes.values()), sum(math.sqrt(x) for x in sizes.values())
+    want = Counter()
+    for r in rows:
+        digest = hashlib.md5((r["text"] or "").encode()).hexdigest()
+        u = (int(hashlib.md5(f"{r['doc_id']}|{digest}|copies0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        size = sizes[r["source"]]
+        want[r["doc_id"]] = poisson(math.sqrt(size) / raw * total / size if size else 1.0, u)
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert Counter(r["doc_id"] for r in got if r["start"] == 0) == +want and sum(want.values()) > 20
+    lib = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    tokens = {r["doc_id"]: len(lib.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in rows}
+    held = Counter()
+    for r in got:
+        assert r["doc_tokens"] == tokens[r["doc_id"]]
+        held[r["doc_id"]] += r["length"]
+    assert held == Counter({d: n * want[d] for d, n in tokens.items() if want[d]})
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({c: F.lit(1) for c in ("start", "length", "class_id", "node", "rate", "copy", "score", "label", "bands")})
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, DATA), name)
+    assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and docs.count() > 0
