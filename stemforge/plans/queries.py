@@ -15,10 +15,9 @@ from stemforge.functions import patterns as P
 from stemforge.functions import text as X
 from stemforge.operators import lookup as look
 from stemforge.operators import maintenance, report
-from stemforge.operators import similarity as S
 from stemforge.operators.capture import Fold, numbered
 from stemforge.operators.parse import failures, parse_papers, records
-from stemforge.sources.tables import Workspace, export_rows, spread
+from stemforge.sources.tables import export_rows, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,6 +69,12 @@ def line_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(batch.alias("batch_id"), seq.alias("seq"), "source", F.col("line").alias("stem"), F.lit(None).cast("array<string>").alias("options"), F.lit("A").alias("answer"), F.lit(None).cast("string").alias("qtype"), F.lit(None).cast("string").alias("explanation"), F.lit(None).cast("timestamp").alias("seen_at"))
 
 
+def parts(spark: SparkSession, sf_dir: str, key: str = "p_partkey") -> DataFrame:
+    """The table part, dealt over the cores for work that costs more than that."""
+    part = table(spark, sf_dir, "part")
+    return spread(part, part, key)
+
+
 def part_stem() -> Column:
     return F.concat(F.lit("which part is "), F.col("p_name"), F.lit(" number "), F.col("p_partkey").cast("string"))
 
@@ -89,7 +94,7 @@ def option_lines(options: Column) -> Column:
 
 
 def part_captures(spark: SparkSession, sf_dir: str, options: Column, answer: Column, stem: Column | None = None) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = parts(spark, sf_dir)
     return part.select(F.floor(F.col("p_partkey") / 1000).alias("batch_id"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("source"), (F.col("p_name") if stem is None else stem).alias("stem"), options.alias("options"), answer.alias("answer"), F.lit(None).cast("string").alias("qtype"), F.lit(None).cast("string").alias("explanation"), F.lit(None).cast("timestamp").alias("seen_at"))
 
 
@@ -100,8 +105,9 @@ def part_papers(spark: SparkSession, sf_dir: str, broken: Column | None = None)
     if broken is not None:
         lines = F.when(broken, F.regexp_replace(F.regexp_replace(lines, "\nC\\. ", "\nA. "), "\nD\\. ", "\nB. ")).otherwise(lines)
     block = F.concat((k % 1000).cast("string"), F.lit("、[1分]\n"), part_stem(), F.lit("\n"), lines, F.lit("\n正确答案："), letter(k))
-    rows = table(spark, sf_dir, "part").select(F.floor(k / 20).alias("paper_id"), F.struct(k.alias("k"), block.alias("block")).alias("b"))
-    return rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n").alias("text"))
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.floor(k / 20).alias("paper_id"), F.struct(k.alias("k"), block.alias("block")).alias("b"))
+    return spread(rows, part, "paper_id").groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n").alias("text"))
 
 
 # --- SQL that the oracles share
@@ -146,7 +152,7 @@ def stem_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = letter(F.col("p_partkey"))
     variants = F.array(x, F.lower(x), F.concat(F.lit("("), x, F.lit(")")), F.concat(F.lit("A、"), x), F.concat(x, F.lit(" , B")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", part_options().alias("options"), F.posexplode(variants).alias("variant", "given"))
+    rows = parts(spark, sf_dir).select("p_partkey", part_options().alias("options"), F.posexplode(variants).alias("variant", "given"))
     rows = rows.withColumn("answer", X.norm_answer("given"))
     return rows.select("p_partkey", "variant", "answer", X.answer_text(F.col("answer"), F.col("options")).alias("answer_text"))
 
@@ -182,7 +188,7 @@ def parse_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose options are in one line, lettered in lower case within the stem."""
     k = F.col("p_partkey")
     text = F.concat(F.lit("第"), (k % 1000).cast("string"), F.lit("、（2分）\n"), part_stem(), F.lit("\nA. "), "p_brand", F.lit("  B、"), "p_type", F.lit(" C) size "), F.col("p_size").cast("string"), F.lit("\n参考答案: "), F.substring(F.lit("ABC"), (k % 3 + 1).cast("int"), F.lit(1)))
-    papers = table(spark, sf_dir, "part").select(k.alias("paper_id"), text.alias("text"))
+    papers = parts(spark, sf_dir).select(k.alias("paper_id"), text.alias("text"))
     return records(parse_papers(papers)).select(F.col("paper_id").alias("p_partkey"), "stem", F.array_join("options", "|").alias("options"), "answer")
 
 
@@ -191,7 +197,7 @@ def parse_sub_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose stem has parts lettered in lower case, and options in upper case."""
     k = F.col("p_partkey")
     text = F.concat(part_stem(), F.lit("\na. "), "p_brand", F.lit("\nb. "), "p_type", F.lit("\nA. ab\nB. ba\n正确答案："), F.substring(F.lit("AB"), (k % 2 + 1).cast("int"), F.lit(1)))
-    papers = table(spark, sf_dir, "part").select(k.alias("paper_id"), text.alias("text"))
+    papers = parts(spark, sf_dir).select(k.alias("paper_id"), text.alias("text"))
     return records(parse_papers(papers)).select(F.col("paper_id").alias("p_partkey"), "stem", F.array_join("options", "|").alias("options"), "answer")
 
 
@@ -200,14 +206,14 @@ def clean_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems with captions, a section heading and a question number before them."""
     k = F.col("p_partkey")
     noisy = F.concat(F.lit("查看试卷 冲！随机选择 二、多选题 "), (k % 100 + 1).cast("string"), F.lit("、[1分] "), part_stem(), F.lit(" 下一题"))
-    return X.with_norm(table(spark, sf_dir, "part").select("p_partkey", noisy.alias("noisy")), "stem_norm", "noisy").select("p_partkey", X.clean_stem("noisy").alias("clean"), "stem_norm")
+    return X.with_norm(parts(spark, sf_dir).select("p_partkey", noisy.alias("noisy")), "stem_norm", "noisy").select("p_partkey", X.clean_stem("noisy").alias("clean"), "stem_norm")
 
 
 @query(f"with {PART_SQL} select p_partkey, stem, array_to_string(options, '|') as options from p")
 def query_and_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.concat((k % 1000).cast("string"), F.lit("、[1分]\n"), part_stem(), F.lit("\n"), option_lines(part_options()), F.lit("\n正确答案："), letter(k))
-    return table(spark, sf_dir, "part").select("p_partkey", L.query_from_text(text).alias("stem"), F.array_join(L.options_from_text(text), "|").alias("options"))
+    return parts(spark, sf_dir).select("p_partkey", L.query_from_text(text).alias("stem"), F.array_join(L.options_from_text(text), "|").alias("options"))
 
 
 # --- captures
@@ -295,7 +301,7 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {PART_SQL} select p_partkey, {LETTER.format('(4 + ascii(letter) - 65 - p_partkey % 4)')} as letters, options[ascii(letter) - 64] as texts, '' as why from p")
 def remap_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select("p_partkey", part_options().alias("options"), turned(part_options(), k % 4).alias("given"), letter(k).alias("answer"))
+    rows = parts(spark, sf_dir).select("p_partkey", part_options().alias("options"), turned(part_options(), k % 4).alias("given"), letter(k).alias("answer"))
     return look.with_remap(rows).select("p_partkey", "letters", F.array_join("texts", " / ").alias("texts"), "why")
 
 
@@ -308,7 +314,7 @@ def find_option_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     forms = F.array(*(F.concat(F.lit(t.split("{}")[0]), "p_name", F.lit(t.split("{}")[1])) for t in TIERS))
     shown = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == (k + 1) % 4, F.element_at(forms, (k % 4 + 1).cast("int"))).otherwise(F.concat(F.lit("option "), i.cast("string"))))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit("other"), F.concat(F.lit("exactly "), "p_name")).alias("options"), shown.alias("given"), F.lit("B").alias("answer"))
+    rows = parts(spark, sf_dir).select("p_partkey", F.array(F.lit("other"), F.concat(F.lit("exactly "), "p_name")).alias("options"), shown.alias("given"), F.lit("B").alias("answer"))
     return look.with_remap(rows).select("p_partkey", "letters", F.array_join("texts", " / ").alias("texts"), "why")
 
 
@@ -376,7 +382,7 @@ def lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person reads when a pasted question has its options in another order."""
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part")
+    part = parts(spark, sf_dir)
     stored = part.select(k.alias("id"), part_stem().alias("stem_raw"), X.norm(part_stem()).alias("stem_norm"), part_options().alias("options"), letter(k).alias("answer"))
     pasted = F.concat(part_stem(), F.lit("\n"), option_lines(turned(part_options(), k % 4)))
     return look.resolved(look.ask(part.select(k.alias("query_id"), pasted.alias("text")), stored))
@@ -385,7 +391,7 @@ def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {PART_SQL} select p_partkey, true as found, {LETTER.format('(4 + ascii(letter) - 65 - p_partkey % 4)')} as letters, options[ascii(letter) - 64] as texts, letter as stored_answer, stem from p")
 def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part")
+    part = parts(spark, sf_dir)
     stored = part.select(k.alias("id"), part_stem().alias("stem_raw"), X.norm(part_stem()).alias("stem_norm"), part_options().alias("options"), letter(k).alias("answer"))
     pasted = F.concat(part_stem(), F.lit("\n"), option_lines(turned(part_options(), k % 4)))
     asked = look.ask(part.select(k.alias("query_id"), pasted.alias("text")), stored)
