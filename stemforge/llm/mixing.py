@@ -11,7 +11,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stemforge.llm.shared import hash_unit, written
 
