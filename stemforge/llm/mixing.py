@@ -17,7 +17,7 @@ from stemforge.llm.shared import hash_unit, written
 #: A mean above this is drawn as the sum of several Poisson numbers of equal means, each of this at most.
 LARGEST_MEAN = 32.0
 #: Bits of the hash that orders the copies, and bytes of text in a part of the shuffled result.
-ORDER_BITS, PART_BYTES = 60, 64 << 20
+ORDER_BITS, PART_BYTES = 60, 16 << 20
 
 
 def poisson_cdf(mean: Column) -> Column:
