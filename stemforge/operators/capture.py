@@ -21,6 +21,8 @@ from stemforge.sources.tables import Workspace
 
 #: Captures of one question in a chunk: so many on average, twice as many at most.
 CHUNK = 500
+#: Ranges of a batch within which questions are numbered.
+RANGES = 4096
 STATE = "struct<answer:string,options:array<string>,text:string>"
 CHUNK_KEY = ["fold_key", "batch_id", "part"]
 
@@ -178,10 +180,16 @@ class Fold:
         return both.select("batch_id", "seq", "stem_key", "stem", kind.alias("kind")).where("kind is not null")
 
 
-def numbered(questions: DataFrame) -> DataFrame:
-    """questions with dense ids from 1 in the order of their first capture, without sorting all rows in one task: batches are counted,
-    and rows are numbered within their batch."""
-    counts = questions.groupBy("first_batch").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("first_batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("first_batch").orderBy("first_seq"))
-    return questions.join(before.drop("n"), "first_batch").withColumn("id", (F.col("before") + place).cast("bigint")).drop("before")
+def numbered(questions: DataFrame, space: Workspace | None = None) -> DataFrame:
+    """questions with dense ids from 1 in the order of their first capture, without sorting a batch in one task: rows are numbered within
+    RANGES ranges of their batch's sequence numbers, and the ranges' counts, few rows, give where each begins."""
+    rows = (space or Workspace(questions.sparkSession)).table(questions, "unnumbered")
+    spans = rows.groupBy("first_batch").agg(F.min("first_seq").alias("low"), F.ceil((F.max("first_seq") - F.min("first_seq") + 1) / RANGES).alias("width"), F.count(F.lit(1)).alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    batches = spans.withColumn("start", earlier(Window.orderBy("first_batch"))).drop("n")
+    ranged = rows.join(batches, "first_batch").withColumn("range", F.floor((F.col("first_seq") - F.col("low")) / F.col("width"))).drop("low", "width")
+    counts = ranged.groupBy("first_batch", "range").agg(F.count(F.lit(1)).alias("n"))
+    begins = counts.withColumn("before", earlier(Window.partitionBy("first_batch").orderBy("range"))).drop("n")
+    place = F.row_number().over(Window.partitionBy("first_batch", "range").orderBy("first_seq"))
+    found = ranged.join(begins, ["first_batch", "range"])
+    return found.withColumn("id", (F.col("start") + F.col("before") + place).cast("bigint")).select("id", *questions.columns)

@@ -93,3 +93,12 @@ def test_tombstones_end_a_life(spark):
 def test_no_captures(spark):
     f = fold(spark, [])
     assert f.questions.count() == f.conflicts.count() == f.outcomes.count() == f.repeats.count() == f.tally.count() == 0
+
+
+def test_ids_are_dense_over_batches_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(capture, "RANGES", 4)
+    places = [(b, s * s * 7) for b in (0, 2, 5) for s in range(b, 12)]
+    rows = spark.createDataFrame([(b, s, "x") for b, s in places], "first_batch long, first_seq long, stem string").repartition(3)
+    got = numbered(rows)
+    assert got.columns == ["id", "first_batch", "first_seq", "stem"]
+    assert [(r["first_batch"], r["first_seq"]) for r in got.orderBy("id").collect()] == sorted(places) and [r["id"] for r in got.orderBy("id").collect()] == list(range(1, len(places) + 1))
