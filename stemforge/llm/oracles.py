@@ -54,3 +54,25 @@ select conv_id, call_id, turn, name, level, status,
   to_json({'arguments': arguments, 'call_id': call_id, 'conv_id': conv_id, 'depends_on': depends_on, 'errors': errors, 'level': level, 'n_results': n_results,
     'name': name, 'raw': null, 'result': result, 'status': status, 'turn': turn, 'unknown': unknown})::varchar as line from rows
 """
+
+FILTER_AUDIT = r"""
+with docs as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+worded as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from docs),
+checked as (select doc_id, part, len(words) < 50 as a, 100 * len(list_distinct(words)) < 65 * len(words) as b,
+    100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
+    coalesce(min(doc_id) over (partition by text) < doc_id, false) as e from worded),
+known as (select doc_id, max(coalesce(quality = 1, false)::int) as good, max(coalesce(toxic = 1, false)::int) as toxic from labels where doc_id is not null group by 1),
+labelled as (select c.*, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from checked c left join known using (doc_id)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select p.x || q.x || r.x || s.x || t.x as o from letters p, letters q, letters r, letters s, letters t
+  where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+cells as (select part, (case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end || case when d then 'D' else '' end || case when e then 'E' else '' end) as failing,
+  count(*) as n, sum(good) as good, sum(toxic) as toxic from labelled group by 1, 2),
+placed as (select part, o as filter_order, i::int as step, failing, n, good, toxic, o[i] as letter, contains(failing, o[i]) as fails,
+  len(list_filter(string_split(failing, ''), lambda f: f <> '' and contains(left(o, i - 1), f))) > 0 as gone from cells, orders, unnest(range(1, 6)) as u(i)),
+counts as (select part, filter_order, step, letter,
+  sum(case when not fails and not gone then n else 0 end)::bigint as kept, sum(case when fails and not gone then n else 0 end)::bigint as removed,
+  sum(case when fails and gone then n else 0 end)::bigint as redundant, sum(case when failing = letter then n else 0 end)::bigint as unique_fails,
+  sum(case when fails and not gone then good else 0 end)::bigint as good_lost, sum(case when fails and not gone then toxic else 0 end)::bigint as toxic_lost from placed group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from counts
+"""

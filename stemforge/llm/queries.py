@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemforge.llm import chat, html_text, media, mixing, near_dup, oracles, packing, quality, token_counts, topk, toxicity
+from stemforge.llm import chat, filter_audit, html_text, media, mixing, near_dup, oracles, packing, quality, spelling, token_counts, topk, toxicity
 from stemforge.llm.shared import written
 
 TOKEN_LIMIT = 4096
@@ -71,11 +71,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.damaged_words(table(spark, sf_dir, "documents"), every=199, least_length=6, least_count=5)
+    return spelling.variant_groups(words, dominance=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dup, op2_mixing, op3_media, op4_token_counts, op5_toxicity, op6_topk, op7_chat, op8_html, op9_quality, op10_packing, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op6_topk": oracles.TOPK, "op7_chat": oracles.CHAT}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dup, op2_mixing, op3_media, op4_token_counts, op5_toxicity, op6_topk, op7_chat, op8_html, op9_quality, op10_packing, op11_filter_audit, op13_spelling, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op6_topk": oracles.TOPK, "op7_chat": oracles.CHAT, "op11_filter_audit": oracles.FILTER_AUDIT}
