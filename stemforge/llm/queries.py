@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemforge.llm import chat, filter_audit, html_text, media, mixing, near_dup, oracles, packing, quality, spelling, token_counts, topk, toxicity
+from stemforge.llm import chat, filter_audit, fingerprints, html_text, media, mixing, near_dup, oracles, packing, quality, spelling, token_counts, topk, toxicity
 from stemforge.llm.shared import written
 
 TOKEN_LIMIT = 4096
@@ -90,5 +90,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dup, op2_mixing, op3_media, op4_token_counts, op5_toxicity, op6_topk, op7_chat, op8_html, op9_quality, op10_packing, op11_filter_audit, op13_spelling, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dup, op2_mixing, op3_media, op4_token_counts, op5_toxicity, op6_topk, op7_chat, op8_html, op9_quality, op10_packing, op11_filter_audit, op12_fingerprints, op13_spelling, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op6_topk": oracles.TOPK, "op7_chat": oracles.CHAT, "op11_filter_audit": oracles.FILTER_AUDIT}

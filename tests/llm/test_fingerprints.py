@@ -1,0 +1,117 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from stemforge.llm import fingerprints as P
+
+SCHEMA = "doc_id long, text string, range int, guest boolean"
+
+
+def plain(text):
+    """A fingerprint by loops: hex of its lanes."""
+    exact, sketch = [0] * P.EXACT, [0] * P.SKETCH
+    mask = 2**64 - 1
+
+    def mixed(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    def add(h):
+        sketch[h % P.SKETCH] += 1 - 2 * (h >> 32 & 1)
+
+    for p in text.split("\n"):
+        d = hashlib.shake_128(p.encode()).digest(8 * P.EXACT)
+        lanes = [int.from_bytes(d[8 * i : 8 * i + 8], "little") for i in range(P.EXACT)]
+        exact = [(a + b) & mask for a, b in zip(exact, lanes)]
+        add(mixed(lanes[0]))
+        space = lambda c: c in " \t\x0b\x0c\r\xa0　"
+        for start in range(0, len(p), P.SEGMENT):
+            grams = set()
+            for i in range(start, min(start + P.SEGMENT, len(p) - P.GRAM + 1)):
+                if not space(p[i]) and (i == 0 or space(p[i - 1]) or ord(p[i]) >= P.UNPARTED):
+                    h = 0
+                    for c in p[i : i + P.GRAM]:
+                        h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+                    grams.add(mixed(h))
+            for h in grams:
+                add(h)
+    return b"".join(x.to_bytes(8, "little") for x in exact).hex() + b"".join((x % 65536).to_bytes(2, "little") for x in sketch).hex()
+
+
+def texts(seed, n=40):
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdeé", k=r.randint(1, 9))) for _ in range(300)]
+    line = lambda: " ".join(r.choices(words, k=r.randint(0, 25)))
+    out = ["\n".join(line() for _ in range(r.randint(1, 12))) for _ in range(n)]
+    return [*out, "", "\n", "a", "日本語の文章がここにある。" * 9, "x" * 100 + "\n\n" + "tab\tseparated words of　some length", "🙂 smile " * 20]
+
+
+def test_lanes_are_those_of_loops(monkeypatch):
+    monkeypatch.setattr(P, "SEGMENT", 64)
+    for text in texts(1):
+        assert str(P.Fingerprint.of(text)) == plain(text)
+
+
+def test_sums():
+    r = random.Random(2)
+    for text in texts(3):
+        lines = text.split("\n")
+        whole = P.Fingerprint.of(text)
+        shuffled = r.sample(lines, len(lines))
+        assert P.Fingerprint.of("\n".join(shuffled)) == whole and P.Fingerprint.parse(str(whole)) == whole
+        at = r.randrange(len(lines))
+        less = whole - P.Fingerprint.of(lines[at])
+        rest = lines[:at] + lines[at + 1 :]
+        assert less == P.Fingerprint.of("\n".join(rest) if rest else None)
+        assert less + P.Fingerprint.of(lines[at]) == whole and (less != whole)
+
+
+def test_likeness():
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(5000)]
+    for share in (0.2, 0.5, 0.9):
+        same = r.choices(words, k=int(2000 * share))
+        a, b = (same + r.choices(words, k=2000 - len(same)) for _ in range(2))
+        got = P.Fingerprint.of(" ".join(a)).likeness(P.Fingerprint.of(" ".join(b)))
+        assert abs(got - share) < 4 / np.sqrt(P.SKETCH)
+    assert P.Fingerprint.of("a\nb").likeness(P.Fingerprint.of("b\na")) == 1.0 and P.Fingerprint.of("a").likeness(P.Fingerprint.of("b")) < 1
+    assert P.Fingerprint.of("").likeness(P.Fingerprint.of(None)) < 1
+
+
+def brute(rows):
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
+    out = []
+    for k, (i, text, _) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        new = text[: len(text) - half] + following[:half]
+        f, g, h = (P.Fingerprint.parse(plain(x)) for x in (text, new, following))
+        out.append((i, len(text), hashlib.sha256(new.encode()).hexdigest(), str(f), str(g), f.likeness(g), f.likeness(h)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 500])
+def test_whole_query(spark, monkeypatch, ranges):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(P, "RANGES", ranges)
+    r = random.Random(6)
+    rows = [(r.choice([i, -i, i * 10**9]), t) for i, t in enumerate(texts(7))]
+    rows += [(3, "another text\nof an id"), (None, "no id"), (None, None), (10**15, None), rows[4], rows[4], rows[4], (rows[5][0], rows[5][1] + "x")]
+    df = spark.createDataFrame([(i, t, 1, True) for i, t in rows], SCHEMA).repartition(5)
+    want = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", F.xxhash64("t").alias("tie")).collect()
+    got = sorted((tuple(x) for x in P.edited_fingerprints(df).collect()), key=repr)
+    assert got == brute([tuple(x) for x in want])
+
+
+def test_few_rows(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert P.edited_fingerprints(df).collect() == []
+    one = P.edited_fingerprints(spark.createDataFrame([(9, "ab\ncd", 0, False)], SCHEMA)).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"ab\nab").hexdigest()
+    long = "wörd " * 100_000
+    got = P.edited_fingerprints(spark.createDataFrame([(1, long, 0, False), (2, None, 0, False)], SCHEMA)).orderBy("doc_id").collect()
+    assert [x["n_chars"] for x in got] == [500_000, 0] and got[0]["edited_sha256"] == hashlib.sha256(long[:250_000].encode()).hexdigest()
