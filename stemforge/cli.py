@@ -65,7 +65,8 @@ def main(argv: list[str] | None = None) -> int:
         else:
             show(bank.find(spark.createDataFrame([(0, text)], "query_id bigint, query string"), a.top, a.min))
     elif a.command == "dupes":
-        show(bank.duplicates(a.min, a.top))
+        show(bank.duplicates(a.min, a.top), a.top)
+        print(json.dumps({"left": bank.duplicates_left(a.min, a.top)}))
     elif a.command == "clear":
         if a.all or a.source:
             print(json.dumps(bank.clear(a.source, a.all, a.yes), ensure_ascii=False))

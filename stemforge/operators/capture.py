@@ -12,6 +12,8 @@ of the options that they name are. The state is (answer, options), so the order
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,50 +94,61 @@ def chunked(kept: DataFrame) -> DataFrame:
     return ranged.join(crowded, [*owner, "range"], "left").withColumn("part", F.struct("range", piece.alias("piece"))).drop("low", "width", "range", "crowded")
 
 
-def folded_chunks(kept: DataFrame, space: Workspace, strict: bool = False) -> DataFrame:
-    """fold_key, batch_id, part, state (at the chunk's end) and outcomes."""
+def folded_chunks(kept: DataFrame, space: Workspace, strict: bool = False, start: DataFrame | None = None) -> DataFrame:
+    """fold_key, batch_id, part, state (at the chunk's end) and outcomes. start: (fold_key, state) that questions are in before."""
     fields = F.struct(F.col("seq"), F.col("answer"), F.col("options"), F.col("answer_text"))
-    parts = chunked(kept)
-    chunks = parts.groupBy(*CHUNK_KEY).agg(F.array_sort(F.collect_list(fields)).alias("rows"))
-    chunks = space.table(chunks, "chunks")
+    chunks = chunked(kept).groupBy(*CHUNK_KEY).agg(F.array_sort(F.collect_list(fields)).alias("rows"))
+    start = kept.select("fold_key").limit(0).withColumn("state", F.lit(None).cast(STATE)) if start is None else start
+    known = start.select("fold_key", F.col("state").cast(STATE).alias("start"))
     order = Window.partitionBy("fold_key").orderBy("batch_id", "part")
-    heads = chunks.select(*CHUNK_KEY, F.lag("batch_id").over(order).isNotNull().alias("later"))
-    later = space.table(heads.where("later").select(*CHUNK_KEY), "later")
+    chunks = space.table(chunks.join(known, "fold_key", "left"), "chunks")
+    later = space.table(chunks.select(*CHUNK_KEY, F.lag("batch_id").over(order).isNotNull().alias("later")).where("later").select(*CHUNK_KEY), "later")
     if later.isEmpty():
-        done = chunks.withColumn("fold", fold_chunk(F.col("rows"), F.lit(None).cast(STATE), strict))
-        return done.select(*CHUNK_KEY, "fold.state", "fold.outcomes")
+        return _run(chunks.withColumn("assumed", F.col("start")), strict).select(*CHUNK_KEY, "state", "outcomes")
     first = kept.groupBy("fold_key").agg(F.min(F.struct("batch_id", "seq", "answer", "options", "answer_text")).alias("x"))
     guess = first.select("fold_key", F.struct(F.col("x.answer").alias("answer"), F.col("x.options").alias("options"), F.col("x.answer_text").alias("text")).cast(STATE).alias("guess"))
-    guesses = later.join(guess, "fold_key").select(*CHUNK_KEY, F.col("guess").alias("assumed"))
-    todo = chunks.join(guesses, CHUNK_KEY, "left")
-    results = space.table(_run(todo, strict), "folded")
+    guesses = later.join(guess, "fold_key")
+    assumed = F.coalesce("start", "guess")
+    rounds = [space.table(_run(chunks.join(guesses, CHUNK_KEY, "left").withColumn("assumed", assumed), strict).withColumn("round", F.lit(0)), "folded")]
+    small = [*CHUNK_KEY, "start", "assumed", "state"]
+    states = rounds[0].select(small)
     while True:
-        before = results.withColumn("actual", F.lag("state").over(order))
+        before = states.withColumn("actual", F.when(F.lag("batch_id").over(order).isNull(), F.col("start")).otherwise(F.lag("state").over(order)))
         wrong = before.where(~F.col("actual").eqNullSafe(F.col("assumed"))).select(*CHUNK_KEY, F.col("actual").alias("assumed"))
         wrong = space.table(wrong, "wrong")
         if wrong.isEmpty():
-            return results.select(*CHUNK_KEY, "state", "outcomes")
-        again = _run(chunks.join(wrong, CHUNK_KEY), strict)
-        results = space.table(results.join(wrong.select(*CHUNK_KEY), CHUNK_KEY, "left_anti").unionByName(again), "folded")
+            break
+        rounds.append(space.table(_run(chunks.join(wrong, CHUNK_KEY), strict).withColumn("round", F.lit(len(rounds))), "folded"))
+        states = space.table(states.join(wrong.select(*CHUNK_KEY), CHUNK_KEY, "left_anti").unionByName(rounds[-1].select(small)), "states")
+    if len(rounds) == 1:
+        return rounds[0].select(*CHUNK_KEY, "state", "outcomes")
+    # of a chunk that was folded again the last round counts; only such chunks are read again to tell
+    again = functools.reduce(DataFrame.unionByName, rounds[1:])
+    last = again.groupBy(*CHUNK_KEY).agg(F.max("round").alias("round"))
+    once = rounds[0].join(last.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
+    return once.unionByName(again.join(last, [*CHUNK_KEY, "round"]), allowMissingColumns=True).select(*CHUNK_KEY, "state", "outcomes")
 
 
 def _run(todo: DataFrame, strict: bool) -> DataFrame:
     done = todo.withColumn("fold", fold_chunk(F.col("rows"), F.col("assumed"), strict))
-    return done.select(*CHUNK_KEY, "assumed", "fold.state", "fold.outcomes")
+    return done.select(*CHUNK_KEY, "start", "assumed", "fold.state", "fold.outcomes")
 
 
 class Fold:
     """The outcome of folding captures: questions, conflicts, outcomes (one row per capture), tally and repeats per batch.
 
     tombstones (stem_key, batch_id) end a question's life: captures of later batches insert it anew. Conflicts outlive it.
-    strict: see same_answer.
+    strict: see same_answer. start: (stem_key, state) of questions that were there before, from which their captures go on; captures with
+    stem_norm are taken as prepared.
     """
 
-    def __init__(self, captures: DataFrame, tombstones: DataFrame | None = None, space: Workspace | None = None, strict: bool = False):
+    def __init__(self, captures: DataFrame, tombstones: DataFrame | None = None, space: Workspace | None = None, strict: bool = False, start: DataFrame | None = None):
         space = space or Workspace(captures.sparkSession)
-        self.captures = space.table(with_epochs(prepared(captures), tombstones), "captures")
+        ready = captures if "stem_norm" in captures.columns else prepared(captures)
+        self.captures = space.table(with_epochs(ready, tombstones), "captures")
         self.kept = self.captures.where("kept")
-        self.chunks = space.table(folded_chunks(self.kept, space, strict), "chunk_states")
+        self.start = None if start is None else start.select(F.col("stem_key").alias("fold_key"), "state")
+        self.chunks = space.table(folded_chunks(self.kept, space, strict, self.start), "chunk_states")
 
     @property
     def outcomes(self) -> DataFrame:
@@ -174,7 +187,10 @@ class Fold:
         """Captures with a stem whose key the batch had before (within), or else an earlier batch had with an answer (across)."""
         rows = self.captures.where("stem <> ''")
         first = rows.groupBy("batch_id", "stem_key").agg(F.min("seq").alias("first_seq"))
-        stored = self.kept.groupBy("fold_key").agg(F.min("batch_id").alias("stored_in"))
+        stored = self.kept.select("fold_key", "batch_id")
+        if self.start is not None:
+            stored = stored.unionByName(self.start.select("fold_key", F.lit(-1).cast("bigint").alias("batch_id")))
+        stored = stored.groupBy("fold_key").agg(F.min("batch_id").alias("stored_in"))
         both = rows.select("batch_id", "seq", "stem_key", "fold_key", "stem").join(first, ["batch_id", "stem_key"]).join(stored, "fold_key", "left")
         kind = F.when(F.col("seq") > F.col("first_seq"), "within").when(F.col("stored_in") < F.col("batch_id"), "across")
         return both.select("batch_id", "seq", "stem_key", "stem", kind.alias("kind")).where("kind is not null")

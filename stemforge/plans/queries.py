@@ -412,6 +412,32 @@ def dupes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(F.concat_ws(":", f"{x}_id.origin", F.col(f"{x}_id.id").cast("string")).alias(f"{x}_id") for x in "ab"), "ratio", "length_ratio", "overlap", "answers")
 
 
+def planted_stems(spark: SparkSession, sf_dir: str, equal: Column) -> DataFrame:
+    """A random stem for every part and the same with up to six marks at its end; equal: parts that have one stem instead."""
+    k = F.col("p_partkey")
+    random = F.base64(F.unhex(F.sha2(k.cast("string"), 256)))
+    stem = F.when(equal, "one stem of many questions")
+    part = parts(spark, sf_dir)
+    plain = part.select((2 * k).alias("id"), F.coalesce(stem, random).alias("stem_norm"), part_options().alias("options"), letter(k).alias("answer"))
+    marked = part.where(~equal).select((2 * k + 1).alias("id"), F.concat(random, F.repeat(F.lit("#"), (k % 6 + 1).cast("int"))).alias("stem_norm"), part_options().alias("options"), letter(k + k % 2).alias("answer"))
+    return plain.unionByName(marked)
+
+
+PLANTED_SQL = "planted as (select 2 * p_partkey as a_id, 2 * p_partkey + 1 as b_id, 88::double / (88 + p_partkey % 6 + 1) as ratio, 44::double / (44 + p_partkey % 6 + 1) as length_ratio, 1::double as overlap, case when p_partkey % 2 = 0 then '同' else '异' end as answers from part"
+
+
+@query(f"with {PLANTED_SQL} where p_partkey >= 3), e as (select 2 * x.p_partkey as a_id, 2 * y.p_partkey as b_id, 1::double as ratio, 1::double as length_ratio, len(list_intersect([x.p_brand, x.p_type, 'size ' || x.p_size, 'none of these'], [y.p_brand, y.p_type, 'size ' || y.p_size, 'none of these']))::double / 4 as overlap, case when x.p_partkey % 4 = y.p_partkey % 4 then '同' else '异' end as answers from part x join part y on x.p_partkey < y.p_partkey and y.p_partkey < 3) select * from (select * from e union all select * from planted) order by ratio desc, a_id, b_id limit 40")
+def dupes_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar of planted pairs, with ties where the list ends, after a few pairs of equal stems."""
+    return report.top_duplicates(planted_stems(spark, sf_dir, F.col("p_partkey") < 3), 0.9, 40)
+
+
+@query(f"with {PLANTED_SQL} where p_partkey % 3 <> 0), n as (select count(*) as n from part where p_partkey % 3 = 0) select ((select count(*) from planted) + n * (n - 1) // 2)::bigint as pairs from n")
+def dupes_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a bank where a third of all questions has one stem."""
+    return report.duplicate_count(planted_stems(spark, sf_dir, F.col("p_partkey") % 3 == 0), 0.9)
+
+
 @query(f"with {PART_SQL}, n as (select p_partkey as a_id, options as a, lead(p_partkey) over w as b_id, lead(options) over w as b from p window w as (partition by p_name order by p_partkey)) select a_id, b_id, len(list_intersect(a, b))::double / greatest(len(list_distinct(a)), len(list_distinct(b))) as overlap from n where b_id is not null")
 def option_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_name = Window.partitionBy("p_name").orderBy("p_partkey")

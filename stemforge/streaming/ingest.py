@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stemforge.bank import captures_of
-from stemforge.operators.parse import parse_papers
-from stemforge.sources.tables import Store
+from stemforge.bank import captures_of, parsed_batch
+from stemforge.operators.upkeep import learn_batch
+from stemforge.sources.tables import Store, Workspace
 
 #: The columns of Spark's binary files; a stream of text files would cut them into lines.
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -24,13 +24,14 @@ def paper_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -
 
 
 def ingest(papers: DataFrame, store: Store, checkpoint: str, source: str = "stream", **trigger) -> StreamingQuery:
-    """Appends the questions of each micro-batch to the store's captures. The checkpoint names the writer: a batch that runs again after
+    """Folds the questions of each micro-batch into the store's. The checkpoint names the writer: a batch that runs again after
     a failure replaces what it had written, so each paper is learned once, and streams with other checkpoints, and papers learned
     otherwise, keep their own batches."""
     writer = f"stream-{hashlib.md5(checkpoint.rstrip('/').encode(), usedforsecurity=False).hexdigest()}"
 
     def learn(batch: DataFrame, batch_id: int) -> None:
         number = store.claim(writer, batch_id)
-        store.replace_batch(number, captures_of(parse_papers(batch), number, source, datetime.now().replace(microsecond=0)))
+        space = Workspace(store.spark)
+        learn_batch(store, number, captures_of(parsed_batch(batch, space), number, source, datetime.now().replace(microsecond=0)), space)
 
     return papers.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -7,16 +7,19 @@ from stemforge.operators import similarity as S
 from stemforge.sources.tables import Workspace
 
 
-def reference_match(q, c):
-    if q == c:
-        return 1.0
+#: The table of scores: which strings, and what they score by their lengths, longest common run and ratio.
+TABLE = [
+    (lambda q, c, run: q == c, lambda q, c, run, ratio: 1.0),
+    (lambda q, c, run: run == len(q) < len(c) or (len(q) < len(c) and run >= 0.999 * len(q)), lambda q, c, run, ratio: 0.9 + 0.1 * len(q) / len(c)),
+    (lambda q, c, run: run >= 0.999 * len(c), lambda q, c, run, ratio: 0.9 + 0.1 * len(c) / len(q)),
+    (lambda q, c, run: True, lambda q, c, run, ratio: max(ratio, 0.9 * (run / len(c)))),
+]
+
+
+def expected_score(q, c):
     m = difflib.SequenceMatcher(None, q, c)
-    n = m.find_longest_match(0, len(q), 0, len(c)).size
-    if n / len(q) >= 0.999 and len(q) < len(c):
-        return 0.90 + 0.10 * len(q) / len(c)
-    if n / len(c) >= 0.999:
-        return 0.90 + 0.10 * len(c) / len(q)
-    return max(m.ratio(), n / len(c) * 0.90)
+    run = m.find_longest_match().size
+    return next(score for test, score in TABLE if test(q, c, run))(q, c, run, m.ratio())
 
 
 def strings(n, seed, alphabet="abcdefg"):
@@ -50,7 +53,7 @@ def test_lookup_is_that_of_brute_force(spark):
         for r in lookup.lookup(asked, stored, 3, least).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
         for i, q in enumerate(queries):
-            scored = sorted(((reference_match(q, s), j) for j, s in enumerate(stems)), key=lambda x: (-x[0], x[1])) if q.strip(".") else []
+            scored = sorted(((expected_score(q, s), j) for j, s in enumerate(stems)), key=lambda x: (-x[0], x[1])) if q.strip(".") else []
             exact = [(1.0, j) for s, j in scored if s == 1.0 and stems[j] == q]
             want = exact or [(s, j) for s, j in scored if s >= least][:3]
             assert [(s, j) for _, j, s in sorted(got.get(i, []))] == want, q
@@ -103,3 +106,36 @@ def test_option_overlap(spark):
 
     rows = spark.createDataFrame([(["甲", "乙", "丙"], ["甲", "乙", "丁", "戊"]), ([], ["甲"]), (None, None)], "a array<string>, b array<string>")
     assert [r[0] for r in rows.select(report.option_overlap(F.col("a"), F.col("b"))).collect()] == [0.5, None, None]
+
+
+def test_parts_are_found_by_few_candidates(spark):
+    """Stems that differ in a number at their ends are told apart by the gram that holds it."""
+    stems = [f"which part is {name} number {i}".replace(" ", "") for i in range(1500) for name in ["blue almond", "antique rose"][i % 2 :][:1]]
+    queries = [s.removeprefix("whichpartis") for s in stems]
+    rows = lambda xs: spark.createDataFrame(list(enumerate(xs)), "id long, s string")
+    space = Workspace(spark)
+    true = sum(q in s for q in queries for s in stems)
+    assert S.containing_candidates(rows(queries), rows(stems), 1.0, space).count() == true
+    assert true <= S.anchored(rows(queries), rows(stems), 1.0, space).count() <= 2 * true
+
+
+def test_windows_choose_the_same_grams_in_both_texts(monkeypatch):
+    r = random.Random(8)
+    for gram, window in S.WINDOWS:
+        span = gram + window - 1
+        for _ in range(30):
+            part = "".join(r.choices("abcd", k=span + r.randint(0, 9)))
+            texts = ["".join(r.choices("abcd", k=r.randint(0, 80))) + part + "".join(r.choices("abcd", k=r.randint(0, 80))) for _ in range(2)]
+            piece, hashes = S.chosen_grams([part, *texts, ""], gram, window)
+            own, *others = ({int(h) for h in hashes[piece == i]} for i in range(3))
+            assert own and all(own <= x for x in others)
+
+
+def test_long_strings_are_cut_where_windows_overlap(spark, monkeypatch):
+    monkeypatch.setattr(S, "HASHED", 64)
+    r = random.Random(9)
+    big = ["".join(r.choices("abcdefgh", k=k)) for k in (700, 64, 65, 90)]
+    small = [b[k : k + n] for b in big for k in (0, 31, 60) for n in (20, 40, 70, 300) if k + n <= len(b)]
+    rows = lambda xs: spark.createDataFrame(list(enumerate(xs)), "id long, s string")
+    got = {tuple(x) for x in S.containing_candidates(rows(small), rows(big), 1.0, Workspace(spark)).collect()}
+    assert got == {(i, j) for i, a in enumerate(small) for j, b in enumerate(big) if a in b}

@@ -8,7 +8,7 @@ import pytest
 from stemforge.functions import text as X
 from stemforge.operators import lookup, report
 from stemforge.plans import queries as Q
-from tests.test_retrieval import reference_match
+from tests.test_retrieval import expected_score
 
 DATA = "/root/testdata/sf0.001"
 LONG = "the committee met on a wet tuesday and after three hours of talk about drains bridges and the price of salt it chose to wait for another report from the north "
@@ -72,7 +72,7 @@ def test_fuzzy_lookup_of_the_whole_tables_is_that_of_brute_force(spark):
     assert len(stored) > 60
     for key, _, stem in stored:
         q = X._bare(re.sub(r"^(\S+) \S+", r"\1", stem.lstrip(" ")))
-        scored = sorted(((reference_match(q, s), i) for i, s, _ in stored), key=lambda x: (-x[0], x[1]))
+        scored = sorted(((expected_score(q, s), i) for i, s, _ in stored), key=lambda x: (-x[0], x[1]))
         want = [(s, i) for s, i in scored if s == 1.0] or [(s, i) for s, i in scored if s >= 0.5][:5]
         assert [(s, i) for _, i, s in sorted(got.get(key, []))] == [(round(s, 12), i) for s, i in want], stem
 
