@@ -16,8 +16,8 @@ from stemforge.llm.shared import hash_unit, written
 
 #: A mean above this is drawn as the sum of several Poisson numbers of equal means, each of this at most.
 LARGEST_MEAN = 32.0
-#: Bits of the hash that orders the copies, and bytes of text in a part of the shuffled result.
-ORDER_BITS, PART_BYTES = 60, 16 << 20
+#: Bits of the hash that orders the copies.
+ORDER_BITS = 60
 
 
 def poisson_cdf(mean: Column) -> Column:
@@ -54,16 +54,18 @@ def rates(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5,
     return sizes.select("source", "size", "documents", share.alias("weight"), F.when(F.col("size") > 0, share * mix / F.col("size")).otherwise(1.0).alias("rate")), mix
 
 
-def mix(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5, total: float | None = None, seed: int = 0, shuffle: bool = True, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str | None = None, order_col: str | None = None) -> DataFrame:
+def mix(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5, total: float | None = None, seed: int = 0, shuffle: bool = True, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str | None = None, order_col: str | None = None, parts: int | None = None) -> DataFrame:
     """The documents with all their columns, each as often as its Poisson draw says, in a global pseudo-random order.
 
-    copy_col, order_col: names of two more columns, the copy's number from 1 and the hash that orders the result. Copies of a
+    parts: partitions of the result, by default what spark.sql.shuffle.partitions says, and one for each core at least: ranges of the
+    order, sorted within (and spilled where they exceed memory). It doesn't grow by itself with the input, since every part costs
+    each task of the shuffle a block. copy_col, order_col: names of two more columns, the copy's number from 1 and the hash that orders the result. Copies of a
     document lie apart, since the order hashes the copy's number too. A null source is a source of its own; null texts count as
     empty; a null id counts as the text 'null'; repeated rows (same id and text) draw the same number of copies; an empty table
     gives no rows. Sources with weight 0 have no copies, which is what that weight means.
     """
     own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("source", "digest", "copies", "cdf", "draws", "copy", "order")}
-    rate, size = rates(documents, weights, alpha, total, source_col, text_col)
+    rate, _ = rates(documents, weights, alpha, total, source_col, text_col)
     draws = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / LARGEST_MEAN).cast("double"))
     table = rate.select(F.col("source").alias(own["source"]), draws.cast("int").alias(own["draws"]), poisson_cdf(F.col("rate") / draws).alias(own["cdf"]))
     joined = documents.join(table, F.col(source_col).eqNullSafe(F.col(own["source"])))
@@ -83,7 +85,8 @@ def mix(documents: DataFrame, weights: dict | None = None, alpha: float = 0.5, t
     out = copies.withColumn(own["order"], order).drop(own["cdf"], own["digest"])
     if shuffle:
         # the hash is uniform, so ranges of equal width need no sample of the rows
-        parts = max(int(size // PART_BYTES) + 1, documents.sparkSession.sparkContext.defaultParallelism)
+        spark = documents.sparkSession
+        parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         out = out.repartitionById(parts, F.floor(F.col(own["order"]) / F.lit(2.0**ORDER_BITS / parts)).cast("int")).sortWithinPartitions(own["order"])
     extra = [F.col(own[c]).alias(name) for c, name in (("copy", copy_col), ("order", order_col)) if name]
     return out.select(*(F.col(f"`{c}`") for c in documents.columns), *extra)

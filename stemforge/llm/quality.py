@@ -101,13 +101,13 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> M
     layer = random.normal(0, 0.5, (DIMENSIONS, 2)).astype("f4")
     y = np.array(labels)
     share = y.mean()
-    found, times, owner = Chunks("i4"), Chunks("u2"), []
+    found, times, owner = Chunks("i4"), Chunks("i4"), []
     for i, t in enumerate(texts):
         words = TOKEN.findall(t)
         for a in range(0, len(words), STEP_WORDS):
             rows, n = np.unique(features(words[a : a + STEP_WORDS]), return_counts=True)
             found.add(rows)
-            times.add(np.minimum(n, 2**16 - 1))
+            times.add(n)
             owner.append(i)
     steps, done = EPOCHS * len(owner), 0
     for _ in range(EPOCHS):
