@@ -11,7 +11,10 @@ element that holds the node all does that has a density at all, which links alon
 don't count as tags.
 
 Parts that say themselves that they are not text of the article (navigation, forms, scripts, adverts, comments and the like) are
-taken off first. Names of classes that can mean several things only nominate a part: inside the chosen node its density decides.
+taken off first, but a form that holds most of the page loses only its controls. Names of classes that can mean several things only
+nominate a part: inside the chosen node its density decides. Names that can be an article's topic too (a section on logins, a
+paragraph classed as a comment) take a part off until the node is chosen, and bring it back if it reads like the text around it. A list
+of readers' comments without such a name is told by its structure: repeated items, each with a line on who wrote it or when.
 """
 
 from __future__ import annotations
@@ -49,12 +52,23 @@ ENDS_PARAGRAPH = BLOCKS - frozenset("body caption html legend tbody td tfoot th
 ENDS_ITS_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = ("ul", "ol", "dl", "table", "select", "menu")
 PARAGRAPH_SCOPES = (*SCOPES, "td", "th", "button")
-OFF_TAGS = frozenset("nav footer aside form button select option datalist dialog menu script style textarea title head noscript template iframe noembed noframes svg canvas object audio video map".split())
+OFF_TAGS = frozenset("nav footer aside button select option datalist dialog menu script style textarea title head noscript template iframe noembed noframes svg canvas object audio video map".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tooltip".split())
 #: Names of classes and ids that mean a part beside the article wherever it lies.
 OFF_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing comment comments disqus replies respond footer copyright pagination pager login signup".split())
 #: Names that may mean one: inside the article they need a low density too.
 VAGUE_WORDS = frozenset("sponsor promo promotion banner notice notices alert social related recommended recommendations reply widget toolbar search".split())
+#: Those of OFF_WORDS that may be what a part of the article is about.
+TOPIC_WORDS = frozenset("comment share sharing login signup subscription subscribe menu navigation".split())
+#: Names of what a reader's comment says of itself, and of lists of comments.
+WRITER_WORDS = frozenset("author user username byline avatar nickname commenter poster date time timestamp posted when ago".split())
+THREAD_WORDS = frozenset("discussion discussions thread threads responses reactions opinions talkback feedback conversation".split())
+DATE = re.compile(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d{2}\b|\b(?:\d+|an?)\s+(?:second|minute|hour|day|week|month|year)s?\s+ago\b|\b(?:yesterday|just now)\b|\b(?:19|20)\d\d\b", re.I)
+#: Elements with which forms are filled in.
+CONTROLS = frozenset("input button select textarea option form".split())
+#: A part with a topic's name must have so many characters, this share of its neighbours' density, and at most this share of links to come
+#: back; a comment's line on itself has at most so many characters.
+PROSE, ALIKE, LINKS, META_LINE = 60, 0.6, 0.25, 80
 #: What a name may end in and mean the same.
 HOLDERS = frozenset("area articles bar block body bottom box button buttons container content feed footer form header icons inner item items left line link links list main message module outer panel posts region right row section sidebar slot stories text thread title top unit widget wrap wrapper zone".split())
 #: Beginnings that make a name tell of something else.
@@ -81,6 +95,9 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.off, self.vague, self.parts = [-1], ["html"], [False], [False], [[]]
         self.headers: set[int] = set()
+        self.forms: set[int] = set()
+        self.topics: set[int] = set()
+        self.names: list[str] = [""]
         self.stack, self.places = [0], defaultdict(list)
         self.read(source)
 
@@ -91,11 +108,19 @@ class Page:
         self.parts.append([])
         self.parts[at].append(node)
         off = tag in OFF_TAGS or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+        if tag == "form":
+            off = True
+            self.forms.add(node)
+        elif tag in ("label", "legend") and self.places["form"]:
+            off = True
         off = off or attributes.get("role", "").lower().strip() in OFF_ROLES or bool(HIDING.search(attributes.get("style", "").lower()))
         vague = False
+        self.names.append(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
         if tag not in KEPT_TAGS and not off:
-            names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+            names = self.names[node].split()
             off = any(names_one(x, OFF_WORDS) for x in names)
+            if off and not any(names_one(x, OFF_WORDS - TOPIC_WORDS) for x in names):
+                self.topics.add(node)
             vague = not off and any(names_one(x, VAGUE_WORDS) for x in names)
             if not off and not self.places["article"] and not self.places["main"] and (tag == "header" or any(names_one(x, HEADERS) for x in names)):
                 off = True
@@ -212,15 +237,18 @@ class Page:
         return chars, tags, link_chars, links
 
     def taken_off(self) -> list[bool]:
-        """The nodes that are off, but for one marked by its attributes alone that holds the page's article."""
+        """The nodes that are off, but for a form, or one marked by its attributes alone, that holds the page's article."""
         plain = self.sums([t in OFF_TAGS for t in self.tag])[0]
         holds = [t in ("article", "main", "h1") for t in self.tag]
+        prose = [t == "p" for t in self.tag]
         cluttered = [False] * len(plain)
         for i in range(len(plain) - 1, 0, -1):
             holds[self.parent[i]] |= holds[i]
+            prose[self.parent[i]] |= prose[i]
             cluttered[self.parent[i]] |= cluttered[i] or ((self.off[i] or self.vague[i]) and i not in self.headers)
         headings = {i for i in self.headers if holds[i] and not cluttered[i] and self.tag[self.parent[i]] not in ("body", "html")}
-        return [o and i not in headings and (self.tag[i] in OFF_TAGS or i in self.headers or not holds[i] or 2 * plain[i] <= plain[0]) for i, o in enumerate(self.off)]
+        pages = {i for i in self.forms if (holds[i] or prose[i]) and 2 * plain[i] > plain[0]}
+        return [o and i not in headings and i not in pages and (i in self.forms or self.tag[i] in OFF_TAGS or i in self.headers or not holds[i] or 2 * plain[i] <= plain[0]) for i, o in enumerate(self.off)]
 
     def densities(self, off: list[bool], body: int, sums: tuple[list[int], ...]) -> list[float]:
         chars, tags, link_chars, links = sums
@@ -234,6 +262,11 @@ class Page:
 
     def text(self) -> str:
         certain = self.taken_off()
+        if self.topics:
+            opened = [o and i not in self.topics for i, o in enumerate(certain)]
+            # a name that most of the page's text carries tells no part of it apart
+            if 2 * self.sums(certain)[0][0] < self.sums(opened)[0][0]:
+                certain, self.topics = opened, set()
         off = [o or v for o, v in zip(certain, self.vague)]
         sums = self.sums(off)
         if not sums[0][0]:
@@ -262,6 +295,8 @@ class Page:
             holder = holder or self.tag[i] in ("article", "main")
             least[i] = 0.0 if holder else threshold
         off = self.decided(certain, best, density, body)
+        for i in self.threads(off, best):
+            off[i] = True
         density = self.densities(off, body, self.sums(off))
         on_path = set(path[1:])
         blocks: list[str] = []
@@ -308,10 +343,62 @@ class Page:
         for i, v in enumerate(self.vague):
             if v:
                 off[i] = off[i] or not inside[i] or i == best or plain[i] < mean
+        for i in self.returned(certain, inside, mean, body):
+            off[i] = False
         if off[best]:
             off[best] = False
         return off
 
+    def returned(self, certain: list[bool], inside: list[bool], mean: float, body: int) -> list[int]:
+        """Parts inside the best node with a topic's name that read like the text beside them: prose of a like density, few links, no
+        controls and no part of such a name within."""
+        named = [i for i in self.topics if inside[i] and certain[i]]
+        if not named:
+            return []
+        opened = list(certain)
+        for i in named:
+            opened[i] = False
+        sums = self.sums(opened)
+        density = self.densities(opened, body, sums)
+        spoiled = [t in CONTROLS for t in self.tag]
+        for i in range(len(certain) - 1, 0, -1):
+            spoiled[self.parent[i]] |= spoiled[i] or i in self.topics or (certain[i] and i not in self.topics)
+        chars, link_chars = sums[0], sums[2]
+        return [i for i in named if not spoiled[i] and chars[i] >= PROSE and link_chars[i] <= LINKS * chars[i] and density[i] >= ALIKE * mean]
+
+    def threads(self, off: list[bool], best: int) -> list[int]:
+        """Nodes that hold readers' comments: two items or more of the same tag and names, or one in a part named so, each with a short line
+        of a date, a time or a writer, and more text. The best node and what holds it aren't."""
+        n = len(self.parent)
+        meta, text = [False] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            if off[i]:
+                continue
+            own = " ".join(x for x in self.parts[i] if isinstance(x, str)).strip()
+            text[i] += len(own)
+            names = self.names[i].split()
+            told = self.tag[i] == "time" or any(names_one(x, WRITER_WORDS) for x in names) or (bool(names) and bool(DATE.search(own)))
+            meta[i] |= told and text[i] <= META_LINE
+            text[self.parent[i]] += text[i]
+            meta[self.parent[i]] |= meta[i]
+        above = set()
+        i = best
+        while i >= 0:
+            above.add(i)
+            i = self.parent[i]
+        found = []
+        for i in range(1, n):
+            if off[i] or i in above or self.tag[i] in INLINE:
+                continue
+            kinds: dict[tuple[str, str], int] = defaultdict(int)
+            for c in self.parts[i]:
+                if not isinstance(c, str) and not off[c] and meta[c] and text[c] and self.tag[c] in BLOCKS and any(not isinstance(x, str) for x in self.parts[c]):
+                    kinds[self.tag[c], self.names[c]] += 1
+            least = 1 if any(names_one(x, THREAD_WORDS) for x in self.names[i].split()) else 2
+            if max(kinds.values(), default=0) >= least:
+                found.append(i)
+        return found
+
 
 def main_text(source: str | None) -> str:
     """The article's text: blocks in page order joined by line feeds; empty if there is none."""

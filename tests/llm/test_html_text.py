@@ -103,3 +103,36 @@ def test_the_small_tables_pages(spark):
         inner = r["html"].split("<article>")[1].split("</article>")[0]
         want = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split("<p>|<br>|</p>|<h1>|</h1>", inner)]
         assert got[r["page_id"]] == "\n".join(filter(None, want))
+
+
+PARAGRAPH = "The council met again on the bridge, and what it said of the price of salt was long, dull and in the end of no use to anyone at all."
+FRAMED = {
+    "<body><form id=aspnet><div><h1>T</h1><p>{0}</p><p>{0}</p><input name=q><select><option>a</select><label>User</label></div></form></body>": "T\n{0}\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><p class=comment>{0}</p><p class=share>{0}</p><p>{0}</p></article>": "T\n{0}\n{0}\n{0}\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><section id=login><p>{0}</p><p>{0}</p></section><section class=subscription><p>{0}</p></section></article>": "T\n{0}\n{0}\n{0}\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><p>{0}</p></article><section class=discussion><div class=item><span class=author>Ann</span><p>I read this twice and still can't say that I agree with a word of it.</p></div></section>": "T\n{0}\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><p>{0}</p><section class=discussion><div class=item><span class=author>Ann</span><p>{0}</p></div><div class=item><span class=author>Bob</span><p>{0}</p></div></section></article>": "T\n{0}\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><p>{0}</p><div><ul><li><b>Ann</b> <time>2020-01-02</time><p>{0}</p></li><li><b>Bob</b> <time>2020-01-03</time><p>{0}</p></li></ul></div></article>": "T\n{0}\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><div class=share><a href=x>Tell a friend of yours about this piece of news, which is on salt and drains and bridges</a></div><div class=login><p>{0}</p><input name=user></div><p class=subscribe>Get more.</p></article>": "T\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><div class=comments><div class=comment><p>{0}</p></div></div><div class=ad><p>{0}</p></div></article>": "T\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><form><p>{0}</p><input></form><p>{0}</p><p>{0}</p></article>": "T\n{0}\n{0}\n{0}",
+    "<body><article><h1>T</h1><p>{0}</p><ul><li>In 1997 the bridge fell.</li><li>In 2001 it was built anew.</li></ul><p>{0}</p></article>": "T\n{0}\nIn 1997 the bridge fell.\nIn 2001 it was built anew.\n{0}",
+}
+
+
+@pytest.mark.parametrize("source", FRAMED)
+def test_names_and_forms_only_nominate(source):
+    assert H.main_text(source.format(PARAGRAPH)) == FRAMED[source].format(PARAGRAPH)
+
+
+def test_whole_pages_with_other_elements_around_the_article():
+    import duckdb
+
+    pages = [h for (h,) in duckdb.sql("select html from '/root/testdata/sf0.001/pages.parquet'").fetchall()]
+    names = ["x1", "content-42", "share", "comment", "login"]
+    for k, page in enumerate(pages):
+        want = H.main_text(page)
+        inner = page.replace("<article>", f"<div class='{names[k % 2]}'>").replace("</article>", "</div>")
+        assert H.main_text(inner) == want
+        assert H.main_text(page.replace("<body>", "<body><form action=x method=post>").replace("</body>", "<input type=hidden name=state></form></body>")) == want
+        assert H.main_text(page.replace("<p>", f"<p class={names[k % 5]}>")) == want
