@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from math import e, log
 
@@ -69,6 +69,8 @@ CONTROLS = frozenset("input button select textarea option form".split())
 #: A part with a topic's name must have so many characters, this share of its neighbours' density, and at most this share of links to come
 #: back; a comment's line on itself has at most so many characters.
 PROSE, ALIKE, LINKS, META_LINE = 60, 0.6, 0.25, 80
+#: Parts of the same tag and names from which on these may be those of all text.
+SHARED = 3
 #: What a name may end in and mean the same.
 HOLDERS = frozenset("area articles bar block body bottom box button buttons container content feed footer form header icons inner item items left line link links list main message module outer panel posts region right row section sidebar slot stories text thread title top unit widget wrap wrapper zone".split())
 #: Beginnings that make a name tell of something else.
@@ -262,11 +264,13 @@ class Page:
 
     def text(self) -> str:
         certain = self.taken_off()
-        if self.topics:
-            opened = [o and i not in self.topics for i, o in enumerate(certain)]
+        shared = Counter((self.tag[i], self.names[i]) for i in self.topics)
+        often = {i for i in self.topics if shared[self.tag[i], self.names[i]] >= SHARED}
+        if often:
+            opened = [o and i not in often for i, o in enumerate(certain)]
             # a name that most of the page's text carries tells no part of it apart
             if 2 * self.sums(certain)[0][0] < self.sums(opened)[0][0]:
-                certain, self.topics = opened, set()
+                certain, self.topics = opened, self.topics - often
         off = [o or v for o, v in zip(certain, self.vague)]
         sums = self.sums(off)
         if not sums[0][0]:
