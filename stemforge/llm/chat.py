@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,12 @@ from stemforge.llm.shared import Scratch, written
 
 #: JSON schema's types, and the pattern of the SQL types that a value of them has.
 KINDS = {"string": "STRING", "integer": "BIGINT|DECIMAL\\([0-9]+,0\\)", "number": "BIGINT|DECIMAL.*|DOUBLE|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+#: A JSON string, a number outside strings, and numbers that may not come back from a variant as they were: of more digits than a decimal
+#: has, or, with an exponent, than a double has.
+STRING, INEXACT = r'"(?:[^"\\]|\\.)*"', r"(?:[0-9][.]?){39}|(?:[0-9][.]?){16,}[eE]"
 KEY = ["conv_id", "call_id"]
+#: What a call is known by while levels are sought.
+CALL = ["conv_id", "block", "part", "turn", "call_id"]
 #: Turns whose calls are ordered together, and dependencies of a group, more of which are dealt over several.
 BLOCK_TURNS, BLOCK_ROWS = 512, 1024
 
@@ -44,15 +50,25 @@ def schema_errors(value: Column, schema: dict | str, path: str | Column = "") ->
     def check(wrong: Column, says: str) -> None:
         found.append(F.when(F.coalesce(wrong, F.lit(False)), F.array(F.concat(shown, F.lit(f" {says}")))).otherwise(none))
 
+    number = F.when(is_kind("number"), F.try_variant_get(value, "$", "double"))
+    exact = F.when(is_kind("number"), F.try_variant_get(value, "$", "decimal(38,18)"))
+    decimal = lambda x: F.lit(str(Decimal(str(x)))).cast("decimal(38,18)")
     if types := schema.get("type"):
         types = [types] if isinstance(types, str) else types
-        check(~is_kind(*types), f"is not {' or '.join(types)}")
+        # 1.0, 1e3 and integers of any length are integers too
+        whole = F.coalesce(F.coalesce(exact % 1 == 0, number % 1 == 0), F.lit(False)) if "integer" in types else F.lit(False)
+        check(~(is_kind(*types) | whole), f"is not {' or '.join(types)}")
     if allowed := schema.get("enum", [schema["const"]] if "const" in schema else None):
-        check(~F.to_json(value).isin([json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in allowed]), "is not one of those allowed")
-    number = F.when(is_kind("number"), F.try_variant_get(value, "$", "double"))
-    for name, wrong, says in (("minimum", lambda x: number < x, "is less than"), ("maximum", lambda x: number > x, "is more than"), ("exclusiveMinimum", lambda x: number <= x, "is not more than"), ("exclusiveMaximum", lambda x: number >= x, "is not less than"), ("multipleOf", lambda x: number % x != 0, "is not a multiple of")):
+        numbers = [x for x in allowed if isinstance(x, (int, float)) and not isinstance(x, bool)]
+        fits = F.to_json(value).isin([json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in allowed])
+        for x in numbers:
+            fits = fits | F.coalesce(exact == decimal(x), number == float(x), F.lit(False))
+        check(~fits, "is not one of those allowed")
+    for name, wrong, says in (("minimum", lambda x: number < x, "is less than"), ("maximum", lambda x: number > x, "is more than"), ("exclusiveMinimum", lambda x: number <= x, "is not more than"), ("exclusiveMaximum", lambda x: number >= x, "is not less than")):
         if name in schema:
             check(wrong(F.lit(float(schema[name]))), f"{says} {schema[name]}")
+    if "multipleOf" in schema:
+        check(F.coalesce(exact % decimal(schema["multipleOf"]) != 0, number % float(schema["multipleOf"]) != 0), f"is not a multiple of {schema['multipleOf']}")
     text = F.when(is_kind("string"), F.try_variant_get(value, "$", "string"))
     if "minLength" in schema:
         check(F.length(text) < schema["minLength"], f"is shorter than {schema['minLength']}")
@@ -105,13 +121,13 @@ def argument_errors(arguments: Column, name: Column, tools: dict[str, dict]) ->
 
 def folded_levels(calls: Column) -> Column:
     """Levels of the calls of a block, as a map, where they follow from dependencies of known level: calls are taken forwards, then
-    backwards, in the order given. calls: array of (turn, call_id, deps: array of (dep, level or null))."""
-    start = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    backwards, in the order given. calls: array of (turn, call_id, deps: array of (dep, level or null, w: how much higher the call is))."""
+    start = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
 
     def step(levels: Column, x: Column) -> Column:
-        of = F.transform(x["deps"], lambda d: F.coalesce(d["level"], F.element_at(levels, d["dep"])))
+        of = F.transform(x["deps"], lambda d: F.coalesce(d["level"], F.element_at(levels, d["dep"])) + d["w"])
         known = ~F.exists(of, lambda i: i.isNull()) & ~F.map_contains_key(levels, x["call_id"])
-        return F.when(known, F.map_concat(levels, F.create_map(x["call_id"], F.array_max(of) + 1))).otherwise(levels)
+        return F.when(known, F.map_concat(levels, F.create_map(x["call_id"], F.array_max(of)))).otherwise(levels)
 
     return F.aggregate(F.reverse(calls), F.aggregate(calls, start, step), step)
 
@@ -121,7 +137,9 @@ def leveled(edges: DataFrame) -> DataFrame:
     dependencies, where calls without dependencies have level 0; circle: within or beyond a circle, where level says nothing.
 
     A block of calls (neighbouring turns of a conversation, dealt over groups where they are many) is ordered in one fold, so what
-    depends on calls of its own block or of finished ones takes one round, however deep; rounds end when none finishes a call.
+    depends on calls of its own block or of finished ones takes one round, however deep. After each round, what waits for a call
+    that waits for one other waits for that one instead (see jumped), so a chain of n calls takes about log2(n) rounds however
+    its calls are dealt. Rounds end when none finishes a call: a call whose dependencies are finished always is.
     """
     scratch = Scratch(edges.sparkSession)
     turns = edges.groupBy(*KEY, "dep").agg(F.min("turn").alias("turn"))
@@ -129,23 +147,39 @@ def leveled(edges: DataFrame) -> DataFrame:
     sizes = turns.groupBy("conv_id", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("groups"))
     known = edges.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("waits")).distinct()
     dealt = turns.join(sizes, ["conv_id", "block"]).withColumn("part", F.pmod(F.xxhash64("call_id"), F.col("groups")))
-    left = scratch.table(dealt.join(known, ["conv_id", "dep"], "left").select("conv_id", "block", "part", "turn", "call_id", "dep", F.when(F.col("waits").isNull(), 0).alias("level")), "edges")
+    level = F.when(F.col("waits").isNull(), 0).cast("bigint").alias("level")
+    left = scratch.table(dealt.join(known, ["conv_id", "dep"], "left").select(*CALL, "dep", level, F.lit(1).cast("bigint").alias("w")), "edges")
     done: list[DataFrame] = []
     while not left.isEmpty():
-        calls = left.groupBy("conv_id", "block", "part", "turn", "call_id").agg(F.collect_list(F.struct("dep", "level")).alias("deps"))
+        calls = left.groupBy(*CALL).agg(F.collect_list(F.struct("dep", "level", "w")).alias("deps"))
         blocks = calls.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "call_id", "deps"))).alias("calls"))
         found = scratch.table(blocks.select("conv_id", F.explode(folded_levels(F.col("calls"))).alias("call_id", "level")), "levels")
         if found.isEmpty():
             break
-        done.append(found.select(*KEY, "level", F.lit(False).alias("circle")))
+        done.append(found.select(*KEY, F.col("level").cast("int").alias("level"), F.lit(False).alias("circle")))
         news = found.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("new"))
-        rest = left.join(found.select(*KEY), KEY, "left_anti").join(news, ["conv_id", "dep"], "left")
-        before, left = left, scratch.table(rest.select("conv_id", "block", "part", "turn", "call_id", "dep", F.coalesce("level", "new").alias("level")), "edges")
+        rest = left.join(found.select(*KEY), KEY, "left_anti").join(news, ["conv_id", "dep"], "left").withColumn("level", F.coalesce("level", "new")).drop("new")
+        before, left = left, scratch.table(jumped(rest), "edges")
         scratch.drop(before)
-    circles = left.select(*KEY, F.lit(None).cast("int").alias("level"), F.lit(True).alias("circle"))
+    circles = left.select(*KEY, F.lit(None).cast("int").alias("level"), F.lit(True).alias("circle")).distinct()
     return reduce(DataFrame.unionByName, done, circles)
 
 
+def jumped(edges: DataFrame) -> DataFrame:
+    """edges (CALL, dep, level or null, w) with the same levels in the end and fewer steps to them. What a call knows of its level is one
+    row; where it waits for a call that itself waits for one other only, it waits for that one, as much higher as both steps add up
+    to, and knows what that call knew."""
+    knows = edges.where("level is not null").groupBy(*CALL).agg(F.max(F.col("level") + F.col("w")).alias("level"))
+    waits = edges.where("level is null").groupBy(*CALL, "dep").agg(F.max("w").alias("w"))
+    single = waits.groupBy(*CALL).agg(F.count(F.lit(1)).alias("n"), F.first("dep").alias("next"), F.first("w").alias("more")).where("n = 1")
+    single = single.join(knows.select(*KEY, F.col("level").alias("base")), KEY, "left").select("conv_id", F.col("call_id").alias("dep"), "next", "more", "base")
+    both = waits.join(single, ["conv_id", "dep"], "left")
+    null = lambda kind: F.lit(None).cast(kind)
+    ahead = both.select(*CALL, F.coalesce("next", "dep").alias("dep"), null("bigint").alias("level"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+    passed = both.where("base is not null").select(*CALL, null("string").alias("dep"), F.col("base").alias("level"), "w")
+    return ahead.unionByName(passed).unionByName(knows.select(*CALL, null("string").alias("dep"), "level", F.lit(0).cast("bigint").alias("w")))
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:
     """One row per call and one per result without a call: conv_id, call_id, turn, name, level, status, errors, line.
 
@@ -179,7 +213,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
     no_id = F.col("first").isNull()
     status = F.when(no_id, "no id").when(~order.eqNullSafe(F.col("first")), "duplicate").when(F.col("circle"), "circle").when(F.size("errors") > 0, "invalid").when(F.col("answer").isNull(), "unanswered").otherwise("ok")
     level = F.when(~no_id & ~F.col("circle"), F.coalesce("level", F.lit(0)))
-    found = rows.select(*KEY, "turn", "name", level.alias("level"), status.alias("status"), "errors", "v", F.when(F.col("v").isNull(), F.col("arguments")).alias("raw"), "depends_on", F.coalesce("unknown", strings).alias("unknown"), F.col("answer.content").alias("result"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"))
+    inexact = F.col("arguments").rlike(INEXACT) & F.regexp_replace("arguments", STRING, "").rlike(INEXACT)
+    found = rows.select(*KEY, "turn", "name", level.alias("level"), status.alias("status"), "errors", "v", F.when(F.col("v").isNull() | inexact, F.col("arguments")).alias("raw"), "depends_on", F.coalesce("unknown", strings).alias("unknown"), F.col("answer.content").alias("result"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"))
     null = lambda kind: F.lit(None).cast(kind)
     lost = r.join(known.where("first is not null").select(*KEY), KEY, "left_anti").select(*KEY, "turn", null("string").alias("name"), null("int").alias("level"), F.lit("orphan result").alias("status"), strings.alias("errors"), F.try_parse_json(null("string")).alias("v"), null("string").alias("raw"), strings.alias("depends_on"), strings.alias("unknown"), F.col("content").alias("result"), F.lit(1).cast("long").alias("n_results"))
     fields = [F.col("v").alias("arguments"), "call_id", "conv_id", "depends_on", "errors", "level", "n_results", "name", "raw", "result", "status", "turn", "unknown"]

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from stemforge.llm import chat as C
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>, line string"
@@ -103,3 +105,31 @@ def test_the_query_meets_every_status(spark):
 
     got = QUERIES["op7_chat"](spark, "/root/testdata/sf0.01").groupBy("status").count().collect()
     assert {r["status"] for r in got} >= {"ok", "invalid", "circle", "unanswered"}
+
+
+@pytest.mark.parametrize("turn", [0, None])
+def test_a_chain_within_one_turn_takes_few_tables(spark, monkeypatch, turn):
+    made = []
+    table = C.Scratch.table
+    monkeypatch.setattr(C.Scratch, "table", lambda self, df, name: made.append(name) or table(self, df, name))
+    n = 5000 if turn == 0 else 1500
+    edges = [(1, f"c{i}", turn, f"c{i - 1}") for i in range(1, n)] + [(1, f"c{i}", turn, "c0") for i in range(7, n, 7)] + [(1, "x", turn, "y"), (1, "y", turn, "x"), (1, "z", turn, "x"), (1, "z", turn, "c9")]
+    got = C.leveled(spark.createDataFrame(edges, "conv_id long, call_id string, turn long, dep string")).collect()
+    assert {r["call_id"]: None if r["circle"] else r["level"] for r in got} == {f"c{i}": i for i in range(1, n)} | dict.fromkeys("xyz")
+    assert len(got) == n + 2 and len(made) < 40
+
+
+def test_numbers_are_compared_as_decimals_and_kept(spark):
+    import json
+
+    long = "1234567890" * 5
+    tools = {"t": {"properties": {"a": {"type": "number", "multipleOf": 0.1}, "b": {"enum": [1.0, 2.5, "x"]}, "c": "integer", "d": {"const": 3}}}}
+    cases = {
+        '{"a": 0.3}': [], '{"a": 0.35}': ["a is not a multiple of 0.1"], '{"b": 1.0}': [], '{"b": 1}': [], '{"b": 2.50}': [], '{"b": 2}': ["b is not one of those allowed"], '{"b": "x"}': [],
+        '{"c": ' + long + "}": [], '{"c": 1e3}': [], '{"c": 2.0}': [], '{"c": 2.5}': ["c is not integer"], '{"c": "2"}': ["c is not integer"], '{"d": 3.0}': [], '{"a": 1.2345678901234567890e2}': ["a is not a multiple of 0.1"], '{"b": "' + long + '"}': ["b is not one of those allowed"],
+    }
+    rows = [(1, str(i), i, "t", a, [], "z") for i, a in enumerate(cases)]
+    got = {int(r["call_id"]): r for r in C.link_tool_calls(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), tools).collect()}
+    assert {i: r["errors"] for i, r in got.items()} == dict(enumerate(cases.values()))
+    raw = {a: json.loads(got[i]["line"])["raw"] for i, a in enumerate(cases)}
+    assert {a for a in cases if raw[a] == a} == {a for a in cases if a in ('{"c": ' + long + "}", '{"a": 1.2345678901234567890e2}')} and set(raw.values()) - set(cases) == {None}
