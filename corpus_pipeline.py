@@ -8,12 +8,13 @@ from stemforge.llm import mixing, near_dup, packing, quality, toxicity
 from stemforge.llm.queries import TOKEN_LIMIT, table, tokenizer_file
 from stemforge.llm.shared import written
 
-ARROW_BYTES = 8 << 20
+ARROW_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts pass through Python in batches of so many bytes at most: the stages share workers, whose memory is little."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Whole texts pass through Python in batches of so many bytes at most: the stages share workers, whose memory is little. run puts the
+    session's own setting back once all stages are written."""
+    spark.conf.set(ARROW_SETTING, str(ARROW_BYTES))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's rows are written in the shared folder and read again as the next one's."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    before = spark.conf.get(ARROW_SETTING)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(ARROW_SETTING, before)
     return docs
