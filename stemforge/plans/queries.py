@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stemforge.bank import Bank
 from stemforge.functions import lines as L
 from stemforge.functions import patterns as P
 from stemforge.functions import text as X
@@ -17,7 +18,8 @@ from stemforge.operators import lookup as look
 from stemforge.operators import maintenance, report
 from stemforge.operators.capture import Fold, numbered
 from stemforge.operators.parse import failures, parse_papers, records
-from stemforge.sources.tables import export_rows, spread
+from stemforge.operators.upkeep import learn_batch
+from stemforge.sources.tables import Workspace, export_rows, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -295,6 +297,42 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_rows(rows).withColumn("options", F.array_join("options", "|"))
 
 
+# --- a stored bank
+
+
+def stored_bank(captures: DataFrame, batches: int) -> Bank:
+    """A new bank that has learned captures (batch_id from 0 to batches - 1), one batch after the other."""
+    spark = captures.sparkSession
+    bank = Bank(spark, f"{Workspace(spark).root}/bank")
+    for number in range(batches):
+        learn_batch(bank.store, bank.store.claim("queries", number), captures.where(F.col("batch_id") == number), bank.space)
+    return bank
+
+
+@query(f"with c as (select p_name, p_partkey % 3 as b, p_partkey as k, {LETTER.format('p_partkey')} as letter, lower(replace(p_name, ' ', '')) as stem from part), q as (select arg_min(p_name, (b, k)) as stem_raw, arg_min(letter, (b, k)) as answer, count(*) as times_seen, min((b, k)) as first from c group by stem) select row_number() over (order by first) as id, stem_raw, answer, times_seen from q")
+def bank_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that three batches left in a stored bank, each folded into those that it touches."""
+    k = F.col("p_partkey")
+    captures = part_captures(spark, sf_dir, F.array(*map(F.lit, FIXED_OPTIONS)), letter(k)).withColumn("batch_id", F.col("seq") % 3)
+    return stored_bank(captures, 3).store.questions().select("id", "stem_raw", "answer", "times_seen")
+
+
+RANDOM_STEM_SQL = r"regexp_replace(lower(base64(unhex(sha256(p_partkey::varchar)))), '[\p{P}\p{Z}]', '', 'g')"
+
+
+@query(f"with s as (select p_partkey, {RANDOM_STEM_SQL} as stem, base64(unhex(sha256(p_partkey::varchar))) as raw, {LETTER.format('p_partkey')} as letter from part) select p_partkey as query_id, 2::bigint as hits, raw as stem, '{P.CONTAINED}' as kind, 0.9::double + (0.1::double * length(stem)) / (length(stem) + 2) as score from s union all select p_partkey, 2, raw || 'zzzz', '{P.FRAGMENT}', 0.9::double + (0.1::double * (length(stem) + 2)) / (length(stem) + 4) from s")
+def ask_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stored bank's index finds for every random stem with two marks at its end: the stem itself, and one with four."""
+    k = F.col("p_partkey")
+    random = F.base64(F.unhex(F.sha2(k.cast("string"), 256)))
+    captures = part_captures(spark, sf_dir, part_options(), letter(k), random).withColumn("batch_id", F.lit(0).cast("bigint"))
+    more = captures.withColumns({"stem": F.concat("stem", F.lit("zzzz")), "batch_id": F.lit(1).cast("bigint")})
+    bank = stored_bank(captures.unionByName(more), 2)
+    asked = table(spark, sf_dir, "part").select(k.alias("query_id"), F.concat(random, F.lit("zz")).alias("query"))
+    hits = bank.find(asked, 5, 0.85)
+    return hits.select("query_id", F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("hits"), F.col("stem_raw").alias("stem"), "kind", "score")
+
+
 # --- retrieval
 
 

@@ -19,6 +19,7 @@ TOMBSTONES = "stem_key string, batch_id bigint"
 PREPARED = f"{CAPTURES}, stem_norm string, kept boolean, stem_key string, answer_text string"
 #: Questions as they stand, without the counts of attempts.
 STANDING = "id bigint, stem_key string, stem_raw string, stem_norm string, qtype string, options array<string>, answer string, answer_text string, explanation string, source string, first_seen timestamp, last_seen timestamp, times_seen bigint, first_batch bigint, first_seq bigint"
+POSTINGS = "id binary, bucket int, key bigint"
 CONFLICTS = "stem_key string, stem_raw string, old_answer string, new_answer string, source string, seen_at timestamp, batch_id bigint, seq bigint"
 #: Buckets of a new bank's questions. A bank keeps its number; some hundred MB a bucket are a good size.
 BUCKETS = 64
@@ -112,9 +113,9 @@ class Store:
 
     def state(self) -> tuple[int, dict]:
         """The last version: its number, and buckets (how many), next_id, through (the last batch folded or hidden), and the folders of
-        batches, conflicts (by batch) and questions (by bucket)."""
+        batches, conflicts and the index of stems (by batch) and questions (by bucket)."""
         version, state = self.versions.latest()
-        return version, state or {"buckets": self._buckets, "next_id": 1, "through": -1, "batches": {}, "conflicts": {}, "questions": {}}
+        return version, state or {"buckets": self._buckets, "next_id": 1, "through": -1, "batches": {}, "conflicts": {}, "questions": {}, "index": {}}
 
     def write_buckets(self, name: str, rows: DataFrame) -> tuple[str, list[int]]:
         """rows (with bucket) in a new folder, by bucket; the folder's name and its buckets. Files are of even size, a hot bucket in many."""
@@ -147,6 +148,10 @@ class Store:
     def conflicts(self) -> DataFrame:
         return self._of([f"{self.root}/conflicts/{f}" for f in self.state()[1]["conflicts"].values()], CONFLICTS)
 
+    def index(self, state: dict | None = None) -> DataFrame:
+        """The postings of all stems (see operators.index)."""
+        return self._of([f"{self.root}/index/{f}" for f in (state or self.state()[1])["index"].values()], POSTINGS)
+
     def _of(self, paths: list[str], schema: str, base: str | None = None) -> DataFrame:
         reader = self.spark.read.schema(schema)
         return (reader.option("basePath", base) if base else reader).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -184,7 +189,7 @@ class Store:
         named yet either."""
         named = self.versions.named()
         gone = 0
-        for name in ("captures", "questions", "conflicts"):
+        for name in ("captures", "questions", "conflicts", "index"):
             for folder in self._names(name):
                 if folder not in named:
                     path, fs = self._path(name, folder)
