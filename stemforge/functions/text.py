@@ -1,11 +1,13 @@
 """Normal forms of stems, options and answers, and the identity of a question, as column expressions.
 
-Everything runs in the JVM but Unicode's NFKC, which Spark lacks: an Arrow function gets only the strings that have a character
-outside ASCII and U+00C0 to U+00FF (others are null to it), where NFKC could change something.
+Everything runs in the JVM, Unicode's NFKC too where it works character by character and gives one for one: in Latin, Chinese and Japanese
+text, full-width forms and punctuation (BLOCKS). An Arrow function gets only the strings that have another character (others are
+null to it), where characters combine or come apart.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +16,42 @@ from pyspark.sql import types as T
 
 from stemforge.functions import patterns as P
 
-PLAIN = r"(?s)^[\x00-\x7FÀ-ÿ]*\z"
+#: First and last code points of what is normalised in the JVM, by the rule of _one_for_one.
+BLOCKS = ((0x00, 0x7F), (0xA0, 0xFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x3000, 0x3029), (0x3030, 0x303F), (0x3041, 0x3096), (0x30A1, 0x30FE), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFF9D))
 DROPPED = r"[\p{P}\p{Z}]"
 STRIP = f"(?U)^{P.WS}+|{P.WS}+$"
 SHORT_STEM, SHORT_REST = 8, 6
 
 
+def _one_for_one(ch: str, dropped: bool) -> bool:
+    """Whether NFKC takes a character alone and gives one for it; dropped: or gives such as are dropped, as the character itself is."""
+    form = unicodedata.normalize("NFKC", ch)
+    alone = not any(unicodedata.combining(x) or unicodedata.category(x)[0] == "M" for x in (ch, *unicodedata.normalize("NFKD", ch)[:1], *form))
+    gone = dropped and all(unicodedata.category(x)[0] in "PZ" for x in (ch, *form))
+    return alone and (len(form) == 1 or gone)
+
+
+@functools.cache
+def _plain_pattern(dropped: bool) -> str:
+    """A pattern of strings whose characters are all one for one."""
+    ranges: list[list[int]] = []
+    for first, last in BLOCKS:
+        for c in range(first, last + 1):
+            if _one_for_one(chr(c), dropped):
+                if ranges and ranges[-1][1] == c - 1:
+                    ranges[-1][1] = c
+                else:
+                    ranges.append([c, c])
+    return "(?s)^[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + r"]*\z"
+
+
+@functools.cache
+def _forms() -> tuple[str, str]:
+    """The characters of BLOCKS that NFKC replaces by another one, and these."""
+    found = [(chr(c), form) for first, last in BLOCKS for c in range(first, last + 1) if _one_for_one(chr(c), False) and (form := unicodedata.normalize("NFKC", chr(c))) != chr(c)]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -52,8 +84,14 @@ def _wide_upper_udf(texts):
     return texts.map(lambda x: unicodedata.normalize("NFKC", x).upper(), na_action="ignore")
 
 
-def plain(c: Column) -> Column:
-    return c.rlike(PLAIN)
+def plain(c: Column, dropped: bool = True) -> Column:
+    """Whether a string's NFKC is that of its characters, one for one; dropped: but for punctuation and separators."""
+    return c.rlike(_plain_pattern(dropped))
+
+
+def nfkc(c: Column) -> Column:
+    """The NFKC of plain strings."""
+    return F.translate(c, *_forms())
 
 
 def bound(value: Column, f) -> Column:
@@ -80,8 +118,8 @@ def clean_stem(c: Column | str) -> Column:
 
 
 def bare_native(c: Column) -> Column:
-    """Lower case without punctuation and separators, for plain strings."""
-    return F.regexp_replace(F.lower(c), DROPPED, "")
+    """Lower case NFKC without punctuation and separators, for plain strings."""
+    return F.regexp_replace(F.lower(nfkc(c)), DROPPED, "")
 
 
 def _parted(c: Column | str) -> Column:
@@ -117,7 +155,7 @@ def norm_answer(c: Column | str) -> Column:
     """Letters A to H run together if the answer is nothing but letters and separators, else the NFKC text in upper case, stripped and
     without one bracket at either end. Neither sorted nor without repeats; null counts as empty."""
     t = F.coalesce(col(c), F.lit(""))
-    upper = strip(F.coalesce(_wide_upper_udf(F.when(~plain(t), t)), F.upper(t)))
+    upper = strip(F.coalesce(_wide_upper_udf(F.when(~plain(t, False), t)), F.upper(nfkc(t))))
     inner = F.regexp_replace(F.regexp_replace(upper, r"^[（(\[]", ""), r"[）)\]]$", "")
     return F.when(inner.rlike(P.LETTER_ANSWER), F.regexp_replace(inner, "[^A-H]", "")).otherwise(inner)
 

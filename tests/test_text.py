@@ -71,3 +71,23 @@ def test_forms_of_options(spark):
     assert one(spark, {"B": "y ", "A": "x"}, X.options_of_map, "map<string,string>") == ["x", "y"]
     assert one(spark, [("x",), (None,)], X.options_of_structs, "array<struct<text:string>>") == ["x", "None"]
     assert spark.sql("select '' a, null b, 'c' c").select(X.first_filled("a", "b", "c")).first()[0] == "c"
+
+
+def test_every_code_point_has_its_normal_form_in_and_out_of_the_jvm(spark):
+    import random
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    r = random.Random(5)
+    letters = [c for c in every if ord(c) < 0x3100 or 0x4E00 <= ord(c) < 0x4E80 or 0xF900 <= ord(c) < 0xFFFF]
+    texts = ["".join(r.choices(letters[:0x3100], k=6)) for _ in range(2000)] + ["ががＡｂ１。…　ｱｶﾞ", "éÉ", "各한"]
+    texts += ["".join(chr(r.choice(range(*r.choice([(0x20, 0x7F), (0xA0, 0x100), (0x2010, 0x2060), (0x3000, 0x3100), (0x4E00, 0x5000), (0xF900, 0xFB00), (0xFF01, 0xFFA0)])))) for _ in range(8)) for _ in range(4000)]
+    rows = spark.createDataFrame([(x,) for x in [*every, *texts]], "t string").repartition(8)
+    kept = rows.select("t", X.plain(F.col("t")).alias("plain"), X.bare_native(F.col("t")).alias("bare"), X.plain(F.col("t"), False).alias("exact"), F.upper(X.nfkc(F.col("t"))).alias("upper")).where("plain or exact").collect()
+    wrong = [(r["t"], r["bare"]) for r in kept if r["plain"] and r["bare"] != X._bare(r["t"])]
+    wrong += [(r["t"], r["upper"]) for r in kept if r["exact"] and r["upper"] != unicodedata.normalize("NFKC", r["t"]).upper()]
+    assert wrong == [] and len(kept) > 29_000
+    chinese = "学生公寓晚上１０点熄灯（含周末）…… “还可以”用电吗？【单选】ＡＢ，Ｃ、Ｄ"
+    assert [c for c in chinese if not spark.createDataFrame([(c,)], "t string").select(X.plain(F.col("t"))).first()[0]] == []
