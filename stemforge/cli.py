@@ -5,10 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stemforge.bank import Bank
+from stemforge.operators import report
+from stemforge.sources.tables import merge_files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,9 +40,11 @@ def parser() -> argparse.ArgumentParser:
     forget.add_argument("--yes", action="store_true")
     quiz = sub.add_parser("quiz", help="questions to practise")
     quiz.add_argument("--n", type=int, default=20)
+    grade = sub.add_parser("grade", help="grade answers to questions, given as ID=ANSWER, and log them")
+    grade.add_argument("answers", nargs="+")
     for name in ("stats", "conflicts", "sources"):
         sub.add_parser(name)
-    export = sub.add_parser("export", help="write all questions as JSON lines")
+    export = sub.add_parser("export", help="write all questions as one JSON document")
     export.add_argument("--out", default="bank.json")
     return p
 
@@ -76,8 +81,15 @@ def main(argv: list[str] | None = None) -> int:
         show(bank.forget(a.ids, a.stem, a.yes))
     elif a.command == "quiz":
         show(bank.practice(a.n))
+    elif a.command == "grade":
+        rows = [(i, int(x.partition("=")[0]), x.partition("=")[2]) for i, x in enumerate(a.answers)]
+        graded = bank.grade(spark.createDataFrame(rows, "attempt_id bigint, id bigint, given string"))
+        show(graded.select("id", "given", "ok").orderBy("id"), len(rows))
+        print(report.session_score(graded).first()["text"])
     elif a.command == "export":
-        bank.export(a.out)
+        folder = f"{bank.space.root}/export-{uuid.uuid4().hex}"
+        bank.export_document(folder)
+        merge_files(spark, folder, a.out)
     else:
         show(getattr(bank, a.command)())
     return 0

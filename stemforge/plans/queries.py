@@ -5,6 +5,7 @@ There are no exam papers among the tables, so papers are made from rows of part;
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from stemforge.functions import text as X
 from stemforge.operators import lookup as look
 from stemforge.operators import maintenance, report
 from stemforge.operators.capture import Fold, numbered
-from stemforge.operators.parse import failures, parse_papers, records
+from stemforge.operators.parse import failures, parse_papers, records, records_given
 from stemforge.operators.upkeep import learn_batch
 from stemforge.sources.tables import Workspace, export_rows, spread
 
@@ -297,6 +298,25 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_rows(rows).withColumn("options", F.array_join("options", "|"))
 
 
+RECORDS_SQL = f"{PART_SQL}, r as (select p_partkey, p_partkey % 4 as form, stem, letter, [p_brand, p_type, 'size ' || p_size] as options from p)"
+
+
+@query(f"with {RECORDS_SQL} select p_partkey, stem, array_to_string(options, '|') as options, letter as answer, case when form = 3 then 'multi' end as qtype from r")
+def record_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ready-made records whose fields go by other names and whose options come as a string, a map, an array, or an array of structs."""
+    k = F.col("p_partkey")
+    three = F.array("p_brand", F.concat(F.lit(" "), "p_type"), F.concat(F.lit("size "), F.col("p_size").cast("string"), F.lit("  ")))
+    letters = F.array(*map(F.lit, "CAB"))
+    by_letter = F.map_from_arrays(letters, F.array(three[2], three[0], three[1]))
+    forms = [("stem", "options", F.array_join(three, "|")), ("题干", "选项", by_letter), ("question", "options", three), ("stem", "选项", F.transform(three, lambda o: F.struct(F.lit(1).alias("n"), o.alias("text"))))]
+    found = []
+    for i, (stem, options, value) in enumerate(forms):
+        rows = parts(spark, sf_dir).where(k % 4 == i).select(k, part_stem().alias(stem), value.alias(options), F.lit("").alias("answer"), letter(k).alias("答案"), F.lit("multi" if i == 3 else None).cast("string").alias("题型"))
+        found.append(records_given(rows, "p_partkey"))
+    out = functools.reduce(DataFrame.unionByName, found)
+    return out.select(F.col("seq").alias("p_partkey"), "stem", F.array_join("options", "|").alias("options"), "answer", "qtype")
+
+
 # --- a stored bank
 
 

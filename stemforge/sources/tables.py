@@ -205,3 +205,33 @@ def export_rows(questions: DataFrame) -> DataFrame:
 def export_json(questions: DataFrame, path: str) -> None:
     """One JSON object per line, nulls included."""
     export_rows(questions).write.option("ignoreNullFields", "false").json(path)
+
+
+def export_document(questions: DataFrame, path: str) -> None:
+    """The questions as one JSON array: a folder of files that, one after the other in the order of their names, make up an indented
+    document. Each file holds a range of ids and is written by its own task."""
+    rows = export_rows(questions)
+    ends = rows.agg(F.min("id").alias("first"), F.max("id").alias("last")).first()
+    if ends["first"] is None:
+        rows.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.text(path)
+        return
+    body = F.regexp_replace(F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"}), "(?m)^", "  ")
+    opens = F.when(F.col("id") == ends["first"], "[\n").otherwise("")
+    closes = F.when(F.col("id") == ends["last"], "\n]").otherwise(",")
+    rows.select(F.concat(opens, body, closes).alias("value")).write.text(path)
+
+
+def merge_files(spark: SparkSession, folder: str, path: str) -> None:
+    """Copies a folder's data files, in the order of their names, into one file, as a stream of bytes."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (folder, path))
+    fs, out_fs = source.getFileSystem(conf), target.getFileSystem(conf)
+    out = out_fs.create(target, True)
+    try:
+        for name in sorted(f.getPath().getName() for f in fs.listStatus(source)):
+            if name.startswith("part-"):
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(source, name))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                part.close()
+    finally:
+        out.close()

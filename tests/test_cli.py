@@ -1,0 +1,57 @@
+"""The bank's operations from a shell, one after the other."""
+
+import json
+import tempfile
+
+from stemforge import cli
+from stemforge.bank import Bank
+from tests.test_bank import PAPER
+
+
+def test_a_banks_life_from_the_shell(spark, capsys):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name, text in (("a", PAPER), ("b", PAPER.replace("正确答案：B", "正确答案：A").replace("续借", "借阅"))):
+        with open(f"{folder}/{name}.txt", "w", encoding="utf-8") as f:
+            f.write(text)
+
+    def run(*words):
+        capsys.readouterr()
+        assert cli.main([f"{folder}/bank", *words]) == 0
+        return capsys.readouterr().out
+
+    run("learn", f"{folder}/a.txt", "--source", "甲")
+    out = run("learn", f"{folder}/b.txt", "--source", "乙")
+    tally = json.loads(out.split("tally\n")[1].split("\n")[0])
+    assert (tally["insert"], tally["conflict"]) == (1, 1)
+    assert run("ask", "学生公寓晚上几点熄灯呢\nA. 十一点\nB. 十点").startswith("答案: A  → 十一点")
+    assert "题库无此题" in run("ask", "没有这样的一道题目")
+    assert json.loads(run("find", "公寓晚上几点熄灯", "--top", "1"))["id"] == 1
+    assert json.loads(run("dupes", "--min", "0.8").strip().split("\n")[-1]) == {"left": 0}
+    assert [json.loads(x)["source"] for x in run("sources").strip().split("\n")] == ["甲", "乙"]
+    assert len(run("quiz", "--n", "2").strip().split("\n")) == 2
+    assert run("grade", "1=b", "2=B").strip().split("\n")[-1] == "本轮 对 1 / 错 1"
+    assert json.loads(run("stats"))["shaky"] == 1 and json.loads(run("conflicts"))["new_answer"] == "A"
+    run("export", "--out", f"{folder}/bank.json")
+    with open(f"{folder}/bank.json", encoding="utf-8") as f:
+        text = f.read()
+    rows = json.loads(text)
+    assert [r["id"] for r in rows] == [1, 2, 3] and list(rows[0]) == ["id", "stem", "options", "answer", "answer_text", "explanation", "times_seen", "wrong_count"]
+    assert rows[0]["explanation"] is None and rows[1]["wrong_count"] == 1 and text.count("\n") > 30
+    assert json.loads(run("clear", "--source", "乙"))["decision"] == "delete"
+    assert "还" not in run("forget", "--stem", "熄灯", "--yes")
+    assert json.loads(run("stats"))["questions"] == 2
+    run("clear", "--all", "--yes")
+    run("export", "--out", f"{folder}/none.json")
+    with open(f"{folder}/none.json", encoding="utf-8") as f:
+        assert json.load(f) == []
+
+
+def test_records_of_any_form(spark):
+    bank = Bank(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    rows = spark.createDataFrame([(1, "", "学生公寓晚上几点熄灯呢", None, {"B": "十一点", "A": "十点"}, "", "b", "说明")], "seq long, stem string, question string, options string, `选项` map<string,string>, answer string, `答案` string, `解析` string")
+    assert bank.learn_records(rows)["tally"].first()["insert"] == 1
+    rows = spark.createDataFrame([(7, "学生公寓晚上几点熄灯呢", "十一点｜十点", "A"), (8, "没有答案的题", "x", "")], "seq long, stem string, options string, answer string")
+    done = bank.learn_records(rows)
+    assert done["tally"].first().asDict() == {"batch_id": 1, "insert": 0, "update": 1, "skip": 1, "conflict": 0} and done["repeats"].first()["kind"] == "across"
+    q = bank.questions().first()
+    assert (q["options"], q["answer"], q["answer_text"], q["explanation"], q["times_seen"]) == (["十一点", "十点"], "A", "十一点", "说明", 2)
