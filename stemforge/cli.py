@@ -59,8 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("stemforge").getOrCreate()
     bank = Bank(spark, a.folder)
     if a.command == "learn":
-        papers = [(i, open(f, encoding="utf-8").read()) for i, f in enumerate(a.files)]
-        for name, rows in bank.learn(spark.createDataFrame(papers, "paper_id bigint, text string"), a.source).items():
+        for name, rows in bank.learn_files(a.files, a.source).items():
             print(name)
             show(rows)
     elif a.command in ("ask", "find"):
