@@ -124,16 +124,29 @@ def counter(model_path: str) -> PrefixCounter:
     return PrefixCounter(model_path)
 
 
+#: Steps that two bits of an index stand for; the fourth value stands for any other, told in full behind.
+STEPS = np.array([0, 1, -1], np.int64)
+
+
 def pack_index(counts: np.ndarray) -> bytes:
-    """The steps of a text's counts in as few bytes each as they need, compressed, and that number of bytes."""
-    steps = np.diff(counts)
-    most = int(np.abs(steps).max(initial=0))
-    width = 1 if most < 2**7 else 2 if most < 2**15 else 4
-    return zlib.compress(steps.astype(f"<i{width}").tobytes(), 1) + bytes([width])
+    """The steps of a text's counts in two bits each, and those that are none of STEPS as numbers, compressed."""
+    steps = np.diff(counts).astype(np.int64)
+    codes = np.select([steps == x for x in STEPS], range(len(STEPS)), len(STEPS)).astype(np.uint8)
+    padded = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
+    padded[: len(codes)] = codes
+    quads = padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+    head = np.array([len(steps)], "<i8").tobytes()
+    return zlib.compress(head + np.bitwise_or.reduce(quads, axis=1).tobytes() + steps[codes == len(STEPS)].astype("<i4").tobytes(), 6)
 
 
 def open_index(index: bytes) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(index[:-1]), f"<i{index[-1]}"), dtype=np.int64)])
+    data = zlib.decompress(index)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    quads = np.frombuffer(data, np.uint8, -(-n // 4), 8)
+    codes = ((quads[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(-1)[:n]
+    steps = np.append(STEPS, 0)[codes]
+    steps[codes == len(STEPS)] = np.frombuffer(data, "<i4", -1, 8 + len(quads))
+    return np.concatenate([[0], np.cumsum(steps)])
 
 
 def longest_within(counts: np.ndarray, budget: int) -> int:

@@ -96,16 +96,16 @@ def test_sql_gives_the_same_for_large_means(spark, tmp_path):
 
 def test_parts_follow_the_cluster_not_the_input(spark, monkeypatch):
     df = spark.range(300).selectExpr("id as doc_id", "concat('s', id % 3) as source", "repeat('x', 1 + cast(id % 50 as int)) as text")
-    plain = mixing.mix(df, order_col="o")
+    plain = M.mix(df, order_col="o")
     copies = sorted((r["doc_id"], r["o"]) for r in plain.collect())
-    rates = mixing.rates
-    monkeypatch.setattr(mixing, "rates", lambda *a, **b: (rates(*a, **b)[0], 1e14))
+    rates = M.rates
+    monkeypatch.setattr(M, "rates", lambda *a, **b: (rates(*a, **b)[0], 1e14))
     spark.conf.set("spark.sql.shuffle.partitions", "19")
     try:
-        assert mixing.mix(df).rdd.getNumPartitions() == 19 and mixing.mix(df, parts=7).rdd.getNumPartitions() == 7
+        assert M.mix(df).rdd.getNumPartitions() == 19 and M.mix(df, parts=7).rdd.getNumPartitions() == 7
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    few = mixing.mix(df, order_col="o", parts=3)
+    few = M.mix(df, order_col="o", parts=3)
     assert sorted((r["doc_id"], r["o"]) for r in few.collect()) == copies
     # parts are ranges of the order, sorted within
     assert [r["o"] for r in few.collect()] == [o for o in sorted(o for _, o in copies)]
