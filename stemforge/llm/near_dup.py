@@ -1,7 +1,8 @@
 """MinHash near-duplicate classes by improved consistent weighted sampling (ICWS) over TF-IDF shingles of five words.
 
-The nodes are distinct texts (by MD5), so exact copies cost one row each and never meet as pairs. Each node gets BANDS x ROWS
-weighted samples; nodes that share all samples of a band meet in its bucket, whose leader is the member that meets most others.
+The nodes are distinct texts (by MD5), so exact copies cost one row each and never meet as pairs. Each node gets SAMPLES weighted
+samples in bands (see banding); nodes that share all samples of a band meet in its bucket, whose leader is the member that meets
+most others.
 Links are found in three rounds, and after each the linked nodes are contracted to one class:
 
 1. every node is compared exactly (weighted Jaccard) with the best leader of its buckets, which settles nearly all of a group;
@@ -9,7 +10,8 @@ Links are found in three rounds, and after each the linked nodes are contracted
 3. the nodes of buckets that still hold several classes meet by a prefix filter: similar texts share one of both texts' rarest
    shingles, at a place from which on either has weight enough, and have weights alike. Only pairs of different classes are made.
 
-No bucket and no group has a cap, and none is gathered in one task: a leader with many members is dealt over several groups.
+No bucket and no group has a cap, and none is gathered in one task: a leader with many members is dealt over several groups, and so
+are the rows of a bucket with many members wherever they are joined.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from stemforge.llm.shared import Scratch, groups_of, texts_of, word_hashes
 
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
-#: A pair at the threshold shares no band with probability (1 - 0.8**4)**20 = 3e-5.
-BANDS, ROWS = 20, 4
+#: Samples of a text, and the share of pairs at the threshold that may share no band of them.
+SAMPLES, LOSS = 80, 4e-5
 #: Document frequencies are counted in 2**DF_BITS buckets of shingles, by the share of documents; what a bucket holds by chance
 #: is a share too (distinct shingles of a mean document / buckets), so the weights are alike at every size of corpus.
 DF_BITS, DF_BLOCKS = 20, 64
@@ -41,8 +43,12 @@ RARE, IDF_GAIN, LEVELS = 1024, 1.0, 16
 #: Least hashes by which copies of one text are told, and the share of all documents from which a group of them counts as one.
 SKETCHES, FAMILY = 3, 4096
 FAMILY_UNIT = 1 << 16
+#: Neighbouring tasks whose counts are added up first, so that no task reads those of all.
+COUNTED_TASKS = 1024
 #: Members of one leader that are compared in one group.
 SPLIT = 256
+#: A key is hot that has one in HOT of all rows; there are HOT such keys at most.
+HOT = 4096
 #: Steps of the texts' weights by which they are dealt in the prefix join.
 STEP = 1.04
 POOL_BITS = 16
@@ -50,6 +56,15 @@ FNV = np.uint64(0x100000001B3)
 ROUNDING = 1e-9
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and samples in each: as many samples as leave (1 - threshold ** samples) ** bands, the share of pairs at the threshold that
+    meet in no band, at LOSS or less. At 0.8 these are 20 bands of 4, which lose 3e-5; at 0.5 40 of 2, which lose 1e-5."""
+    fits = [r for r in range(1, SAMPLES + 1) if (1 - threshold**r) ** (SAMPLES // r) <= LOSS]
+    if not 0 < threshold <= 1 or not fits:
+        raise ValueError(f"a similarity of {threshold} can't be searched with {SAMPLES} samples")
+    return SAMPLES // max(fits), max(fits)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -115,6 +130,15 @@ def document_frequencies(rows: DataFrame, large: dict[int, int]) -> tuple[np.nda
     as one document: counts over all documents, of a fixed size."""
     known = rows.sparkSession.sparkContext.broadcast(large)
 
+    def narrow(counts: np.ndarray) -> bytes:
+        return counts.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if counts.max() <= np.iinfo(k).max)).tobytes()
+
+    def unpacked(counts: bytes) -> np.ndarray:
+        return np.frombuffer(counts, f"<u{len(counts) * DF_BLOCKS >> DF_BITS}").astype(np.int64)
+
+    def batch_of(out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["kind", "block", "part", "counts"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, copies, shares = (np.zeros(2**DF_BITS, k) for k in ("<u4", "<u4", "<u8"))
         some = False
@@ -131,26 +155,23 @@ def document_frequencies(rows: DataFrame, large: dict[int, int]) -> tuple[np.nda
                 else:
                     seen[at] += 1
         if some:
-            out: list[tuple[int, int, bytes]] = []
-            for kind, counts in enumerate((seen, copies, shares)):
-                narrow = next(k for k in ("<u1", "<u2", "<u4", "<u8") if counts.max() <= np.iinfo(k).max)
-                out += [(kind, b, x.astype(narrow).tobytes()) for b, x in enumerate(np.split(counts, DF_BLOCKS)) if x.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "block", "counts"])
+            part = TaskContext.get().partitionId() // COUNTED_TASKS
+            yield batch_of([(kind, b, part, narrow(x)) for kind, counts in enumerate((seen, copies, shares)) for b, x in enumerate(np.split(counts, DF_BLOCKS)) if x.any()])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, out = None, None
         for batch in batches:
-            for kind, b, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "counts"))):
-                width = len(counts) * DF_BLOCKS >> DF_BITS
-                key, out = (kind, b), np.frombuffer(counts, f"<u{width}").astype(np.int64) + (0 if out is None else out)
+            for *key, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "part", "counts"))):  # noqa: B007
+                out = unpacked(counts) + (0 if out is None else out)
         if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["kind", "block", "counts"])
+            yield batch_of([(*key, narrow(out))])
 
-    schema = "kind int, block int, counts binary"
-    found = rows.select("kept", "sketch").mapInArrow(count, schema).groupBy("kind", "block").applyInArrow(total, schema).collect()
+    schema = "kind int, block int, part int, counts binary"
+    by_part = rows.select("kept", "sketch").mapInArrow(count, schema).groupBy("kind", "block", "part").applyInArrow(total, schema)
+    found = by_part.groupBy("kind", "block").applyInArrow(total, schema).collect()
     seen, copies, shares = np.zeros((3, DF_BLOCKS, 2**DF_BITS // DF_BLOCKS), np.int64)
     for r in found:
-        (seen, copies, shares)[r["kind"]][r["block"]] = np.frombuffer(r["counts"], "<i8")
+        (seen, copies, shares)[r["kind"]][r["block"]] = unpacked(r["counts"])
     return (seen + copies).reshape(-1), (seen + shares / FAMILY_UNIT).reshape(-1)
 
 
@@ -172,7 +193,7 @@ def pool() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     a place that depends on both."""
     random = np.random.default_rng(20)
     r, c, beta = random.gamma(2, 1, 2**POOL_BITS), random.gamma(2, 1, 2**POOL_BITS), random.random(2**POOL_BITS)
-    multipliers = random.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    multipliers = random.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     variates = np.stack([1 / r, r, beta, np.log(c) - r]).astype("f4")
     t = np.floor(variates[0] * np.log(level_weights())[:, None].astype("f4") + variates[2])
     return variates, multipliers, (variates[3] - (t - variates[2]) * variates[1]).reshape(-1), t.astype(np.int16).reshape(-1)
@@ -205,18 +226,19 @@ def samples(tokens: np.ndarray, tf: np.ndarray, levels: np.ndarray, chunk: int =
     return tokens[at], steps
 
 
-def band_keys(kept: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def band_keys(kept: np.ndarray, codes: np.ndarray, bands: int, size: int) -> np.ndarray:
     tokens, tf = np.unique(kept, return_counts=True)
     chosen, steps = samples(tokens, tf, codes[buckets_of(tokens)])
-    s = mixed(chosen.astype(np.uint64) + mixed(steps.astype(np.uint64))).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+    s = mixed(chosen.astype(np.uint64) + mixed(steps.astype(np.uint64)))[: bands * size].reshape(bands, size)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for i in range(size):
         key = mixed(key * FNV + s[:, i])
     return key.view(np.int64)
 
 
-def banded(rows: DataFrame, codes) -> DataFrame:
+def banded(rows: DataFrame, codes, threshold: float = THRESHOLD) -> DataFrame:
     """row and bands of the documents that have shingles; a text that a task has met before gets no row."""
+    shape = banding(threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
@@ -226,7 +248,7 @@ def banded(rows: DataFrame, codes) -> DataFrame:
                 if k and node not in met:
                     met.add(node)
                     at.append(row)
-                    bands.append(band_keys(np.frombuffer(k, "<u4"), codes.value).tolist())
+                    bands.append(band_keys(np.frombuffer(k, "<u4"), codes.value, *shape).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "bands"])
 
     return rows.select("row", "node", "kept").mapInArrow(run, "row long, bands array<long>")
@@ -259,12 +281,29 @@ def of_ids(kept: DataFrame, rows: DataFrame) -> DataFrame:
     return kept.join(rows.hint("merge"), "id")
 
 
+def hot_keys(counts: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(key, parts) of the keys of counts (key, n) that have one in HOT of all rows or more: HOT rows at most, however many rows there are,
+    so this may be broadcast. parts: into how many groups a key's rows are to be dealt for none to hold more."""
+    share = max(1, -(-(counts.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT))
+    return scratch.table(counts.where(F.col("n") >= share).select(key, F.ceil(F.col("n") / share).cast("int").alias("parts")), "hot")
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows (with id) joined with facts, one row for each key. The rows of a hot key are dealt by their ids, and its fact goes to every
+    group of them; hot keys are few, so facts hardly grow."""
+    of_hot = lambda x: x.join(F.broadcast(hot), key, "left")
+    left = of_hot(rows).withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    right = of_hot(facts).withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right.hint("merge"), [key, "part"]).drop("part")
+
+
 def verified(pairs: DataFrame, kept: DataFrame, codes, threshold: float, scratch: Scratch) -> DataFrame:
     """Those of the distinct pairs (leader, id) whose weighted Jaccard similarity is at least threshold; kept: id and kept.
 
     A leader's shingles are sent once for every SPLIT of its members, a member's once for each of its leaders."""
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("groups"))
-    dealt = scratch.table(pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("g"), "id", F.lit(1).alias("member")), "dealt")
+    sizes = scratch.table(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    groups = sizes.select("leader", F.ceil(F.col("n") / SPLIT).cast("int").alias("groups"))
+    dealt = scratch.table(dealt_join(pairs, groups, "leader", hot_keys(sizes, "leader", scratch)).select("leader", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("g"), "id", F.lit(1).alias("member")), "dealt")
     heads = dealt.select("leader", "g", F.col("leader").alias("id"), F.lit(0).alias("member")).distinct()
     grouped = of_ids(kept, dealt.unionByName(heads)).repartition("leader", "g").sortWithinPartitions("leader", "g", "member")
 
@@ -282,7 +321,7 @@ def verified(pairs: DataFrame, kept: DataFrame, codes, threshold: float, scratch
             yield pa.RecordBatch.from_arrays([batch.column("leader").take(chosen), batch.column("id").take(chosen)], ["a", "b"])
 
     links = scratch.table(grouped.select("leader", "id", "member", "kept").mapInArrow(run, "a long, b long"), "links")
-    scratch.drop(dealt)
+    scratch.drop(dealt, sizes)
     return links
 
 
@@ -362,14 +401,15 @@ def linked(nodes: DataFrame, shingles: DataFrame, codes, counts, threshold: floa
     where links are all pairs of a bucket that are so similar. shingles: id and kept of all nodes, at least; done: tables of
     scratch that nobody reads once these have been read."""
     keys = nodes.select("id", F.explode("bands").alias("key"))
-    shared = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
-    shared = scratch.table(shared, "buckets")
+    sizes = scratch.table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    hot = hot_keys(sizes, "key", scratch)
+    shared = scratch.table(dealt_join(keys, sizes, "key", hot), "buckets")
     # leaders are the nodes that meet most others: the text that copies were made from, rather than any of the copies
     ranks = scratch.table(shared.groupBy("id").agg((-F.sum("n")).alias("rank")), "ranks")
     members = scratch.table(shared.join(ranks, "id").select("key", "id", "rank"), "members")
-    scratch.drop(shared)
+    scratch.drop(shared, sizes)
     first = members.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("first"))
-    led = scratch.table(members.select("key", "id").join(first, "key").select("key", "id", "first"), "led")
+    led = scratch.table(dealt_join(members.select("key", "id"), first, "key", hot).select("key", "id", "first"), "led")
 
     kept = scratch.table(of_ids(shingles, ranks.select("id")).select("id", "kept"), "kept")
     scratch.drop(*done)
@@ -382,7 +422,7 @@ def linked(nodes: DataFrame, shingles: DataFrame, codes, counts, threshold: floa
         """The rows (key, id, label, leader, leader's label) of buckets that hold several classes."""
         rows = label_of(led.select("key", "id", F.col("first.id").alias("leader")), labels, "id", "label")
         several = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        return scratch.table(rows.join(several, "key"), "several")
+        return scratch.table(dealt_join(rows, several, "key", hot), "several")
 
     left = by_bucket(labels)
     if left.isEmpty():
@@ -408,7 +448,8 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, i
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size (documents), node (the text's MD5)
     and class_key (a number of the class).
 
-    Documents are in one class if their texts are equal or a chain of similar texts connects them. Words are compared without
+    Documents are in one class if their texts are equal or a chain of similar texts connects them. threshold: the weighted Jaccard
+    similarity of links, any from 0.12 to 1 (see banding); a lower one finds copies with more edits, for more work. Words are compared without
     case; fewer than five words make one shingle. A null text counts as an empty one; texts without words are in a class only
     with equal texts. Null ids and repeated rows stay, row by row; class_id is null if all ids of a class are. An empty table
     gives no rows; other columns of the input, whatever their names, are not read.
@@ -421,7 +462,7 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD, i
     raw, families_once = document_frequencies(rows, families(rows, n))
     codes, counts = spark.sparkContext.broadcast(weight_codes(families_once, n)), spark.sparkContext.broadcast(np.minimum(raw, 2**32 - 1).astype(np.uint32))
     nodes = scratch.table(rows.groupBy("node").agg(F.min("row").alias("id")), "nodes")
-    bands = scratch.table(banded(rows, codes), "bands")
+    bands = scratch.table(banded(rows, codes, threshold), "bands")
     members = scratch.table(rows.select("doc_id", "node"), "documents")
     own = bands.join(nodes.select(F.col("id").alias("row")), "row", "left_semi").withColumnRenamed("row", "id")
     labels = linked(own, rows.select(F.col("row").alias("id"), "kept"), codes, counts, threshold, scratch, rows)

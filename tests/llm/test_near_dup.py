@@ -27,8 +27,8 @@ def jaccard(a, b):
     return common / (sum(a.values()) + sum(b.values()) - common)
 
 
-def classes(spark, rows, schema="doc_id long, text string"):
-    got = N.near_duplicate_classes(spark.createDataFrame(rows, schema)).collect()
+def classes(spark, rows, schema="doc_id long, text string", threshold=N.THRESHOLD):
+    got = N.near_duplicate_classes(spark.createDataFrame(rows, schema), threshold).collect()
     return [(r["doc_id"], r["class_id"], r["class_size"]) for r in got]
 
 
@@ -257,3 +257,46 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark):
     codes, counts = spark.sparkContext.broadcast(N.weight_codes(once, 400)), spark.sparkContext.broadcast(raw)
     N.linked(N.banded(rows, codes).withColumnRenamed("row", "id"), rows.select(F.col("row").alias("id"), "kept"), codes, counts, 0.8, scratch).count()
     assert sum(made) < 12 * 400
+
+
+def test_bands_suit_the_threshold():
+    assert N.banding(0.8) == (20, 4) and N.banding(0.5) == (40, 2) and N.banding(1.0) == (1, 80)
+    for threshold in (0.15, 0.3, 0.6, 0.9, 0.95):
+        bands, size = N.banding(threshold)
+        assert (1 - threshold**size) ** bands <= N.LOSS and bands * size <= N.SAMPLES
+    for threshold in (0.0, 0.05, 1.1):
+        with pytest.raises(ValueError):
+            N.banding(threshold)
+
+
+def test_a_lower_threshold_finds_copies_with_more_edits(spark):
+    rows, plain = [], 0
+    for g in range(60):
+        base = doc(200, 9000 + g)
+        # seven words of 200 changed: about 35 of 196 shingles, a similarity of some 0.7
+        rows += [(2 * g, base), (2 * g + 1, edited(base, 7, 9100 + g))]
+        plain += jaccard(base, rows[-1][1]) >= 0.8
+    found = lambda threshold: sum(c == d - 1 for d, c, n in classes(spark, rows, threshold=threshold) if d % 2)
+    assert plain <= found(0.8) + 2 and found(0.8) < 20
+    assert found(0.55) == 60
+
+
+def test_rows_of_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 16)
+    scratch = N.Scratch(spark)
+    rows = spark.createDataFrame([(i, 7 if i % 3 == 0 else i % 500) for i in range(3000)], "id long, key long")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = N.hot_keys(counts, "key", scratch)
+    assert [tuple(r) for r in hot.collect()] == [(7, 6)]
+    joined = N.dealt_join(rows, counts, "key", hot)
+    want = rows.join(counts, "key").select("id", "key", "n")
+    assert sorted(joined.select("id", "key", "n").collect()) == sorted(want.collect()) and joined.count() == 3000
+    assert N.hot_keys(counts.limit(0), "key", scratch).isEmpty()
+
+
+def test_frequencies_are_added_up_in_two_steps(spark, monkeypatch):
+    rows = N.Scratch(spark).table(N.shingled(spark.createDataFrame([(i, doc(50, i % 40)) for i in range(200)], "doc_id long, text string").repartition(7)), "shingles")
+    once = N.document_frequencies(rows, {})
+    monkeypatch.setattr(N, "COUNTED_TASKS", 2)
+    again = N.document_frequencies(rows, {})
+    assert all((a == b).all() for a, b in zip(once, again)) and once[0].sum() > 0
