@@ -21,6 +21,8 @@ from stemforge.llm.shared import Scratch
 
 SCALE = 1024
 BLOCK_ROWS, SEGMENT_BLOCKS, QUERY_ROWS = 256, 32, 512
+#: A block or segment ends, with fewer rows or blocks, once its forward index takes so many bytes: long vectors make short blocks.
+BLOCK_BYTES, SEGMENT_BYTES = 1 << 17, 1 << 22
 #: Segments whose bounds one task computes for a group of queries.
 BOUNDED_SEGMENTS = 1024
 #: Random directions whose signs order the vectors.
@@ -104,7 +106,8 @@ def blocks_of(vectors: DataFrame, every: int, k: int, scratch: Scratch) -> tuple
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        block = segment = TaskContext.get().partitionId() << 32
+        widest = blocks = held = 0
         ids: list[int] = []
         numbers: list[int] = []
         rows: list = []
@@ -118,7 +121,7 @@ def blocks_of(vectors: DataFrame, every: int, k: int, scratch: Scratch) -> tuple
                 if len(s) >= k:
                     floors.append((int(own_numbers[i]), int(best(s, np.delete(own, i), k)[0][-1])))
             high, low = m.max(0), m.min(0)
-            cells = [block, block // SEGMENT_BLOCKS, len(ids), m.shape[1], own.tobytes(), own_numbers.tobytes(), m.tobytes(), high.tobytes(), low.tobytes(), [f[0] for f in floors], [f[1] for f in floors]]
+            cells = [block, segment, len(ids), m.shape[1], own.tobytes(), own_numbers.tobytes(), m.tobytes(), high.tobytes(), low.tobytes(), [f[0] for f in floors], [f[1] for f in floors]]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds)], ["block", "segment", "rows", "dims", "ids", "numbers", "forward", "high", "low", "queries", "floors"])
 
@@ -127,9 +130,13 @@ def blocks_of(vectors: DataFrame, every: int, k: int, scratch: Scratch) -> tuple
                 ids.append(i)
                 numbers.append(number)
                 rows.append(v)
-                if len(ids) == BLOCK_ROWS:
+                widest = max(widest, len(v))
+                if len(ids) == BLOCK_ROWS or 8 * widest * len(ids) >= BLOCK_BYTES:
                     yield made()
-                    block, ids, numbers, rows = block + 1, [], [], []
+                    blocks, held = blocks + 1, held + 8 * widest * len(ids)
+                    if blocks == SEGMENT_BLOCKS or held >= SEGMENT_BYTES:
+                        segment, blocks, held = segment + 1, 0, 0
+                    block, widest, ids, numbers, rows = block + 1, 0, [], [], []
         if ids:
             yield made()
 

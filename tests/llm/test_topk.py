@@ -69,6 +69,24 @@ def test_segments_below_the_floor_are_not_sent(spark, monkeypatch):
     assert kept[0] == 60 and sum(kept) < 60 * 600 / 16 / 2
 
 
+def test_long_vectors_make_short_blocks_and_segments(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_BYTES", 1 << 12)
+    monkeypatch.setattr(K, "SEGMENT_BYTES", 1 << 14)
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(r.choice([3, 100, 700]))], "x") for i in range(150)]
+    sizes = []
+    segments_of = K.segments_of
+    monkeypatch.setattr(K, "segments_of", lambda blocks: sizes.extend(blocks.select("block", "segment", "rows", "dims").collect()) or segments_of(blocks))
+    assert found(spark, rows, 4, 10) == brute(rows, 4, 10)
+    assert sum(s["rows"] for s in sizes) == 150 and len({s["block"] for s in sizes}) == len(sizes)
+    # a block is full before its last row, a segment before its last block
+    assert all(8 * s["dims"] * s["rows"] < (1 << 12) + 8 * 700 * s["rows"] and (s["rows"] == 1 or 8 * 3 * (s["rows"] - 1) < 1 << 12) for s in sizes)
+    held = {}
+    for s in sizes:
+        held.setdefault(s["segment"], []).append(8 * s["rows"] * s["dims"])
+    assert len(held) > 10 and all(sum(sorted(x)[:-1]) < 1 << 14 for x in held.values())
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     q, b = rng.integers(-500, 500, (20, 8)), rng.integers(-500, 500, (5, 30, 8))
