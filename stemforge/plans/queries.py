@@ -298,6 +298,11 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_rows(rows).withColumn("options", F.array_join("options", "|"))
 
 
+@query(f"with {CAPTURED_SQL}, f as (select arg_min(source, (batch, doc_id, line_no)) as source from captured group by stem_norm) select source, count(*) as questions from f group by 1")
+def sources_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_source(Fold(line_captures(spark, sf_dir)).questions, None)
+
+
 RECORDS_SQL = f"{PART_SQL}, r as (select p_partkey, p_partkey % 4 as form, stem, letter, [p_brand, p_type, 'size ' || p_size] as options from p)"
 
 
@@ -337,6 +342,32 @@ def bank_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_bank(captures, 3).store.questions().select("id", "stem_raw", "answer", "times_seen")
 
 
+THIRDS_SQL = f"c as (select p_name, p_brand, p_partkey % 3 as b, p_partkey as k, {LETTER.format('p_partkey')} as letter, lower(replace(p_name, ' ', '')) as stem from part), f as (select *, first_value(letter) over (partition by stem order by b, k) as old from c)"
+
+
+def thirds(spark: SparkSession, sf_dir: str) -> Bank:
+    """A stored bank that has learned all parts in three batches."""
+    captures = part_captures(spark, sf_dir, F.array(*map(F.lit, FIXED_OPTIONS)), letter(F.col("p_partkey"))).withColumn("batch_id", F.col("seq") % 3)
+    return stored_bank(captures, 3)
+
+
+@query(f"with {THIRDS_SQL} select b as batch_id, k as p_partkey, p_name as stem_raw, old as old_answer, letter as new_answer from f where old <> letter order by b desc, k desc limit 20")
+def conflicts_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest conflicts of a stored bank."""
+    return thirds(spark, sf_dir).conflicts().select("batch_id", F.col("seq").alias("p_partkey"), "stem_raw", "old_answer", "new_answer").limit(20)
+
+
+@query(f"with {THIRDS_SQL}, q as (select arg_min(p_brand, (b, k)) as source from c group by stem), d as (select count_if(source = (select min(source) from q)) as matched, count(*) as total from q) select matched::bigint as matched, total, case when matched >= 0.9 * total then 'refuse' else 'delete' end as decision, case when matched < 0.9 * total then total end as saved, case when matched >= 0.9 * total then total else total - matched end::bigint as remaining, (select count(*) from f where old <> letter) as conflicts from d")
+def clear_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A confirmed deletion of one source: what it says and saves, and the questions and conflicts that are left."""
+    bank = thirds(spark, sf_dir)
+    plan = bank.clear(bank.questions().agg(F.min("source")).first()[0], confirmed=True)
+    saved = spark.read.parquet(plan["backup"]).count() if "backup" in plan else None
+    said = spark.createDataFrame([(plan["matched"], plan["total"], plan["decision"], saved)], "matched bigint, total bigint, decision string, saved bigint")
+    remaining, conflicts = bank.questions().agg(F.count(F.lit(1)).alias("remaining")), bank.store.conflicts().agg(F.count(F.lit(1)).alias("conflicts"))
+    return said.join(F.broadcast(remaining)).join(F.broadcast(conflicts))  # one row each
+
+
 RANDOM_STEM_SQL = r"regexp_replace(lower(base64(unhex(sha256(p_partkey::varchar)))), '[\p{P}\p{Z}]', '', 'g')"
 
 
@@ -490,6 +521,13 @@ def dupes_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_duplicates(planted_stems(spark, sf_dir, F.col("p_partkey") < 3), 0.9, 40)
 
 
+@query(f"with {PLANTED_SQL}), r as (select 2 * p_partkey as a_id, base64(unhex(sha256(p_partkey::varchar))) as x, repeat('#', cast(p_partkey % 6 + 1 as int)) as m from part) select a_id, b_id, ratio, substr(x || x, 1, {P.STEM_SHOWN}) as a_stem, substr(x || x, 1, {P.TEXT_SHOWN}) as a_text, substr(x || m || x || m, 1, {P.STEM_SHOWN}) as b_stem, substr(x || m || x || m, 1, {P.TEXT_SHOWN}) as b_text from planted join r using (a_id) order by ratio desc, a_id limit 30")
+def dupes_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar of planted pairs with their stems and answers cut to the widths of a list."""
+    stems = planted_stems(spark, sf_dir, F.lit(False)).withColumns({c: F.concat("stem_norm", "stem_norm") for c in ("stem_raw", "answer_text")})
+    return report.shown_pairs(report.top_duplicates(stems, 0.9, 30), stems).select("a_id", "b_id", "ratio", "a_stem", "a_text", "b_stem", "b_text")
+
+
 @query(f"with {PLANTED_SQL} where p_partkey % 3 <> 0), n as (select count(*) as n from part where p_partkey % 3 = 0) select ((select count(*) from planted) + n * (n - 1) // 2)::bigint as pairs from n")
 def dupes_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a bank where a third of all questions has one stem."""
