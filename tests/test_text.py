@@ -91,3 +91,15 @@ def test_every_code_point_has_its_normal_form_in_and_out_of_the_jvm(spark):
     assert wrong == [] and len(kept) > 29_000
     chinese = "学生公寓晚上１０点熄灯（含周末）…… “还可以”用电吗？【单选】ＡＢ，Ｃ、Ｄ"
     assert [c for c in chinese if not spark.createDataFrame([(c,)], "t string").select(X.plain(F.col("t"))).first()[0]] == []
+
+
+def test_conditions_on_a_normal_form_do_not_compute_it_again(spark):
+    rows = X.with_norm(spark.createDataFrame([(" 1. Ab, c",), ("ｄ",), ("é 가",), ("",)], "s string"), "n", "s").where("n <> '' and n <> 'x'")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("_bare") == 1
+    assert [r["n"] for r in rows.collect()] == ["abc", "d", "é가"]
+
+
+def test_white_space_at_the_ends(spark):
+    given = ["", " ", "\x1c　", "a", " a b ", " x\u0085", "🙂 ", "a\n", "\x1fb"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(given)], "i int, s string").select("i", X.strip(F.col("s")).alias("s"), X.filled(F.col("s")).alias("filled"))
+    assert [(r["s"], r["filled"]) for r in rows.orderBy("i").collect()] == [(s.strip(), s.strip() != "") for s in given]
