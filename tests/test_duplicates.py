@@ -68,3 +68,16 @@ def test_hot_stems(spark):
     assert report.duplicate_count(df, 0.75).first()["pairs"] == n * (n - 1) // 2
     similar = df.where("id in (3, 9) or (id % 2 = 0 and id < 7) or id > 59990").withColumn("stem_norm", df.stem_norm)
     assert report.top_duplicates(similar, 0.75, 1000, Workspace(spark)).count() == similar.count() * (similar.count() - 1) // 2
+
+
+@pytest.mark.parametrize("t", [0.9, 0.95])
+def test_candidates_by_grams_of_several_sizes_miss_nothing(spark, tmp_path, t):
+    r = random.Random(3)
+    base = ["".join(r.choices("abc", k=n)) for n in (1, 3, 9, 12, 15, 16, 18, 19, 20, 23, 24, 40, 60)]
+    texts = sorted({x for s in base for x in (s, s + "a", s[1:] + "b", s[:5] + "c" + s[5:], s[:-2])} - {""})
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    space = Workspace(spark, str(tmp_path))
+    got = {tuple(x) for x in S.ratio_candidates(df, df, t, space).collect()}
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if difflib.SequenceMatcher(None, a, b).ratio() >= t}
+    assert want <= got
+    assert space.made == 0  # before, all grams of all strings were written, and joined with their frequencies
