@@ -117,3 +117,11 @@ def test_normal_forms_are_computed_once(spark):
     rows = spark.createDataFrame([("1、[1分] x",)], "t string")
     plan = X.with_norm(rows, "n", "t").select("n")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("题库") == 0 and plan.count("查看试卷") == 1
+
+
+def test_searches_read_normal_forms_from_a_table(spark):
+    from stemforge.plans.queries import normal_once
+
+    rows = normal_once(spark.createDataFrame([(1, "1. A b"), (2, "é")], "id long, stem_raw string"))
+    assert "_bare" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["stem_norm"]) for r in rows.collect()) == [(1, "ab"), (2, "é")]
