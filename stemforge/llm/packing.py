@@ -42,7 +42,7 @@ LONGEST_STRETCH = 128
 #: Windows that are planned together.
 PLANNED = 128
 #: Characters of words kept in each of a task's two tables, with 8 more for each word.
-KEPT_CHARACTERS = 1_500_000
+KEPT_CHARACTERS = 6_000_000
 
 
 class WordIds:
@@ -78,11 +78,12 @@ class WordIds:
     def learn(self, words: list[str]) -> None:
         if self.kept > KEPT_CHARACTERS:
             self.words, self.older, self.kept = {}, self.words, 0
-        split, rest = [], []
+        split, rest, older, plain = [], [], self.older.get, PLAIN_WORD.fullmatch
         for w in set(words).difference(self.words):
-            if self.known(w) is not None:
+            if (found := older(w)) is not None:
+                self.keep(w, found)
                 continue
-            m = PLAIN_WORD.fullmatch(w) if self.direct else None
+            m = plain(w) if self.direct else None
             if m is None:
                 rest.append(w)
             elif not m[2]:

@@ -104,3 +104,16 @@ def test_the_plan_costs_least():
         for i in range(1, len(pos)):
             best[i] = min((best[j] + (0 if int(pos[i] - pos[j]) in free else window - int(pos[i] - pos[j])) + int(penalty[i]) for j in range(i) if best[j] is not None and pos[i] - pos[j] <= window), default=None)
         assert cost(P.plan(pos, penalty, window, free)) == best[-1]
+
+
+def test_words_are_looked_up_in_the_model_once(monkeypatch):
+    """op10: a task's tables hold the words of some 10,000 documents, so that few are made twice."""
+    words = P.WordIds(tokenizer_file("word_bpe_49k.json"))
+    made, by_model = [], P.WordIds.by_model
+    monkeypatch.setattr(P.WordIds, "by_model", lambda self, w: (made.append(w), by_model(self, w))[1])
+    letters = "abcdefghijklmnop"
+    many = ["".join(letters[(i >> s) & 15] for s in (16, 12, 8, 4, 0)) for i in range(250_000)]
+    for _ in range(2):
+        for i in range(0, len(many), 1000):
+            words.ids(" ".join(many[i : i + 1000]))
+    assert len(made) == len(many)
