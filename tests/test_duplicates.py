@@ -4,6 +4,7 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stemforge.operators import report
 from stemforge.operators import similarity as S
@@ -81,3 +82,37 @@ def test_candidates_by_grams_of_several_sizes_miss_nothing(spark, tmp_path, t):
     want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if difflib.SequenceMatcher(None, a, b).ratio() >= t}
     assert want <= got
     assert space.made == 0  # before, all grams of all strings were written, and joined with their frequencies
+
+
+def test_many_passes_find_what_one_does(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "PASS_GRAMS", 2000)
+    texts = random.Random(7).choices(strings(40, 4), k=60) + ["".join(random.Random(i % 9).choices("abcdefgh", k=44)) + "#" * (i % 5) for i in range(40)]
+    want = brute(texts, 0.9)
+    space = Workspace(spark, str(tmp_path))
+    assert top(spark, texts, 0.9, 100_000, space) == want and len(want) > 40
+    assert sum(p.name.endswith("-pass") for p in tmp_path.glob("work-*/*")) > 1
+    assert report.duplicate_count(rows(spark, texts), 0.9).first()["pairs"] == len(want)
+
+
+def test_a_join_shuffles_neither_characters_nor_strings_that_fit_no_length(spark, tmp_path):
+    r = random.Random(2)
+    texts = ["".join(r.choices("abcdefghijklmnop", k=44)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    plan = S.ratio_candidates(df, df, 0.9, Workspace(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "strategy=merge" in plan  # before, arrays of all characters of both sides; and grams were broadcast
+    longer = df.selectExpr("id", "concat(s, substr(s, 1, 20)) as s")
+    none = S.ratio_candidates(df, longer, 0.9, Workspace(spark, str(tmp_path)))
+    assert "Join" not in none._jdf.queryExecution().optimizedPlan().toString() and none.isEmpty()
+    one = S.ratio_candidates(df, df, 0.9, Workspace(spark, str(tmp_path)))
+    assert one.where("a_id < b_id").isEmpty() and one.count() == len(texts)
+
+
+def test_parities_rule_out_what_shares_a_gram_by_chance(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=44)) for _ in range(4000)]
+    texts += [t[:20] + "#" + t[21:] for t in texts[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    counts = spark.sparkContext.broadcast(S.gram_counts(df, 4))
+    side = S._prefixes(df, 0.9, 4, counts, True, 1, 0)
+    met = side.select("gram", F.col("id").alias("a")).join(side.select("gram", F.col("id").alias("b")), "gram").where("a < b").distinct().count()
+    assert S._joined(side, side, 0.9, 4, True).count() == 50 and met > 500
