@@ -47,6 +47,16 @@ def test_whole_texts_are_searched_in_lines_of_every_length(spark, folder):
     assert {(r["item_id"], r["id"] >> 20) for r in Q.QUERIES["find_top1_line"](spark, folder).collect()} == {(1, 2), (2, 4)}
 
 
+def test_strings_too_long_to_be_held_are_not_searched(spark, tmp_path):
+    from stemforge.operators import similarity as S
+    from stemforge.sources.tables import Workspace
+
+    rows = lambda xs: spark.createDataFrame(list(enumerate(xs)), "id long, s string")
+    space = Workspace(spark, str(tmp_path))
+    assert S.containing_candidates(rows(["a string of thirty characters."] * 5), rows(["a string of thirty"] * 5), 0.999, space).isEmpty()
+    assert space.made == 0  # before, the grams of both sides were written and met
+
+
 @pytest.mark.parametrize("share", [0.3, 0.56, 0.9, 1.0])
 def test_containing_candidates_lose_no_pair(spark, share):
     import random
