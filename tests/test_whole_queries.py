@@ -47,6 +47,22 @@ def test_whole_texts_are_searched_in_lines_of_every_length(spark, folder):
     assert {(r["item_id"], r["id"] >> 20) for r in Q.QUERIES["find_top1_line"](spark, folder).collect()} == {(1, 2), (2, 4)}
 
 
+def test_lines_are_written_once_and_not_joined_by_their_texts(spark, folder, monkeypatch):
+    """Copies of a line are hits too, of which the first counts; before, every hit's text went through three joins and a table."""
+    from stemforge.sources.tables import Workspace
+
+    spark.createDataFrame([(1, "line of middling length number one"), (2, "nothing of this")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame([(9 - i, "source-1", "x\n" + LINES[4] + "\n" + LINES[4]) for i in range(4)], "doc_id long, source string, text string")
+    docs.write.mode("append").parquet(f"{folder}/documents.parquet")
+    plans, table = [], Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or table(self, df, name))
+    got = Q.QUERIES["find_top1_line"](spark, folder)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[:2] for r in got.collect()] == [(1, (4 << 20))]
+    # before, the lines were read and normalised again to be joined with the hits by their texts
+    assert sum("doc_id" in p for p in plans) == 1 and "doc_id" not in plan
+
+
 def test_strings_too_long_to_be_held_are_not_searched(spark, tmp_path):
     from stemforge.operators import similarity as S
     from stemforge.sources.tables import Workspace
