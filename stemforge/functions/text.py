@@ -155,8 +155,9 @@ def _parted(c: Column | str) -> Column:
 def norm(c: Column | str) -> Column:
     """The form under which stems are compared: clean, NFKC, lower case, without punctuation and separators. An expression computes
     it twice; over many rows use with_norm."""
-    s = _parted(c)
-    return F.coalesce(s["native"], _bare_udf(s["wide"]))
+    clean = clean_stem(c)
+    # not the struct's other field: Spark doesn't evaluate functions of expressions in which one lambda uses another one's variable
+    return F.coalesce(_parted(c)["native"], _bare_udf(F.when(~plain(clean), clean)))
 
 
 def with_norm(rows: DataFrame, name: str, source: Column | str, wide: bool = True) -> DataFrame:
